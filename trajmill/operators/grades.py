@@ -55,15 +55,18 @@ def solve_frequency(graded: DataFrame) -> DataFrame:
     return resolved_rows(graded).groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_solves"))
 
 
-def repo_breakdown(graded: DataFrame, keys: list[str]) -> DataFrame:
+def repo_breakdown(graded: DataFrame, keys: list[str], configs: list[object]) -> DataFrame:
     """Union instances per configuration and repository, long form, 0-filled.
 
-    The pairs come from the configurations and the repositories that occur in any union.
+    The configurations are parameters of the sweep, so every repository that occurs in any
+    union is paired with them by an explode; repositories are found by aggregation.
     """
-    counts = passk_union(graded, keys).groupBy(*keys, repo(F.col("instance_id")).alias("repo")).agg(
+    (key,) = keys
+    counts = passk_union(graded, keys).groupBy(key, repo(F.col("instance_id")).alias("repo")).agg(
         F.count(F.lit(1)).alias("n_instances")
     )
-    return counts
+    grid = repos_of(graded).select("repo", F.explode(F.array(*map(F.lit, configs))).alias(key))
+    return grid.join(counts, [key, "repo"], "left").na.fill(0, ["n_instances"]).select(key, "repo", "n_instances")
 
 
 def repo_pivot(graded: DataFrame, keys: list[str], repos: list[str]) -> DataFrame:
