@@ -1,4 +1,8 @@
-"""Array expressions on token rows.  Nothing here explodes a token array."""
+"""Array expressions on token rows.  Nothing here explodes a token array.
+
+Neighbouring elements are paired by zipping an array with its shifted self.  Looking up
+``get(mask, i)`` inside a lambda would evaluate a computed mask once per element.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +15,13 @@ def truncate(values: Column, length: int) -> Column:
     return F.slice(values, 1, length)
 
 
+def _paired(ids: Column, mask: Column) -> Column:
+    return F.zip_with(ids, mask, lambda t, m: F.struct(t.alias("id"), m.alias("mask")))
+
+
 def pick_by_mask(ids: Column, mask: Column, flag: int) -> Column:
     """Ids whose mask equals the flag: 1 gives targets, 0 gives the prompt."""
-    return F.filter(ids, lambda _, i: F.get(mask, i) == flag)
+    return F.transform(F.filter(_paired(ids, mask), lambda x: x["mask"] == flag), lambda x: x["id"])
 
 
 def labels(ids: Column, mask: Column) -> Column:
@@ -33,17 +41,17 @@ def mask_of_spans(spans: Column) -> Column:
 def mask_runs(mask: Column) -> Column:
     """Run-length form ``[{value, start, len}]`` of a mask, computed from its change points."""
     n = F.size(mask)
-    starts = F.filter(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 0) | (F.get(mask, i) != F.get(mask, i - 1)),
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(mask, 1, F.greatest(n - 1, F.lit(0))))
+    marked = F.transform(
+        F.zip_with(mask, before, lambda m, p: F.struct(m.alias("value"), (~m.eqNullSafe(p)).alias("opens"))),
+        lambda x, i: F.struct(x["value"].alias("value"), x["opens"].alias("opens"), i.alias("at")),
     )
-    return F.transform(
-        starts,
-        lambda s, k: F.struct(
-            F.get(mask, s).alias("value"),
-            s.alias("start"),
-            (F.coalesce(F.get(starts, k + 1), n) - s).alias("len"),
-        ),
+    opens = F.filter(marked, lambda x: x["opens"])
+    ends = F.concat(F.transform(F.slice(opens, 2, F.greatest(n, F.lit(0))), lambda x: x["at"]), F.array(n))
+    return F.zip_with(
+        opens,
+        F.slice(ends, 1, F.size(opens)),
+        lambda x, e: F.struct(x["value"].alias("value"), x["at"].alias("start"), (e - x["at"]).alias("len")),
     )
 
 
@@ -53,18 +61,17 @@ def boundaries_clean(ids: Column, mask: Column, end_id: int) -> Column:
     A run end is a position with mask 1 whose successor has mask 0, so one pass
     over the mask suffices and a trailing target run is not looked at.
     """
-    return F.forall(
-        F.sequence(F.lit(0), F.greatest(F.size(mask) - 1, F.lit(0))),
-        lambda i: ~(
-            (F.coalesce(F.get(mask, i), F.lit(0)) == 1) & (F.coalesce(F.get(mask, i + 1), F.lit(1)) == 0)
-        )
-        | (F.get(ids, i) == end_id),
+    bad = F.zip_with(
+        _paired(ids, mask),
+        F.slice(mask, 2, F.greatest(F.size(mask) - 1, F.lit(0))),
+        lambda x, after: (x["mask"] == 1) & F.coalesce(after == 0, F.lit(False)) & (x["id"] != end_id),
     )
+    return ~F.exists(bad, lambda b: b)
 
 
 def target_count(ids: Column, mask: Column, token_id: int) -> Column:
     """How often the token is a loss target."""
-    return F.size(F.filter(ids, lambda t, i: (t == token_id) & (F.get(mask, i) == 1)))
+    return F.size(F.filter(_paired(ids, mask), lambda x: (x["id"] == token_id) & (x["mask"] == 1)))
 
 
 def cu_seqlens(seq_lengths: Column) -> Column:

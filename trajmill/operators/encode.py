@@ -6,13 +6,17 @@ Arrow buffers; the rank-table encoder calls the tokenizer library once per batch
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+try:  # only rank encoders need it
+    import tiktoken
+except ImportError:
+    tiktoken = None
 
 from trajmill import constants as C
 from trajmill.operators.chat import IM_LAYOUT, Layout, mask_pieces
@@ -21,55 +25,63 @@ from trajmill.operators.chat import IM_LAYOUT, Layout, mask_pieces
 class ByteEncoder:
     """Token ids are UTF-8 bytes.  Lengths equal ``octet_length`` of the text."""
 
+    def shared(self, spark: SparkSession) -> ByteEncoder:
+        return self
+
+    def open(self) -> ByteEncoder:
+        return self
+
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        texts = texts.cast(pa.large_string()).cast(pa.large_binary())
-        if texts.null_count:
-            texts = texts.fill_null(b"")
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
+        raw = texts.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = raw.buffers()[2]
         values = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
         values = values[offsets[0] : offsets[-1]].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(values))
 
     def decode(self, ids: pa.ListArray) -> list[str]:
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
-        out, at = [], 0
-        for n in ids.value_lengths().fill_null(0).to_pylist():
-            out.append(flat[at : at + n].decode("utf-8", "replace"))
-            at += n
-        return out
+        ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        return [flat[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends)]
 
 
-@dataclass(frozen=True)
 class RankEncoder:
     """Byte-pair encoding from a rank table.  Special tokens in the text keep their ids."""
 
-    ranks: dict[bytes, int]
-    pattern: str = C.PRETOKEN_PATTERN
-    special: dict[str, int] = field(default_factory=lambda: dict(C.SPECIAL_TOKENS))
+    def __init__(
+        self,
+        ranks: dict[bytes, int] | Broadcast,
+        pattern: str = C.PRETOKEN_PATTERN,
+        special: dict[str, int] = C.SPECIAL_TOKENS,
+    ):
+        self.ranks, self.pattern, self.special = ranks, pattern, special
 
-    def _library(self):
-        found = _encodings.get(id(self))
-        if found is None:
-            import tiktoken
+    def shared(self, spark: SparkSession) -> RankEncoder:
+        """The same encoder with its ranks as a broadcast; a rank table is bounded by its ranks."""
+        return RankEncoder(spark.sparkContext.broadcast(self.ranks), self.pattern, self.special)
+
+    def open(self) -> RankTask:
+        ranks = self.ranks if isinstance(self.ranks, dict) else self.ranks.value
+        library = tiktoken.Encoding(
+            name="ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens=self.special
+        )
+        return RankTask(library)
 
-            found = tiktoken.Encoding(
-                name="ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens=self.special
-            )
-            _encodings[id(self)] = found
-        return found
+
+class RankTask:
+    """A rank encoder inside one task."""
+
+    def __init__(self, library):
+        self.library = library
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        library = self._library()
-        rows = [library.encode(t or "", allowed_special="all") for t in texts.to_pylist()]
+        rows = [self.library.encode(t or "", allowed_special="all") for t in texts.to_pylist()]
         return pa.array(rows, type=pa.list_(pa.int32()))
 
     def decode(self, ids: pa.ListArray) -> list[str]:
-        library = self._library()
-        return [library.decode(row or []) for row in ids.to_pylist()]
+        return [self.library.decode(row or []) for row in ids.to_pylist()]
 
 
-_encodings: dict[int, object] = {}
 Encoder = ByteEncoder | RankEncoder
 
 
@@ -85,11 +97,6 @@ def rank_encoder(vocab: DataFrame, limit: int = C.VOCAB_RANK_LIMIT, **options) -
     return RankEncoder(ranks, **options)
 
 
-def parse_vocab_line(line: str) -> tuple[bytes, int]:
-    token, rank = line.split()
-    return base64.b64decode(token), int(rank)
-
-
 def _with_list(batch: pa.RecordBatch, drop: list[str], columns: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = [n for n in batch.schema.names if n not in drop]
     return pa.RecordBatch.from_arrays(
@@ -97,47 +104,59 @@ def _with_list(batch: pa.RecordBatch, drop: list[str], columns: dict[str, pa.Arr
     )
 
 
+def _schema(df: DataFrame, without: str, added: str) -> str:
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != without]
+    return ", ".join([*kept, added])
+
+
 def encode_column(df: DataFrame, text: str, encoder: Encoder, ids: str = "input_ids") -> DataFrame:
     """Replace a text column by its ids; all other columns pass through."""
-    shared = df.sparkSession.sparkContext.broadcast(encoder)  # at most one rank table
-    kept = [f for f in df.schema.fields if f.name != text]
+    shared = encoder.shared(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = shared.open()
         for batch in batches:
-            yield _with_list(batch, [text], {ids: shared.value.encode(batch.column(text))})
+            yield _with_list(batch, [text], {ids: task.encode(batch.column(text))})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{ids}` array<int>"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, _schema(df, text, f"`{ids}` array<int>"))
 
 
 def decode_column(df: DataFrame, ids: str, encoder: Encoder, text: str = "text") -> DataFrame:
     """Replace an id column by its text."""
-    shared = df.sparkSession.sparkContext.broadcast(encoder)
-    kept = [f for f in df.schema.fields if f.name != ids]
+    shared = encoder.shared(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = shared.open()
         for batch in batches:
-            yield _with_list(batch, [ids], {text: pa.array(shared.value.decode(batch.column(ids)), pa.string())})
+            yield _with_list(batch, [ids], {text: pa.array(task.decode(batch.column(ids)), pa.string())})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{text}` string"])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, _schema(df, ids, f"`{text}` string"))
 
 
-def encode_pieces(df: DataFrame, pieces: str, encoder: Encoder, ids: str = "piece_ids") -> DataFrame:
-    """Replace ``array<string>`` by ``array<array<int>>``, encoding each piece on its own."""
-    shared = df.sparkSession.sparkContext.broadcast(encoder)
-    kept = [f for f in df.schema.fields if f.name != pieces]
+def _ids_and_mask(
+    lens: np.ndarray, rows: np.ndarray, targets: np.ndarray, header: int, n_rows: int, max_length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which tokens of a batch stay, their mask, and row lengths after and before the cut.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(pieces)
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            encoded = shared.value.encode(lists.flatten())
-            yield _with_list(batch, [pieces], {ids: pa.ListArray.from_arrays(offsets, encoded)})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{ids}` array<array<int>>"])
-    return df.mapInArrow(run, schema)
+    One entry per piece: its length, its row and whether it is an assistant turn.  The last
+    piece of each row is the header.
+    """
+    last = np.append(rows[1:] != rows[:-1], True) if len(rows) else np.empty(0, bool)
+    first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.empty(0, bool)
+    before = np.append(False, targets[:-1])  # of the piece before, inside the row
+    # The trailing header stays only behind a turn of another kind.
+    keep_piece = ~last | (~before & ~first)
+    moved = targets & ~first & ~before  # its header belongs to the turn before
+
+    piece = np.repeat(np.arange(len(lens)), lens)
+    in_piece = np.arange(len(piece)) - np.repeat(np.cumsum(lens) - lens, lens)
+    mask = targets[piece] & ~(moved[piece] & (in_piece < header))
+    kept_lens = np.where(keep_piece, lens, 0)
+    whole = np.bincount(rows, weights=kept_lens, minlength=n_rows).astype(np.int64)
+    row_start = np.cumsum(whole) - whole
+    in_row = in_piece + (np.cumsum(kept_lens) - kept_lens)[piece] - row_start[rows[piece]]
+    stays = keep_piece[piece] & (in_row < max_length)
+    return stays, mask, np.minimum(whole, max_length), whole
 
 
 def tokenize_rows(
@@ -150,50 +169,43 @@ def tokenize_rows(
 ) -> DataFrame:
     """Trajectory rows to ``input_ids, completion_mask, seq_lengths, orig_len``, without a shuffle.
 
-    Each piece is encoded once.  The header of an assistant turn that follows another kind
-    of turn belongs to the prompt, and a conversation that ends on another kind of turn
-    keeps a trailing header.
+    Rendering happens in the JVM and each piece is encoded once.  The header of an assistant
+    turn that follows another kind of turn belongs to the prompt, and a conversation that
+    ends on another kind of turn keeps a trailing header.
     """
-    header = F.lit(layout.generation)
-    found = mask_pieces(F.col(messages), layout, with_calls)
-    # The header is its own special-token-led text, so adding it as a piece of its own and
-    # cutting it from the assistant piece gives the same ids at the same places.
-    pieces = df.withColumn("_pieces", found).select(
-        *[c for c in df.columns if c != messages],
-        F.col("_pieces.target").alias("_targets"),
-        F.concat(F.col("_pieces.text"), F.array(header)).alias("_texts"),
-    )
-    encoded = encode_pieces(pieces, "_texts", encoder, "_ids")
-    n = F.size("_targets")
-    sizes = F.transform("_ids", lambda x: F.size(x))
-    head = F.element_at(sizes, -1)
-    # Length from the start of each piece to its end, with the header moved one turn back.
-    spans = F.transform(
-        "_targets",
-        lambda t, i: F.struct(
-            t.cast("int").alias("flag"),
-            (
-                F.get(sizes, i)
-                + F.when(t, F.lit(0)).otherwise(head)
-                - F.when((i > 0) & ~F.coalesce(F.get(F.col("_targets"), i - 1), F.lit(False)), head).otherwise(F.lit(0))
-            ).alias("len"),
-        ),
-    )
-    ends_open = (n > 0) & ~F.coalesce(F.element_at(F.col("_targets"), -1), F.lit(False))
-    ids = F.flatten(F.when(ends_open, F.col("_ids")).otherwise(F.slice("_ids", 1, n)))
-    mask = F.flatten(F.transform(spans, lambda s: F.array_repeat(s["flag"], s["len"])))
-    return encoded.withColumn("_all", ids).withColumn("_mask", mask).select(
-        *[c for c in encoded.columns if not c.startswith("_")],
-        F.slice("_all", 1, max_length).alias("input_ids"),
-        F.slice("_mask", 1, max_length).alias("completion_mask"),
-        F.array(F.least(F.size("_all"), F.lit(max_length))).alias("seq_lengths"),
-        F.size("_all").alias("orig_len"),
+    shared = encoder.shared(df.sparkSession)
+    others = [c for c in df.columns if c != messages]
+    pieces = df.withColumn("_pieces", mask_pieces(F.col(messages), layout, with_calls)).select(
+        *others,
+        F.concat("_pieces.target", F.array(F.lit(False))).alias("_targets"),
+        F.concat("_pieces.text", F.array(F.lit(layout.generation))).alias("_texts"),
     )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = shared.open()
+        for batch in batches:
+            texts, flags = batch.column("_texts"), batch.column("_targets").flatten()
+            rows = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy(zero_copy_only=False))
+            encoded = task.encode(texts.flatten())
+            lens = encoded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            header = int(lens[-1]) if len(lens) else 0
+            targets = flags.fill_null(False).to_numpy(zero_copy_only=False)
+            stays, mask, cut, whole = _ids_and_mask(lens, rows, targets, header, len(texts), max_length)
+            offsets = pa.array(np.append(0, np.cumsum(cut)).astype(np.int32))
+            ids = encoded.flatten().to_numpy(zero_copy_only=False)[stays]
+            size = pa.array(cut.astype(np.int32))
+            yield _with_list(
+                batch,
+                ["_texts", "_targets"],
+                {
+                    "input_ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
+                    "completion_mask": pa.ListArray.from_arrays(offsets, pa.array(mask[stays].astype(np.int32))),
+                    "seq_lengths": pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1, dtype=np.int32)), size),
+                    "orig_len": pa.array(whole.astype(np.int32)),
+                },
+            )
 
-def byte_ids(text: Column) -> Column:
-    """Byte ids as a column expression, for short texts."""
-    return F.transform(
-        F.filter(F.split(F.regexp_replace(F.hex(F.encode(text, "utf-8")), "(..)", "$1 "), " "), lambda h: h != ""),
-        lambda h: F.conv(h, 16, 10).cast("int"),
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != messages)
+    return pieces.mapInArrow(
+        run, kept + "input_ids array<int>, completion_mask array<int>, seq_lengths array<int>, orig_len int"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trajmill import constants as C
 from trajmill.functions import text as X
-from trajmill.functions.numbers import elapsed_seconds, whole_div
+from trajmill.functions.numbers import elapsed_seconds, log_time, whole_div
 from trajmill.operators import attempts, audit, grades, predictions, publish
 from trajmill.plans import views as V
 from trajmill.plans.corpus import REDACTION, _redact_sql
@@ -241,8 +241,6 @@ def _(spark, sf):
 def _(spark, sf):
     o, l = V.table(spark, sf, "orders"), V.table(spark, sf, "lineitem")
     text = lambda c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
-    from trajmill.functions.numbers import log_time
-
     spent = elapsed_seconds(log_time(text("o_orderdate")), log_time(text("l_shipdate")))
     return o.join(l, o["o_orderkey"] == l["l_orderkey"]).select("o_orderkey", spent.cast("bigint").alias("seconds"), "l_linenumber")
 
