@@ -1,31 +1,45 @@
 """Array expressions on token rows.  Nothing here explodes a token array.
 
-Neighbouring elements are paired by zipping an array with its shifted self.  Looking up
-``get(mask, i)`` inside a lambda would evaluate a computed mask once per element.
+Masks are long and their runs are few, so everything that depends on the mask works on
+``[{value, start, len}]`` runs and moves tokens by slices.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from trajmill import constants as C
 
+RUNS = "array<struct<value:int,start:int,len:int>>"
+
 
 def truncate(values: Column, length: int) -> Column:
     return F.slice(values, 1, length)
 
 
-def _paired(ids: Column, mask: Column) -> Column:
-    return F.zip_with(ids, mask, lambda t, m: F.struct(t.alias("id"), m.alias("mask")))
+def pick_by_runs(ids: Column, runs: Column, flag: int) -> Column:
+    """Ids whose mask equals the flag: 1 gives targets, 0 gives the prompt."""
+    mine = F.filter(runs, lambda r: r["value"] == flag)
+    return F.flatten(F.transform(mine, lambda r: F.slice(ids, r["start"] + 1, r["len"])))
 
 
-def pick_by_mask(ids: Column, mask: Column, flag: int) -> Column:
-    """Ids whose mask equals the flag: 1 gives targets, 0 gives the prompt."""
-    return F.transform(F.filter(_paired(ids, mask), lambda x: x["mask"] == flag), lambda x: x["id"])
+def masked_count(runs: Column, flag: int = 1) -> Column:
+    """Number of positions with the flag."""
+    return F.aggregate(runs, F.lit(0), lambda a, r: a + F.when(r["value"] == flag, r["len"]).otherwise(0))
 
 
-def labels(ids: Column, mask: Column) -> Column:
-    return F.zip_with(ids, mask, lambda t, m: F.when(m == 1, t).otherwise(F.lit(C.IGNORED_LABEL)))
+def labels(ids: Column, runs: Column) -> Column:
+    """The id at targets and the ignored label elsewhere."""
+    return F.flatten(
+        F.transform(
+            runs,
+            lambda r: F.when(r["value"] == 1, F.slice(ids, r["start"] + 1, r["len"])).otherwise(
+                F.array_repeat(F.lit(C.IGNORED_LABEL), r["len"])
+            ),
+        )
+    )
 
 
 def chat_labels(label_ids: Column, keep: tuple[int, ...] = C.CHAT_TOKEN_IDS) -> Column:
@@ -38,40 +52,47 @@ def mask_of_spans(spans: Column) -> Column:
     return F.flatten(F.transform(spans, lambda s: F.array_repeat(s["flag"], s["len"].cast("int"))))
 
 
-def mask_runs(mask: Column) -> Column:
-    """Run-length form ``[{value, start, len}]`` of a mask, computed from its change points."""
-    n = F.size(mask)
-    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(mask, 1, F.greatest(n - 1, F.lit(0))))
-    marked = F.transform(
-        F.zip_with(mask, before, lambda m, p: F.struct(m.alias("value"), (~m.eqNullSafe(p)).alias("opens"))),
-        lambda x, i: F.struct(x["value"].alias("value"), x["opens"].alias("opens"), i.alias("at")),
-    )
-    opens = F.filter(marked, lambda x: x["opens"])
-    ends = F.concat(F.transform(F.slice(opens, 2, F.greatest(n, F.lit(0))), lambda x: x["at"]), F.array(n))
-    return F.zip_with(
-        opens,
-        F.slice(ends, 1, F.size(opens)),
-        lambda x, e: F.struct(x["value"].alias("value"), x["at"].alias("start"), (e - x["at"]).alias("len")),
+def runs_of_lists(masks: pa.ListArray) -> pa.ListArray:
+    """Run-length form of each mask of an Arrow batch."""
+    sizes = masks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = masks.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    opens = np.ones(len(values), bool)
+    opens[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(opens)
+    lens = np.diff(np.append(at, len(values)))
+    counts = np.bincount(row[at], minlength=len(sizes)) if len(at) else np.zeros(len(sizes), np.int64)
+    starts = at - (ends - sizes)[row[at]]
+    runs = pa.StructArray.from_arrays(
+        [pa.array(values[at].astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(lens.astype(np.int32))],
+        ["value", "start", "len"],
     )
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), runs)
 
 
-def boundaries_clean(ids: Column, mask: Column, end_id: int) -> Column:
+def mask_runs(mask: Column) -> Column:
+    """Run-length form ``[{value, start, len}]`` of a mask, found in Arrow batches."""
+
+    def find(masks: pa.Array) -> pa.Array:
+        return runs_of_lists(masks)
+
+    return F.arrow_udf(find, RUNS)(mask)
+
+
+def boundaries_clean(ids: Column, runs: Column, end_id: int) -> Column:
     """Each target run that a prompt run follows ends with the end token.
 
-    A run end is a position with mask 1 whose successor has mask 0, so one pass
-    over the mask suffices and a trailing target run is not looked at.
+    Runs alternate, so every target run but a last one is followed by a prompt run.
     """
-    bad = F.zip_with(
-        _paired(ids, mask),
-        F.slice(mask, 2, F.greatest(F.size(mask) - 1, F.lit(0))),
-        lambda x, after: (x["mask"] == 1) & F.coalesce(after == 0, F.lit(False)) & (x["id"] != end_id),
-    )
-    return ~F.exists(bad, lambda b: b)
+    inner = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
+    return F.forall(inner, lambda r: (r["value"] == 0) | (F.get(ids, r["start"] + r["len"] - 1) == end_id))
 
 
-def target_count(ids: Column, mask: Column, token_id: int) -> Column:
+def target_count(ids: Column, runs: Column, token_id: int) -> Column:
     """How often the token is a loss target."""
-    return F.size(F.filter(_paired(ids, mask), lambda x: (x["id"] == token_id) & (x["mask"] == 1)))
+    targets = pick_by_runs(ids, runs, 1)
+    return F.size(targets) - F.size(F.array_remove(targets, token_id))
 
 
 def cu_seqlens(seq_lengths: Column) -> Column:

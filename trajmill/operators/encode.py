@@ -19,6 +19,7 @@ except ImportError:
     tiktoken = None
 
 from trajmill import constants as C
+from trajmill.functions.arrays import RUNS, runs_of_lists
 from trajmill.operators.chat import IM_LAYOUT, Layout, mask_pieces
 
 
@@ -75,8 +76,10 @@ class RankTask:
         self.library = library
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
-        rows = [self.library.encode(t or "", allowed_special="all") for t in texts.to_pylist()]
-        return pa.array(rows, type=pa.list_(pa.int32()))
+        rows = [self.library.encode_to_numpy(t or "", allowed_special="all") for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        flat = np.concatenate(rows) if rows else np.empty(0)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
 
     def decode(self, ids: pa.ListArray) -> list[str]:
         return [self.library.decode(row or []) for row in ids.to_pylist()]
@@ -121,16 +124,18 @@ def encode_column(df: DataFrame, text: str, encoder: Encoder, ids: str = "input_
     return df.mapInArrow(run, _schema(df, text, f"`{ids}` array<int>"))
 
 
-def decode_column(df: DataFrame, ids: str, encoder: Encoder, text: str = "text") -> DataFrame:
-    """Replace an id column by its text."""
+def decode_columns(df: DataFrame, columns: dict[str, str], encoder: Encoder) -> DataFrame:
+    """Replace id columns by their texts; ``columns`` maps id column to text column."""
     shared = encoder.shared(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = shared.open()
         for batch in batches:
-            yield _with_list(batch, [ids], {text: pa.array(task.decode(batch.column(ids)), pa.string())})
+            texts = {t: pa.array(task.decode(batch.column(i)), pa.string()) for i, t in columns.items()}
+            yield _with_list(batch, list(columns), texts)
 
-    return df.mapInArrow(run, _schema(df, ids, f"`{text}` string"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in columns]
+    return df.mapInArrow(run, ", ".join([*kept, *(f"`{t}` string" for t in columns.values())]))
 
 
 def _ids_and_mask(
@@ -167,7 +172,10 @@ def tokenize_rows(
     with_calls: bool = False,
     messages: str = "messages",
 ) -> DataFrame:
-    """Trajectory rows to ``input_ids, completion_mask, seq_lengths, orig_len``, without a shuffle.
+    """Trajectory rows to token columns, without a shuffle.
+
+    Adds ``input_ids, completion_mask, seq_lengths``, the length before the cut ``orig_len``
+    and the run-length form of the mask ``mask_runs``.
 
     Rendering happens in the JVM and each piece is encoded once.  The header of an assistant
     turn that follows another kind of turn belongs to the prompt, and a conversation that
@@ -194,18 +202,19 @@ def tokenize_rows(
             offsets = pa.array(np.append(0, np.cumsum(cut)).astype(np.int32))
             ids = encoded.flatten().to_numpy(zero_copy_only=False)[stays]
             size = pa.array(cut.astype(np.int32))
+            masks = pa.ListArray.from_arrays(offsets, pa.array(mask[stays].astype(np.int32)))
             yield _with_list(
                 batch,
                 ["_texts", "_targets"],
                 {
                     "input_ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
-                    "completion_mask": pa.ListArray.from_arrays(offsets, pa.array(mask[stays].astype(np.int32))),
+                    "completion_mask": masks,
                     "seq_lengths": pa.ListArray.from_arrays(pa.array(np.arange(len(cut) + 1, dtype=np.int32)), size),
                     "orig_len": pa.array(whole.astype(np.int32)),
+                    "mask_runs": runs_of_lists(masks),
                 },
             )
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != messages)
-    return pieces.mapInArrow(
-        run, kept + "input_ids array<int>, completion_mask array<int>, seq_lengths array<int>, orig_len int"
-    )
+    added = "input_ids array<int>, completion_mask array<int>, seq_lengths array<int>, orig_len int"
+    return pieces.mapInArrow(run, f"{kept}{added}, mask_runs {RUNS}")

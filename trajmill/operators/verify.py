@@ -4,27 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trajmill.functions.arrays import boundaries_clean, pick_by_mask, target_count
-from trajmill.operators.encode import Encoder, decode_column
+from trajmill.functions.arrays import boundaries_clean, mask_runs, pick_by_runs, target_count
+from trajmill.operators.encode import Encoder, decode_columns
+
+
+def with_runs(df: DataFrame) -> DataFrame:
+    """Add ``mask_runs`` to token rows that do not bring it."""
+    return df if "mask_runs" in df.columns else df.withColumn("mask_runs", mask_runs(F.col("completion_mask")))
 
 
 def verify_tokens(df: DataFrame, end_id: int) -> DataFrame:
     """Row flags: equal lengths, clean boundaries, number of end tokens in the loss."""
-    return df.withColumns(
+    ids, runs = F.col("input_ids"), F.col("mask_runs")
+    return with_runs(df).withColumns(
         {
             "lengths_equal": F.size("input_ids") == F.size("completion_mask"),
-            "boundaries_clean": boundaries_clean(F.col("input_ids"), F.col("completion_mask"), end_id),
-            "n_end_targets": target_count(F.col("input_ids"), F.col("completion_mask"), end_id),
+            "boundaries_clean": boundaries_clean(ids, runs, end_id),
+            "n_end_targets": target_count(ids, runs, end_id),
         }
     )
 
 
 def decoded_views(df: DataFrame, encoder: Encoder) -> DataFrame:
     """``text``, ``prompt_text`` and ``target_text`` of each row."""
-    ids, mask = F.col("input_ids"), F.col("completion_mask")
-    parts = df.withColumns(
-        {"_all": ids, "_prompt": pick_by_mask(ids, mask, 0), "_target": pick_by_mask(ids, mask, 1)}
+    ids, runs = F.col("input_ids"), F.col("mask_runs")
+    kept = [c for c in df.columns if c not in ("input_ids", "completion_mask", "mask_runs", "seq_lengths")]
+    parts = with_runs(df).select(
+        *kept, ids.alias("_all"), pick_by_runs(ids, runs, 0).alias("_prompt"), pick_by_runs(ids, runs, 1).alias("_target")
     )
-    for source, name in (("_all", "text"), ("_prompt", "prompt_text"), ("_target", "target_text")):
-        parts = decode_column(parts, source, encoder, name)
-    return parts
+    return decode_columns(parts, {"_all": "text", "_prompt": "prompt_text", "_target": "target_text"}, encoder)

@@ -115,7 +115,7 @@ def _redact_sql(column: str) -> str:
     f"""SELECT doc_id, length({_redact_sql('text')}) AS n_left, md5({_redact_sql('text')}) AS redacted_md5 FROM documents""",
 )
 def _(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", X.redact(F.col("text"), REDACTION).alias("r"))
+    docs = V.documents(spark, sf).select("doc_id", X.redact(F.col("text"), REDACTION).alias("r"))
     return docs.select("doc_id", F.char_length("r").cast("bigint").alias("n_left"), F.md5(F.col("r").cast("binary")).alias("redacted_md5"))
 
 

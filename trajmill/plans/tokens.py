@@ -123,7 +123,7 @@ def _(spark, sf):
 
 def _rows(spark, sf):
     """Three messages per row: the body, the patch as the answer, and the language as a reply."""
-    rows = V.traj_rows(spark, sf)
+    rows = V.traj_rows(spark, sf, heavy=True)
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return rows.select(
         "row_id", F.array(turn("user", F.col("body")), turn("assistant", F.col("patch")), turn("user", F.col("model"))).alias("messages")
@@ -161,7 +161,7 @@ def _(spark, sf):
         "row_id",
         F.col("orig_len").cast("bigint").alias("orig_len"),
         F.get("seq_lengths", F.lit(0)).cast("bigint").alias("n_ids"),
-        F.aggregate("completion_mask", F.lit(0), lambda a, m: a + m).cast("bigint").alias("n_target"),
+        A.masked_count(F.col("mask_runs")).cast("bigint").alias("n_target"),
     )
 
 
@@ -185,9 +185,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """A wrong end token is noticed unless the answer is the last run of the cut row."""
-    ids, mask = F.col("input_ids"), F.col("completion_mask")
+    ids, runs = F.col("input_ids"), F.col("mask_runs")
     return _tokens(spark, sf).select(
-        "row_id", A.boundaries_clean(ids, mask, 10).alias("clean_line_feed"), A.boundaries_clean(ids, mask, 62).alias("clean_other")
+        "row_id", A.boundaries_clean(ids, runs, 10).alias("clean_line_feed"), A.boundaries_clean(ids, runs, 62).alias("clean_other")
     )
 
 
@@ -197,11 +197,11 @@ def _(spark, sf):
     "traj_rows",
 )
 def _(spark, sf):
-    ids, mask = F.col("input_ids"), F.col("completion_mask")
+    ids, runs = F.col("input_ids"), F.col("mask_runs")
     return _tokens(spark, sf).select(
         "row_id",
-        F.size(F.filter(mask, lambda m: m == 1)).cast("bigint").alias("n_targets"),
-        A.target_count(ids, mask, 10).cast("bigint").alias("n_end_targets"),
+        A.masked_count(runs).cast("bigint").alias("n_targets"),
+        A.target_count(ids, runs, 10).cast("bigint").alias("n_end_targets"),
     )
 
 
@@ -220,11 +220,11 @@ def _(spark, sf):
     "traj_rows",
 )
 def _(spark, sf):
-    ids, mask = F.col("input_ids"), F.col("completion_mask")
+    ids, runs = F.col("input_ids"), F.col("mask_runs")
     return _tokens(spark, sf).select(
         "row_id",
-        F.size(A.pick_by_mask(ids, mask, 1)).cast("bigint").alias("n_target"),
-        F.size(A.pick_by_mask(ids, mask, 0)).cast("bigint").alias("n_prompt"),
+        F.size(A.pick_by_runs(ids, runs, 1)).cast("bigint").alias("n_target"),
+        F.size(A.pick_by_runs(ids, runs, 0)).cast("bigint").alias("n_prompt"),
     )
 
 
@@ -235,13 +235,14 @@ def _(spark, sf):
     "traj_rows",
 )
 def _(spark, sf):
-    marks = _tokens(spark, sf).select("row_id", A.labels(F.col("input_ids"), F.col("completion_mask")).alias("labels"))
-    kept = F.filter(A.chat_labels(F.col("labels"), (10,)), lambda t: t != C.IGNORED_LABEL)
-    return marks.select(
+    marks = A.labels(F.col("input_ids"), F.col("mask_runs"))
+    rows = _tokens(spark, sf).select("row_id", marks.alias("labels"), A.chat_labels(marks, (10,)).alias("chat"))
+    used = lambda c: F.size(F.array_remove(c, C.IGNORED_LABEL))
+    return rows.select(
         "row_id",
         F.size("labels").cast("bigint").alias("n_labels"),
-        F.size(F.filter("labels", lambda t: t == C.IGNORED_LABEL)).cast("bigint").alias("n_ignored"),
-        F.size(kept).cast("bigint").alias("n_chat_labels"),
+        (F.size("labels") - used("labels")).cast("bigint").alias("n_ignored"),
+        used("chat").cast("bigint").alias("n_chat_labels"),
     )
 
 
@@ -331,11 +332,11 @@ def corpus_vocab(spark, sf, words: int = 4096):
 def _(spark, sf):
     """Byte-pair encoding of every document with a vocabulary of the corpus, and back."""
     encoder = encode.rank_encoder(corpus_vocab(spark, sf))
-    docs = V.table(spark, sf, "documents").select(
+    docs = V.documents(spark, sf).select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("was"), "text"
     )
     ids = encode.encode_column(docs, "text", encoder).withColumn("n_ids", F.size("input_ids"))
-    back = encode.decode_column(ids, "input_ids", encoder)
+    back = encode.decode_columns(ids, {"input_ids": "text"}, encoder)
     return back.select(
         "doc_id", "n_bytes", (F.col("n_ids") <= F.col("n_bytes")).alias("shorter"), (F.md5(F.col("text").cast("binary")) == F.col("was")).alias("same_text")
     )
@@ -343,7 +344,7 @@ def _(spark, sf):
 
 @query("str_pretokenize", "SELECT doc_id, TRUE AS lossless, length(text) > 0 AS has_pieces FROM documents")
 def _(spark, sf):
-    docs = V.table(spark, sf, "documents").select("doc_id", "text", X.pretokenize(F.col("text")).alias("p"))
+    docs = V.documents(spark, sf).select("doc_id", "text", X.pretokenize(F.col("text")).alias("p"))
     return docs.select("doc_id", (F.array_join("p", "") == F.col("text")).alias("lossless"), (F.size("p") > 0).alias("has_pieces"))
 
 
@@ -406,9 +407,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Packed rows of the whole corpus: token arrays move once, by pack."""
-    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    docs = V.documents(spark, sf).select("doc_id", "text")
     tokens = encode.encode_column(docs, "text", encode.ByteEncoder()).withColumn(
-        "completion_mask", F.transform("input_ids", lambda t: (t % 2).cast("int"))
+        "completion_mask", F.array_repeat(F.lit(1), F.size("input_ids"))
     )
     packs = pack.build_packs(tokens, _plan(spark, sf), "doc_id", CAPACITY)
     filled = F.aggregate("seq_lengths", F.lit(0), lambda a, n: a + n)
@@ -498,7 +499,7 @@ def _(spark, sf):
 @query("udf_row_map", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_ids FROM documents")
 def _(spark, sf):
     """Row maps run in Arrow batches."""
-    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    docs = V.documents(spark, sf).select("doc_id", "text")
     return encode.encode_column(docs, "text", encode.ByteEncoder()).select("doc_id", F.size("input_ids").cast("bigint").alias("n_ids"))
 
 

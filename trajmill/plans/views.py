@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trajmill.functions.numbers import whole_div
+from trajmill.operators.spread import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def traj_rows(spark: SparkSession, sf: str) -> DataFrame:
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Document texts for work that costs more than a shuffle of its input."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
+def traj_rows(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
     """Trajectory rows for corpus building.  The label join is left to the optimizer."""
-    docs, marks = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    docs, marks = spread(docs, "doc_id") if heavy else docs, table(spark, sf, "labels").select("doc_id", "quality")
     patch = F.when(F.col("doc_id") % 5 == 0, "").otherwise(
         F.concat(F.lit("diff --git a/f"), (F.col("doc_id") % 7).cast("string"), F.lit(".py"))
     )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trajmill import constants as C, schemas
 from trajmill.functions.numbers import log_time
 from trajmill.functions.text import Rule, redact
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = schemas.TRAJECTORY) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.TRAJECTORY) -> DataFrame:
     """Trajectory rows, one JSON object per line."""
     return spark.read.schema(schema).json(path)
 
@@ -90,10 +90,8 @@ def read_reports(spark: SparkSession, glob: str) -> DataFrame:
 
     Unreadable files are left out; missing counts are 0 and missing ids an empty list.
     """
-    counts = [f.name for f in schemas.REPORT.fields if f.name != "resolved_ids"]
-    fields = schemas.REPORT.add(T.StructField("_bad", T.StringType())) if "_bad" not in schemas.REPORT.names else schemas.REPORT
     raw = (
-        spark.read.schema(T.StructType(fields.fields))
+        spark.read.schema(f"{schemas.REPORT}, _bad string")
         .option("multiLine", True)
         .option("columnNameOfCorruptRecord", "_bad")
         .json(glob)
@@ -103,7 +101,7 @@ def read_reports(spark: SparkSession, glob: str) -> DataFrame:
     return raw.select(
         F.regexp_extract(name, r"^(.*)-run\d+", 1).alias("tag"),
         F.regexp_extract(name, r"-run(\d+)", 1).cast("int").alias("run"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in schemas.REPORT_COUNTS],
         F.coalesce("resolved_ids", F.array().cast("array<string>")).alias("resolved_ids"),
     )
 
