@@ -169,23 +169,35 @@ def turn_segments(turns: DataFrame, key: str, position: str, role: str, content:
     ).withColumn("target", F.coalesce(F.col(role) == "assistant", F.lit(False)))
 
 
-def turn_spans(segmented: DataFrame, key: str, position: str, size: Column, header: int) -> DataFrame:
-    """Mask span of each turn: ``span_start``, ``span_len`` and ``target``.
-
-    ``size`` is the token count of the turn's own segment and ``header`` that of the
-    generation header; sizes must add up, as bytes do (a rank encoder has to see a run of tool
-    turns as one text: use ``tokenize_rows``).  The length up to a turn includes the header unless the turn is an
-    assistant turn, so a header joins the span of the turn before an assistant turn.
+def turn_spans(turns: DataFrame, key: str, position: str, role: str, content_size: Column, layout: Layout = IM_LAYOUT) -> DataFrame:
+    """Mask span of each turn: ``span_start``, ``span_len`` and ``target``, sized in bytes.
+
+    Narrow rows only: the size of a segment is that of its content plus that of its marks.
+    The length up to a turn includes the generation header unless the turn is an assistant
+    turn, so a header joins the span of the turn before an assistant turn.  Sizes have to
+    add up along a conversation, as bytes do; a rank encoder needs a run of tool turns as
+    one text, see ``tokenize_rows``.
     """
-    sized = segmented.withColumn("_size", size.cast("bigint"))
+    narrow = turns.select(key, position, F.col(role).alias("role"), content_size.cast("bigint").alias("_content"))
+    seen = in_key_context(
+        narrow,
+        key,
+        position,
+        previous={"previous_role": F.coalesce("role", F.lit(""))},  # null only before the first turn
+        following={"next_role": F.col("role")},
+    )
+    marks = F.octet_length(segment(F.col("role"), F.lit(""), F.col("previous_role"), F.col("next_role"), layout))
+    size = F.when(marks > 0, marks + F.coalesce("_content", F.lit(0))).otherwise(F.lit(0))
+    sized = seen.withColumn("_size", size.cast("bigint")).withColumn(
+        "target", F.coalesce(F.col("role") == "assistant", F.lit(False))
+    )
     summed = in_key_context(sized, key, position, sums={"_upto": F.col("_size")})
-    tail = F.when(F.col("target"), F.lit(0)).otherwise(F.lit(header))
-    lead = F.when(F.col("previous_role").isNull() | (F.col("previous_role") == "assistant"), F.lit(0)).otherwise(F.lit(header))
-    start = F.col("_upto") - F.col("_size") + lead
-    return (
-        summed.withColumn("span_start", start.cast("bigint"))
-        .withColumn("span_len", (F.col("_upto") + tail - F.col("span_start")).cast("bigint"))
-        .drop("_size", "_upto")
+    header = F.lit(len(layout.generation.encode()))
+    tail = F.when(F.col("target"), F.lit(0)).otherwise(header)
+    lead = F.when(F.col("previous_role").isNull() | (F.col("previous_role") == "assistant"), F.lit(0)).otherwise(header)
+    start = (F.col("_upto") - F.col("_size") + lead).cast("bigint")
+    return summed.select(
+        key, position, "role", "target", start.alias("span_start"), (F.col("_upto") + tail - start).cast("bigint").alias("span_len")
     )
 
 

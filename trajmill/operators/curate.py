@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trajmill import constants as C, scratch
 from trajmill.functions.numbers import budget
 from trajmill.operators.ordering import Cut, find_cut, seed_hash
+from trajmill.operators.spread import broadcast_if_small
 
 
 def verified_rows(df: DataFrame) -> DataFrame:
@@ -162,8 +163,7 @@ def mix_under_budget(
     rows of the key at most ``cap``, and exclusive running total below the target.
 
     ``df`` has ``row_id, instance_id, verified`` and the size column; all other columns
-    are carried through.  Ranks and totals are worked out on narrow rows; the payload is
-    filtered by the crossing row before it is shuffled.
+    are carried through.  Ranks and totals are worked out on narrow rows.
     """
     narrow_all = df.select("row_id", "instance_id", "verified", F.col(size).cast("bigint").alias("size"), *[c for c in order if c != "row_id"])
     verified = cap_per_key(verified_rows(df), order, cap)
@@ -187,9 +187,11 @@ def mix_under_budget(
     eligible = scratch.materialize(cap_per_key(narrow.where("fits"), by_seed, cap, rank="_rank"), "mix-eligible")
     cut = find_cut(eligible, F.col("size"), total["target"], "_hash", "row_id")
 
+    # The payload is filtered by the crossing row first and then by the kept ids.
+    kept = broadcast_if_small(eligible.where(cut.covers("_hash", "row_id")).select("row_id"))
     wide = df.withColumn("_hash", seed_hash(seed, "row_id")).where(
         cut.covers("_hash", "row_id") & (F.col(size) <= max_size)
     )
-    extra = cap_per_key(uncovered_rows(wide, covered), by_seed, cap).withColumnRenamed("_hash", "shuffle_key")
+    extra = wide.join(kept, "row_id", "left_semi").withColumnRenamed("_hash", "shuffle_key")
     verified = verified.withColumn("shuffle_key", F.lit(None).cast("string")).withColumn("size", F.col(size))
     return Mix(verified, extra.withColumn("size", F.col(size)), narrow, eligible, total["chars"], total["target"], cut, cap)

@@ -100,6 +100,13 @@ def rank_encoder(vocab: DataFrame, limit: int = C.VOCAB_RANK_LIMIT, **options) -
     return RankEncoder(ranks, **options)
 
 
+def _parts(batch: pa.RecordBatch, size: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of about ``size`` bytes, so that long rows do not pile up in a worker."""
+    rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _with_list(batch: pa.RecordBatch, drop: list[str], columns: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = [n for n in batch.schema.names if n not in drop]
     return pa.RecordBatch.from_arrays(
@@ -118,7 +125,7 @@ def encode_column(df: DataFrame, text: str, encoder: Encoder, ids: str = "input_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = shared.open()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             yield _with_list(batch, [text], {ids: task.encode(batch.column(text))})
 
     return df.mapInArrow(run, _schema(df, text, f"`{ids}` array<int>"))
@@ -130,7 +137,7 @@ def decode_columns(df: DataFrame, columns: dict[str, str], encoder: Encoder) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = shared.open()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             texts = {t: pa.array(task.decode(batch.column(i)), pa.string()) for i, t in columns.items()}
             yield _with_list(batch, list(columns), texts)
 
@@ -191,7 +198,7 @@ def tokenize_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = shared.open()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             texts, flags = batch.column("_texts"), batch.column("_targets").flatten()
             rows = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy(zero_copy_only=False))
             encoded = task.encode(texts.flatten())

@@ -135,8 +135,11 @@ def subset_of_resolved(graded: DataFrame) -> DataFrame:
 
 
 def with_resolved_flag(rows: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:
-    """``resolved`` is true if the row's key is in the resolved list of its run."""
-    hits = resolved.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    """``resolved`` is true if the row's key is in the resolved list of its run.
+
+    ``resolved`` holds each key once.
+    """
+    hits = resolved.select(*keys, F.lit(True).alias("_hit"))
     return rows.join(hits, keys, "left").withColumn("resolved", F.col("_hit").isNotNull()).drop("_hit")
 
 

@@ -17,6 +17,7 @@ from trajmill import scratch
 from trajmill.functions.numbers import whole_div
 
 BUCKET_DIGITS = 3  # 4096 buckets
+EDGE_ROWS = 100_000
 
 
 def seed_hash(seed: int, row_id: Column | str) -> Column:
@@ -29,9 +30,12 @@ def _bucket(hash_col: Column, digits: int) -> Column:
 
 
 def bucket_offsets(df: DataFrame, value: Column, hash_col: str, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Total per bucket and total of all earlier buckets: at most ``16**digits`` rows."""
+    """Total per bucket and total of all earlier buckets.
+
+    At most ``16**digits`` rows, or that many of the last digits if all rows share a prefix.
+    """
     totals = df.groupBy(_bucket(F.col(hash_col), digits).alias("bucket")).agg(
-        F.sum(value).cast("bigint").alias("total")
+        F.sum(value).cast("bigint").alias("total"), F.count(F.lit(1)).alias("n_rows")
     )
     # The window input is already aggregated, so its size is bounded by the digits.
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -55,27 +59,40 @@ class Cut:
 
 
 def find_cut(
-    df: DataFrame, value: Column, limit: int, hash_col: str, id_col: str, digits: int = BUCKET_DIGITS
+    df: DataFrame,
+    value: Column,
+    limit: int,
+    hash_col: str,
+    id_col: str,
+    digits: int = BUCKET_DIGITS,
+    edge_rows: int = EDGE_ROWS,
 ) -> Cut:
     """First row in seeded order whose inclusive running total of ``value`` reaches ``limit``.
 
-    Two narrow passes; only three scalars come back to the driver.
+    Narrow passes: totals per bucket, again inside the bucket where the limit falls until
+    it holds few rows, then a look at those rows.  Only scalars come back to the driver.
     """
     if limit <= 0:
         return Cut(keeps="none")
-    offsets = bucket_offsets(df, value, hash_col, digits)
-    edge = (
-        offsets.where((F.col("before") < limit) & (F.col("before") + F.col("total") >= limit))
-        .agg(F.min_by(F.struct("bucket", "before"), "bucket").alias("edge"))
-        .first()["edge"]
-    )
-    if edge is None:
-        return Cut(keeps="all")
+    prefix, before = "", 0
+    inside = df
+    while len(prefix) < 32:
+        offsets = bucket_offsets(inside, value, hash_col, len(prefix) + digits)
+        edge = (
+            offsets.where((F.col("before") + before < limit) & (F.col("before") + before + F.col("total") >= limit))
+            .agg(F.min_by(F.struct("bucket", "before", "n_rows"), "bucket").alias("edge"))
+            .first()["edge"]
+        )
+        if edge is None:
+            return Cut(keeps="all")
+        prefix, before = edge["bucket"], before + edge["before"]
+        inside = df.where(F.startswith(hash_col, F.lit(prefix)))
+        if edge["n_rows"] <= edge_rows:
+            break
     running = Window.orderBy(hash_col, id_col).rowsBetween(Window.unboundedPreceding, 0)
     at = (
-        df.where(_bucket(F.col(hash_col), digits) == edge["bucket"])
-        .select(hash_col, id_col, value.alias("_value"))
-        .withColumn("_sum", F.sum("_value").over(running) + edge["before"])
+        inside.select(hash_col, id_col, value.alias("_value"))
+        .withColumn("_sum", F.sum("_value").over(running) + before)
         .where(F.col("_sum") >= limit)
         .agg(F.min(F.struct(hash_col, id_col)).alias("at"))
         .first()["at"]
@@ -141,7 +158,7 @@ def shuffled(df: DataFrame, seed: int, id_col: str, partitions: int | None = Non
     return keyed.repartitionByRange(n, "shuffle_key", id_col).sortWithinPartitions("shuffle_key", id_col)
 
 
-def id_cut(df: DataFrame, n: int, id_col: str, fanout: int = 4096, edge_rows: int = 100_000):
+def id_cut(df: DataFrame, n: int, id_col: str, fanout: int = 4096, edge_rows: int = EDGE_ROWS):
     """The n-th smallest value of a unique whole-number column, or None if there are fewer rows.
 
     Each pass counts equal slices of the id interval and continues in the slice that holds

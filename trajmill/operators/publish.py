@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trajmill.functions.text import Rule, redact_messages
 from trajmill.operators.grades import with_resolved_flag
+from trajmill.operators.spread import broadcast_if_small
 
 WARNING = "Evaluation data: do not train on these rows."
 
@@ -16,7 +17,8 @@ def published_rows(
     trajectories: DataFrame, resolved: DataFrame, rules: Sequence[Rule], warning: str = WARNING
 ) -> DataFrame:
     """Rows ready to publish from ``model, run`` and the columns of the trajectory reader."""
-    flagged = with_resolved_flag(trajectories, resolved, ["model", "run", "instance_id"])
+    keys = ["model", "run", "instance_id"]
+    flagged = with_resolved_flag(trajectories, broadcast_if_small(resolved.select(*keys).distinct()), keys)
     return flagged.select(
         "instance_id",
         "model",

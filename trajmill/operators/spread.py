@@ -1,8 +1,10 @@
-"""Parallelism for inputs that come in too few pieces."""
+"""Parallelism for inputs in too few pieces, and broadcasts of checked size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 500_000
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
@@ -15,3 +17,12 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores, key)
+
+
+def broadcast_if_small(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow key table of at most ``rows`` rows; a larger one joins by shuffle.
+
+    For joins against wide rows: without the hint the wide side would be shuffled before
+    the adaptive planner sees that the keys are few.
+    """
+    return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys

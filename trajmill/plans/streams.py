@@ -32,7 +32,7 @@ def _(spark, sf):
     done = _events(spark, sf).where("event_type = 'purchase'").select(
         (F.col("event_id") % 5 + 1).alias("run"), F.col("user_id").alias("instance_id")
     )
-    seen = T.append_to_table(T.distinct_coverage(done), "coverage")
+    seen = T.upsert_to_table(T.distinct_coverage(done), ["run", "instance_id"], "coverage")
     return seen.groupBy("run").agg(F.count(F.lit(1)).alias("n_instances"))
 
 

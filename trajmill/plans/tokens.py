@@ -11,7 +11,6 @@ from trajmill.operators import chat, embeddings as emb, encode, grades, ordering
 from trajmill.plans import views as V
 from trajmill.plans.registry import query
 
-HEADER = len(chat.IM_LAYOUT.generation)  # bytes, the header is ASCII
 MASK_LENGTH = 600
 ROW_LENGTH = 4096
 CAPACITY = 16384
@@ -25,7 +24,7 @@ def _segments(spark, sf):
 
 
 def _spans(spark, sf):
-    return chat.turn_spans(_segments(spark, sf), "conv_id", "turn", F.octet_length("segment"), HEADER)
+    return chat.turn_spans(V.conversations(spark, sf), "conv_id", "turn", "role", F.octet_length("text"))
 
 
 def _masks(spark, sf):

@@ -33,4 +33,4 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

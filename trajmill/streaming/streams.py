@@ -8,8 +8,6 @@ not count twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trajmill import constants as C, scratch
@@ -66,8 +64,11 @@ def upsert_to_table(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def distinct_coverage(trajectories: DataFrame) -> DataFrame:
-    """First sight of each (run, instance).  The state is the coverage itself."""
-    return trajectories.select("run", "instance_id").dropDuplicates(["run", "instance_id"])
+    """Each (run, instance) with its number of files; the distinct pairs are the coverage.
+
+    An aggregate instead of a deduplication, so that repeats collapse before the shuffle.
+    """
+    return trajectories.groupBy("run", "instance_id").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def cycle_counts(events: DataFrame, ts: str, keys: list[str], cycle: str = C.CYCLE, late: str = "1 hour") -> DataFrame:
@@ -108,5 +109,3 @@ def latest_predictions(stream: DataFrame, keys: list[str], newest: list[str], ke
     )
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in keep])
 
-
-Transform = Callable[[DataFrame], DataFrame]
