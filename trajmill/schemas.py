@@ -5,6 +5,11 @@ TOOL_MESSAGES = (
     "array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string>>>>"
 )
 
+RAW_TOOL_MESSAGES = (
+    "array<struct<role:string,content:string,tool_calls:array<struct<"
+    "function:struct<name:string,arguments:string>,name:string,arguments:string>>>>"
+)
+
 TRAJECTORY = f"instance_id string, messages {MESSAGES}, patch string, model string, verified boolean"
 TOKENIZED = "input_ids array<int>, completion_mask array<int>, seq_lengths array<int>"
 TRAJECTORY_FILE = (

@@ -14,6 +14,31 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.TRAJECTORY)
     return spark.read.schema(schema).json(path)
 
 
+def read_chat_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Chat rows whose assistant messages may call tools, as ``{function: {..}}`` or flat.
+
+    Arguments that are JSON objects keep their text.
+    """
+    rows = spark.read.schema(f"instance_id string, messages {schemas.RAW_TOOL_MESSAGES}").json(path)
+    return rows.withColumn(
+        "messages",
+        F.transform(
+            "messages",
+            lambda m: F.struct(
+                m["role"].alias("role"),
+                m["content"].alias("content"),
+                F.transform(
+                    m["tool_calls"],
+                    lambda c: F.struct(
+                        F.coalesce(c["function"]["name"], c["name"]).alias("name"),
+                        F.coalesce(c["function"]["arguments"], c["arguments"]).alias("arguments"),
+                    ),
+                ).alias("tool_calls"),
+            ),
+        ),
+    )
+
+
 def with_source_position(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number rows in file order, for sources that bring no id of their own."""
     return df.withColumn(name, F.monotonically_increasing_id())

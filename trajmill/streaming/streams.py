@@ -71,11 +71,16 @@ def distinct_coverage(trajectories: DataFrame) -> DataFrame:
     return trajectories.groupBy("run", "instance_id").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def cycle_counts(events: DataFrame, ts: str, keys: list[str], cycle: str = C.CYCLE, late: str = "1 hour") -> DataFrame:
-    """Counts per cycle; windows older than the watermark leave the state."""
+def cycle_counts(events: DataFrame, ts: str, keys: list[str], cycle: str = C.CYCLE, late: str | None = None) -> DataFrame:
+    """Counts per cycle.
+
+    Without ``late`` every event counts, however late its file lands; the state holds one
+    row per cycle and key.  With ``late`` older cycles leave the state and later events of
+    theirs are dropped.
+    """
+    timed = events.withWatermark(ts, late) if late else events
     return (
-        events.withWatermark(ts, late)
-        .groupBy(F.window(ts, cycle).alias("w"), *keys)
+        timed.groupBy(F.window(ts, cycle).alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("w.start").alias("cycle_start"), *keys, "n")
     )
