@@ -165,19 +165,17 @@ def test_decoded_views(rows):
 
 
 @pytest.mark.parametrize("block_rows", [2, 4096])
-def test_turn_tables(spark, block_rows, monkeypatch):
-    monkeypatch.setattr("trajmill.operators.blocks.BLOCK_ROWS", block_rows)
-    monkeypatch.setattr("trajmill.operators.blocks.in_key_context.__defaults__", (None, None, None, block_rows))
+def test_turn_tables(spark, block_rows):
     cases = [[dict(m, tool_calls=None) for m in c] for c in ALL]
     turns = spark.createDataFrame(
         [(i, t, m["role"], m["content"]) for i, c in enumerate(cases) for t, m in enumerate(c)], "id int, turn int, role string, content string"
     )
-    shown = chat.turn_segments(turns, "id", "turn", "role", "content").collect()
+    shown = chat.turn_segments(turns, "id", "turn", "role", "content", block_rows=block_rows).collect()
     text = {}
     for r in sorted(shown, key=lambda r: (r.id, r.turn)):
         text[r.id] = text.get(r.id, "") + r.segment
     assert text == {i: twin_render(c) for i, c in enumerate(cases)}
-    spans = chat.turn_spans(turns, "id", "turn", "role", F.octet_length("content"))
+    spans = chat.turn_spans(turns, "id", "turn", "role", F.octet_length("content"), block_rows=block_rows)
     for r in chat.conversation_masks(spans, "id", "turn", 45).collect():
         ids, mask, whole = twin_tokens(cases[r.id], byte_tokens, 45)
         assert r.completion_mask == mask and r.orig_len == whole

@@ -22,18 +22,21 @@ def in_key_context(
     previous: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
     block_rows: int = BLOCK_ROWS,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums, values of the previous row and values of the next row.
 
-    ``position`` is a whole number that orders the rows of a key and is unique there.
+    ``position`` is a whole number that orders the rows of a key and is unique there.  With
+    ``keep_block`` the block number stays in the column ``_block``, and a second call on the
+    result finds its rows already distributed.
     """
     sums, previous, following = sums or {}, previous or {}, following or {}
     values = {f"_s_{n}": c for n, c in sums.items()}
     values |= {f"_p_{n}": c for n, c in previous.items()}
     values |= {f"_f_{n}": c for n, c in following.items()}
-    rows = df.select(
-        "*", whole_div(F.col(position).cast("bigint"), block_rows).alias("_block"), *[c.alias(n) for n, c in values.items()]
-    )
+    if "_block" not in df.columns:
+        df = df.withColumn("_block", whole_div(F.col(position).cast("bigint"), block_rows))
+    rows = df.select("*", *[c.alias(n) for n, c in values.items()])
 
     edges = rows.groupBy(key, "_block").agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -66,7 +69,7 @@ def in_key_context(
     )
     joined = local.join(carried, [key, "_block"])
     return joined.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col(c) for c in df.columns if keep_block or c != "_block"],
         *[(F.col(f"_cs_{n}") + F.col(f"_ls_{n}")).alias(n) for n in sums],
         *[F.when(F.col("_first"), F.col(f"_cp_{n}")).otherwise(F.col(f"_lp_{n}")).alias(n) for n in previous],
         *[F.when(F.col("_last"), F.col(f"_cf_{n}")).otherwise(F.col(f"_lf_{n}")).alias(n) for n in following],

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trajmill.functions.arrays import mask_of_spans
-from trajmill.operators.blocks import in_key_context
+from trajmill.operators.blocks import BLOCK_ROWS, in_key_context
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,9 @@ def mask_pieces(messages: Column, layout: Layout = IM_LAYOUT, with_calls: bool =
 # --- turn tables ---------------------------------------------------------------
 
 
-def turn_segments(turns: DataFrame, key: str, position: str, role: str, content: str, layout: Layout = IM_LAYOUT) -> DataFrame:
+def turn_segments(
+    turns: DataFrame, key: str, position: str, role: str, content: str, layout: Layout = IM_LAYOUT, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Turns with ``segment``, ``target``, ``previous_role`` and ``next_role``."""
     seen = in_key_context(
         turns,
@@ -163,13 +165,22 @@ def turn_segments(turns: DataFrame, key: str, position: str, role: str, content:
         position,
         previous={"previous_role": F.coalesce(F.col(role), F.lit(""))},  # null only before the first turn
         following={"next_role": F.col(role)},
+        block_rows=block_rows,
     )
     return seen.withColumn(
         "segment", segment(F.col(role), F.col(content), F.col("previous_role"), F.col("next_role"), layout)
     ).withColumn("target", F.coalesce(F.col(role) == "assistant", F.lit(False)))
 
 
-def turn_spans(turns: DataFrame, key: str, position: str, role: str, content_size: Column, layout: Layout = IM_LAYOUT) -> DataFrame:
+def turn_spans(
+    turns: DataFrame,
+    key: str,
+    position: str,
+    role: str,
+    content_size: Column,
+    layout: Layout = IM_LAYOUT,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """Mask span of each turn: ``span_start``, ``span_len`` and ``target``, sized in bytes.
 
     Narrow rows only: the size of a segment is that of its content plus that of its marks.
@@ -185,6 +196,8 @@ def turn_spans(turns: DataFrame, key: str, position: str, role: str, content_siz
         position,
         previous={"previous_role": F.coalesce("role", F.lit(""))},  # null only before the first turn
         following={"next_role": F.col("role")},
+        block_rows=block_rows,
+        keep_block=True,
     )
     marks = F.octet_length(segment(F.col("role"), F.lit(""), F.col("previous_role"), F.col("next_role"), layout))
     size = F.when(marks > 0, marks + F.coalesce("_content", F.lit(0))).otherwise(F.lit(0))
@@ -207,15 +220,14 @@ def conversation_masks(spans: DataFrame, key: str, position: str, max_length: in
     Only turns that start before the cut are gathered and every span holds at least one
     token, so a group is never longer than ``max_length``.
     """
-    end = F.col("span_start") + F.col("span_len")
-    lengths = spans.groupBy(key).agg(F.max(end).alias("orig_len"))
-    kept = spans.where((F.col("span_start") < max_length) & (F.col("span_len") > 0)).select(
-        key,
-        F.struct(
-            F.col(position).alias("at"),
-            F.col("target").cast("int").alias("flag"),
-            F.least("span_len", F.lit(max_length) - F.col("span_start")).alias("len"),
-        ).alias("span"),
+    kept = (F.col("span_start") < max_length) & (F.col("span_len") > 0)
+    span = F.struct(
+        F.col(position).alias("at"),
+        F.col("target").cast("int").alias("flag"),
+        F.least("span_len", F.lit(max_length) - F.col("span_start")).alias("len"),
+    )
+    found = spans.groupBy(key).agg(
+        F.max(F.col("span_start") + F.col("span_len")).alias("orig_len"),
+        F.sort_array(F.collect_list(F.when(kept, span))).alias("spans"),
     )
-    gathered = kept.groupBy(key).agg(F.sort_array(F.collect_list("span")).alias("spans"))
-    return lengths.join(gathered, key).withColumn("completion_mask", mask_of_spans(F.col("spans")))
+    return found.withColumn("completion_mask", mask_of_spans(F.col("spans")))

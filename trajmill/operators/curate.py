@@ -110,7 +110,7 @@ class Mix:
 
     def report(self) -> DataFrame:
         """Counters over the candidates that were looked at before the budget was full."""
-        seen = self.narrow.where(self.cut.covers("_hash", "row_id"))
+        seen = scratch.materialize(self.narrow.where(self.cut.covers("_hash", "row_id")), "mix-seen")
         kept = self.eligible.where(self.cut.covers("_hash", "row_id")).agg(
             F.count(F.lit(1)).alias("extra_rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("extra_chars")
         )
@@ -173,15 +173,12 @@ def mix_under_budget(
     ).first()
 
     covered = verified_rows(df).select("instance_id")
-    narrow = scratch.materialize(
-        uncovered_rows(narrow_all, covered).select(
-            "row_id",
-            "instance_id",
-            "size",
-            (F.col("size") <= max_size).alias("fits"),
-            seed_hash(seed, "row_id").alias("_hash"),
-        ),
-        "mix-candidates",
+    narrow = uncovered_rows(narrow_all, covered).select(
+        "row_id",
+        "instance_id",
+        "size",
+        (F.col("size") <= max_size).alias("fits"),
+        seed_hash(seed, "row_id").alias("_hash"),
     )
     by_seed = ["_hash", "row_id"]
     eligible = scratch.materialize(cap_per_key(narrow.where("fits"), by_seed, cap, rank="_rank"), "mix-eligible")

@@ -54,8 +54,8 @@ class Cut:
         """True for rows up to and including the crossing row."""
         if self.keeps != "cut":
             return F.lit(self.keeps == "all")
-        h, i = F.col(hash_col), F.col(id_col)
-        return (h < self.hash) | ((h == self.hash) & (i <= F.lit(self.row_id)))
+        row = F.struct(F.col(hash_col).alias("h"), F.col(id_col).alias("i"))
+        return row <= F.struct(F.lit(self.hash).alias("h"), F.lit(self.row_id).alias("i"))
 
 
 def find_cut(
