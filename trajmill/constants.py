@@ -64,6 +64,12 @@ PATCH_FILE_PATTERN = r"diff --git a/(\S+)"
 FORBIDDEN_PATH_PATTERN = r"(^|/)(test_[^/]*\.py|pyproject\.toml|setup\.cfg)$"
 FINISHED_MARK = "exit=0"
 
+# --- redaction: (pattern, label); {root}, {user} and {host} are filled in ----------
+HOME_ROOTS = ("/fast", "/lustre/home", "/home")
+HOME_RULE = (r"{root}/{user}/[^\s\"'<>]*", "{root}/<user>/<redacted>")
+HOST_LABEL = "<internal-registry>"
+ENDPOINT_RULE = (r"http://[a-z0-9\-]+:\d+/v1", "http://<vllm-host>/v1")
+
 # --- evaluation ------------------------------------------------------------
 POOL_SIZE = 446
 SINGLE_ATTEMPT_RESOLVED = 13  # used when no run of a model is graded

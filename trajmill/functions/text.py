@@ -11,15 +11,17 @@ from trajmill import constants as C
 
 Rule = tuple[str, str]
 
-ENDPOINT_RULE: Rule = (r"http://[a-z0-9\-]+:\d+/v1", "http://<vllm-host>/v1")
+ENDPOINT_RULE: Rule = C.ENDPOINT_RULE
 
 
-def home_rules(user: str, roots: Sequence[str] = ("/fast", "/lustre/home", "/home")) -> list[Rule]:
+def home_rules(user: str, roots: Sequence[str] = C.HOME_ROOTS) -> list[Rule]:
     """Hide everything below ``<root>/<user>/``.  Longer roots go before their suffixes."""
-    return [(rf"{r}/{re.escape(user)}/[^\s\"'<>]*", f"{r}/<user>/<redacted>") for r in roots]
+    pattern, label = C.HOME_RULE
+    fill = lambda text, root, name: text.replace("{root}", root).replace("{user}", name)
+    return [(fill(pattern, r, re.escape(user)), fill(label, r, user)) for r in roots]
 
 
-def host_rule(host: str, label: str = "<internal-registry>") -> Rule:
+def host_rule(host: str, label: str = C.HOST_LABEL) -> Rule:
     return (re.escape(host), label)
 
 
