@@ -91,60 +91,75 @@ def corpus_size(df: DataFrame, size: Column) -> DataFrame:
     )
 
 
+VERIFIED, EXTRA = 0, 1
+
+
 @dataclass
 class Mix:
-    """Result of the budget mix.  ``narrow`` holds ids, keys and sizes only."""
+    """Result of the budget mix.  Everything but ``source`` holds ids, keys and sizes only."""
 
+    source: DataFrame
     verified: DataFrame
-    extra: DataFrame
-    narrow: DataFrame
+    candidates: DataFrame
     eligible: DataFrame
-    verified_chars: int
     target: int
     cut: Cut
-    cap: int = C.MAX_ROWS_PER_KEY
+    cap: int
+
+    def kept(self) -> DataFrame:
+        """``row_id, origin, shuffle_key`` of all rows of the mix."""
+        first = self.verified.select("row_id", F.lit(VERIFIED).alias("origin"), F.lit(None).cast("string").alias("shuffle_key"))
+        return first.unionByName(self._kept_extra())
+
+    def _kept_extra(self) -> DataFrame:
+        inside = self.eligible.where(self.cut.covers("_hash", "row_id"))
+        return inside.select("row_id", F.lit(EXTRA).alias("origin"), F.col("_hash").alias("shuffle_key"))
 
     def rows(self) -> DataFrame:
         """Verified rows, then extras; ``origin`` and the order columns keep the sequence."""
-        return self.verified.withColumn("origin", F.lit(0)).unionByName(self.extra.withColumn("origin", F.lit(1)))
+        return self.source.join(broadcast_if_small(self.kept()), "row_id")
+
+    def extra(self) -> DataFrame:
+        return self.source.join(broadcast_if_small(self._kept_extra()), "row_id")
 
     def report(self) -> DataFrame:
         """Counters over the candidates that were looked at before the budget was full."""
-        seen = scratch.materialize(self.narrow.where(self.cut.covers("_hash", "row_id")), "mix-seen")
-        kept = self.eligible.where(self.cut.covers("_hash", "row_id")).agg(
-            F.count(F.lit(1)).alias("extra_rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("extra_chars")
-        )
-        counts = seen.agg(F.count(F.lit(1)).alias("seen"))
+        seen = self.candidates.where(self.cut.covers("_hash", "row_id"))
         # An oversize row counts as oversize while its key still has room, and as capped
         # after the row that filled the cap.
         full = self.eligible.where(F.col("_rank") == self.cap).select(
-            F.col("instance_id").alias("_key"), F.col("_hash").alias("_full_hash"), F.col("row_id").alias("_full_id")
+            F.col("instance_id").alias("_key"),
+            F.struct(F.col("_hash").alias("h"), F.col("row_id").alias("i")).alias("_full_at"),
         )
         big = seen.where(~F.col("fits"))
         big = big.join(full, big["instance_id"].eqNullSafe(full["_key"]), "left")
-        room = F.col("_full_hash").isNull() | (
-            F.struct(F.col("_hash").alias("h"), F.col("row_id").alias("i"))
-            < F.struct(F.col("_full_hash").alias("h"), F.col("_full_id").alias("i"))
+        at = F.struct(F.col("_hash").alias("h"), F.col("row_id").alias("i"))
+        oversize = big.agg(F.count_if(F.col("_full_at").isNull() | (at < F.col("_full_at"))).alias("n_oversize"))
+        total = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("c"))
+        extra = total(self.eligible.where(self.cut.covers("_hash", "row_id")))
+        return (
+            total(self.verified)
+            .select(
+                F.col("n").alias("verified_rows"),
+                F.col("c").alias("verified_chars"),
+                F.lit(self.target).cast("bigint").alias("target_chars"),
+                extra.select(F.struct("n", "c")).scalar().alias("_extra"),
+                seen.agg(F.count(F.lit(1))).scalar().alias("_seen"),
+                oversize.scalar().alias("n_oversize"),
+            )
+            .select(
+                "verified_rows",
+                "verified_chars",
+                "target_chars",
+                F.col("_extra.n").alias("extra_rows"),
+                F.col("_extra.c").alias("extra_chars"),
+                "n_oversize",
+                (F.col("_seen") - F.col("_extra.n") - F.col("n_oversize")).alias("n_capped"),
+                (F.col("verified_rows") + F.col("_extra.n")).alias("final_rows"),
+                (F.col("verified_chars") + F.col("_extra.c")).alias("final_chars"),
+                F.round(F.col("_extra.c") / F.greatest("verified_chars", F.lit(1)) * 100, 6).alias("extra_pct"),
+            )
         )
-        oversize = big.agg(F.count_if(room).alias("n_oversize"))
-        base = self.verified.agg(
-            F.count(F.lit(1)).alias("verified_rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("verified_chars")
-        )
-        return base.select(
-            "verified_rows",
-            "verified_chars",
-            F.lit(self.target).cast("bigint").alias("target_chars"),
-            kept.select("extra_rows").scalar().alias("extra_rows"),
-            kept.select("extra_chars").scalar().alias("extra_chars"),
-            counts.scalar().alias("n_seen"),
-            oversize.scalar().alias("n_oversize"),
-        ).select(
-            "*",
-            (F.col("n_seen") - F.col("extra_rows") - F.col("n_oversize")).alias("n_capped"),
-            (F.col("verified_rows") + F.col("extra_rows")).alias("final_rows"),
-            (F.col("verified_chars") + F.col("extra_chars")).alias("final_chars"),
-            F.round(F.col("extra_chars") / F.greatest("verified_chars", F.lit(1)) * 100, 6).alias("extra_pct"),
-        ).drop("n_seen")
 
 
 def mix_under_budget(
@@ -162,18 +177,18 @@ def mix_under_budget(
     room, and the text kept so far is below the target.  As sets: rank among the fitting
     rows of the key at most ``cap``, and exclusive running total below the target.
 
-    ``df`` has ``row_id, instance_id, verified`` and the size column; all other columns
-    are carried through.  Ranks and totals are worked out on narrow rows.
+    ``df`` has a unique ``row_id``, ``instance_id``, ``verified`` and the size column.  Wide
+    rows are read twice: once for ids and sizes, once to take the rows of the mix.
     """
-    narrow_all = df.select("row_id", "instance_id", "verified", F.col(size).cast("bigint").alias("size"), *[c for c in order if c != "row_id"])
-    verified = cap_per_key(verified_rows(df), order, cap)
-    capped = cap_per_key(verified_rows(narrow_all), order, cap)
-    total = capped.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("chars")).select(
-        "chars", budget(F.col("chars"), fraction).alias("target")
-    ).first()
-
-    covered = verified_rows(df).select("instance_id")
-    narrow = uncovered_rows(narrow_all, covered).select(
+    others = [c for c in order if c != "row_id"]
+    narrow = scratch.materialize(
+        df.select("row_id", "instance_id", "verified", F.col(size).cast("bigint").alias("size"), *others), "mix-rows"
+    )
+    verified = cap_per_key(verified_rows(narrow), order, cap)
+    chars = F.coalesce(F.sum("size"), F.lit(0))
+    target = verified.agg(budget(chars, fraction).alias("target")).first()["target"]
+
+    candidates = uncovered_rows(narrow, verified_rows(narrow)).select(
         "row_id",
         "instance_id",
         "size",
@@ -181,14 +196,6 @@ def mix_under_budget(
         seed_hash(seed, "row_id").alias("_hash"),
     )
     by_seed = ["_hash", "row_id"]
-    eligible = scratch.materialize(cap_per_key(narrow.where("fits"), by_seed, cap, rank="_rank"), "mix-eligible")
-    cut = find_cut(eligible, F.col("size"), total["target"], "_hash", "row_id")
-
-    # The payload is filtered by the crossing row first and then by the kept ids.
-    kept = broadcast_if_small(eligible.where(cut.covers("_hash", "row_id")).select("row_id"))
-    wide = df.withColumn("_hash", seed_hash(seed, "row_id")).where(
-        cut.covers("_hash", "row_id") & (F.col(size) <= max_size)
-    )
-    extra = wide.join(kept, "row_id", "left_semi").withColumnRenamed("_hash", "shuffle_key")
-    verified = verified.withColumn("shuffle_key", F.lit(None).cast("string")).withColumn("size", F.col(size))
-    return Mix(verified, extra.withColumn("size", F.col(size)), narrow, eligible, total["chars"], total["target"], cut, cap)
+    eligible = scratch.materialize(cap_per_key(candidates.where("fits"), by_seed, cap, rank="_rank"), "mix-eligible")
+    cut = find_cut(eligible, F.col("size"), target, "_hash", "row_id")
+    return Mix(df, verified, candidates, eligible, target, cut, cap)

@@ -205,7 +205,7 @@ def _mix(spark, sf) -> curate.Mix:
     "seen",
 )
 def _(spark, sf):
-    return _mix(spark, sf).extra.select(
+    return _mix(spark, sf).extra().select(
         "row_id", "instance_id", "n_len", "shuffle_key", F.md5(F.col("body").cast("binary")).alias("body_md5")
     )
 

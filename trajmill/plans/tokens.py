@@ -311,7 +311,7 @@ def corpus_vocab(spark, sf, words: int = 4096):
         F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("token"), F.col("id").cast("int").alias("rank")
     )
     found = (
-        V.table(spark, sf, "documents")
+        V.documents(spark, sf)
         .select(F.explode(F.split("text", " ")).alias("word"))
         .where(F.octet_length("word") > 1)
         .groupBy("word")
