@@ -24,22 +24,22 @@ def put(root, name, content, mtime=None):
 
 def test_trajectory_files(spark, tmp_path):
     put(tmp_path, "job_0/a/a.traj.json", {"instance_id": "a__1", "info": {"exit_status": "Submitted", "submission": "diff --git", "config": {"k": [1, 2]}}, "messages": [{"role": "user", "content": "in /home/ada/x", "extra": 1}, {"content": None}]})
-    put(tmp_path, "job_0/b/b__2.traj.json", {"info": {"exit_status": None}, "messages": [{"role": "assistant"}]})
+    put(tmp_path, "job_0/b/b 2+%41.traj.json", {"info": {"exit_status": None}, "messages": [{"role": "assistant"}]})
     put(tmp_path, "job_1/deep/er/c__3.traj.json", {"instance_id": ""})
     put(tmp_path, "job_1/preds.json", {"instance_id": "no"})
     rows = {r.instance_id: r for r in R.read_trajectory_files(spark, str(tmp_path)).collect()}
-    assert set(rows) == {"a__1", "b__2", "c__3"}
+    assert set(rows) == {"a__1", "b 2+%41", "c__3"}
     assert [tuple(m) for m in rows["a__1"].messages] == [("user", "in /home/ada/x"), ("", "")]
     assert json.loads(rows["a__1"].config) == {"k": [1, 2]}
-    assert (rows["b__2"].exit_status, rows["b__2"].submission, rows["c__3"].messages) == ("", "", [])
+    assert (rows["b 2+%41"].exit_status, rows["b 2+%41"].submission, rows["c__3"].messages) == ("", "", [])
     df = R.read_trajectory_files(spark, str(tmp_path)).withColumns({"model": F.lit("m"), "run": F.lit(1)})
-    resolved = spark.createDataFrame([("m", 1, "a__1"), ("m", 2, "b__2")], "model string, run int, instance_id string")
+    resolved = spark.createDataFrame([("m", 1, "a__1"), ("m", 2, "b 2+%41")], "model string, run int, instance_id string")
     out = publish.published_rows(df, resolved, home_rules("ada"))
     path = str(tmp_path / "published")
     W.write_published(out, path, files_per_run=3)
     back = {r.instance_id: r for r in spark.read.parquet(path).collect()}
-    assert {k: (r.resolved, r.n_turns) for k, r in back.items()} == {"a__1": (True, 2), "b__2": (False, 1), "c__3": (False, 0)}
-    assert back["a__1"].messages[0].content == "in /home/<user>/<redacted>" and back["b__2"].warning == publish.WARNING
+    assert {k: (r.resolved, r.n_turns) for k, r in back.items()} == {"a__1": (True, 2), "b 2+%41": (False, 1), "c__3": (False, 0)}
+    assert back["a__1"].messages[0].content == "in /home/<user>/<redacted>" and back["b 2+%41"].warning == publish.WARNING
     sample = grades.config_sample(df, "config", ["run", "file"])
     assert json.loads(sample.first().config) == {"k": [1, 2]}
 
@@ -82,9 +82,9 @@ def test_slices_queue_and_logs(spark, tmp_path):
     put(tmp_path, "x-pass3-run1/job_3.sub", 'executable = a\nenvironment = "MODEL_DIR=/m JOB_ID=3 START=69 END=92 NUM_WORKERS=5"\n')
     put(tmp_path, "x-pass3-run1/job_4.sub", 'environment = "JOB_ID=x START=69"\n')
     specs = R.read_slice_specs(spark, f"{tmp_path}/*/job_*.sub").collect()
-    assert [(r.job_id, r.start, r.end_at, r.expected) for r in specs] == [(3, 69, 92, 23)] and specs[0].run_dir.endswith("x-pass3-run1")
+    assert [(r.job_id, r.start, r.end_at, r.expected) for r in specs] == [(3, 69, 92, 23)] and specs[0].run == "x-pass3-run1"
     queue = put(tmp_path, "queue.txt", " 12 2 MODEL_DIR=/m BASE_OUTPUT_DIR=/o/x-pass3-run1 JOB_ID=3 START=1\n13 5 JOB_ID=4\nbad line\n14 1 BASE_OUTPUT_DIR=/o/x-pass3-run2 JOB_ID=0\n")
-    assert sorted(tuple(r) for r in R.read_active_jobs(spark, queue).collect()) == [(12, 2, "/o/x-pass3-run1", 3), (14, 1, "/o/x-pass3-run2", 0)]
+    assert sorted(tuple(r) for r in R.read_active_jobs(spark, queue).collect()) == [(12, 2, "/o/x-pass3-run1", "x-pass3-run1", 3), (14, 1, "/o/x-pass3-run2", "x-pass3-run2", 0)]
     put(tmp_path, "logs/sub.12.log", "000 (12.000.000) 2026-01-01 09:00:00 Job submitted\n    detail\n001 (12.000.000) 2026-01-01 10:00:00 Job executing\n...\n012 (12.000.000) 2026-01-01 11:00:00 Job held\n005 (12.000.000) 2026-01-01 10:30:00 Job ended\n")
     put(tmp_path, "logs/sub.13.log", "000 (13.000.000) 2026-01-01 09:00:00 Job submitted\n")
     from trajmill.operators.attempts import attempt_elapsed

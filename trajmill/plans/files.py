@@ -55,13 +55,13 @@ def _(spark, sf):
 
 def _shards(spark, sf):
     docs = V.table(spark, sf, "documents")
-    rows = docs.select((F.col("doc_id") % 5).cast("int").alias("shard"), "text")
+    rows = docs.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("shard"), "text")
     encoded = encode.encode_column(rows, "text", encode.ByteEncoder())
     tokens = encoded.select(
-        "shard", "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("completion_mask"), F.array(F.size("input_ids")).alias("seq_lengths")
+        "doc_id", "shard", "input_ids", F.array_repeat(F.lit(1), F.size("input_ids")).alias("completion_mask"), F.array(F.size("input_ids")).alias("seq_lengths")
     )
     path = scratch.new_path(spark, "shards")
-    W.write_tokenized(tokens, path)
+    W.write_tokenized(tokens, path, spread_by="doc_id", files_per_shard=2)
     return path
 
 
@@ -213,7 +213,7 @@ def _(spark, sf):
 def _(spark, sf):
     specs = R.read_slice_specs(spark, f"{S.slice_files(spark, sf)}/*/job_*.sub")
     return specs.select(
-        F.substring_index("run_dir", "run", -1).alias("run"), F.col("job_id").cast("bigint").alias("job_id"), "start", "expected"
+        F.substring_index("run", "run", -1).alias("run"), F.col("job_id").cast("bigint").alias("job_id"), "start", "expected"
     )
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trajmill import constants as C, schemas
 from trajmill.functions.numbers import log_time
 from trajmill.functions.text import Rule, redact
 
 
+def _decoded(name: Column) -> Column:
+    """File metadata is percent-encoded except for the plus sign."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.TRAJECTORY) -> DataFrame:
     """Trajectory rows, one JSON object per line."""
     return spark.read.schema(schema).json(path)
@@ -40,7 +45,11 @@ def read_chat_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_source_position(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number rows in file order, for sources that bring no id of their own."""
+    """Number rows in file order, for sources that bring no id of their own.
+
+    The numbers follow the file splits of this scan: write the result before using them in
+    more than one query.
+    """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
@@ -84,7 +93,7 @@ def read_trajectory_files(spark: SparkSession, root: str, pattern: str = "*.traj
     stem = F.regexp_replace(F.regexp_replace("_metadata.file_name", r"\.json$", ""), r"\.traj$", "")
     no_messages = F.array().cast(schemas.MESSAGES)
     return raw.select(
-        F.coalesce(F.when(F.col("instance_id") != "", F.col("instance_id")), F.url_decode(stem)).alias("instance_id"),
+        F.coalesce(F.when(F.col("instance_id") != "", F.col("instance_id")), _decoded(stem)).alias("instance_id"),
         F.coalesce("info.exit_status", F.lit("")).alias("exit_status"),
         F.coalesce("info.submission", F.lit("")).alias("submission"),
         F.col("info.config").alias("config"),
@@ -150,11 +159,9 @@ def parse_slice_specs(lines: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def read_slice_specs(spark: SparkSession, glob: str) -> DataFrame:
-    """Slice specs of all runs; the run directory is the parent of the submit file."""
-    lines = spark.read.text(glob).withColumn(
-        "run_dir", F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
-    )
-    return parse_slice_specs(lines, ["run_dir"])
+    """Slice specs of all runs; ``run`` is the name of the directory of the submit file."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return parse_slice_specs(spark.read.text(glob).withColumn("run", _decoded(folder)), ["run"])
 
 
 def parse_job_log(lines: DataFrame, keep: list[str]) -> DataFrame:
@@ -178,7 +185,7 @@ def read_job_logs(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def parse_active_jobs(lines: DataFrame) -> DataFrame:
-    """``cluster, status, run_dir, job_id`` from a captured queue listing."""
+    """``cluster, status, run_dir, run, job_id`` from a captured queue listing."""
     number = lambda pattern, group: F.regexp_extract("value", pattern, group)
     return lines.where(
         F.col("value").rlike(C.QUEUE_HEAD_PATTERN)
@@ -188,6 +195,7 @@ def parse_active_jobs(lines: DataFrame) -> DataFrame:
         number(C.QUEUE_HEAD_PATTERN, 1).cast("bigint").alias("cluster"),
         number(C.QUEUE_HEAD_PATTERN, 2).cast("int").alias("status"),
         number(C.QUEUE_RUN_PATTERN, 1).alias("run_dir"),
+        F.substring_index(number(C.QUEUE_RUN_PATTERN, 1), "/", -1).alias("run"),
         number(C.QUEUE_JOB_PATTERN, 1).cast("int").alias("job_id"),
     )
 

@@ -15,9 +15,20 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_tokenized(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Token columns under one directory per shard."""
-    df.select("shard", "input_ids", "completion_mask", "seq_lengths").write.mode(mode).partitionBy("shard").parquet(path)
+def write_tokenized(
+    df: DataFrame, path: str, mode: str = "error", spread_by: str | None = None, files_per_shard: int = 1
+) -> None:
+    """Token columns under one directory per shard.
+
+    With ``spread_by`` (an id column) the rows of a shard are gathered into that many files,
+    instead of one file per task and shard.
+    """
+    rows = df
+    if spread_by:
+        part = F.pmod(F.xxhash64(spread_by), F.lit(files_per_shard))
+        tasks = files_per_shard * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.repartition(tasks, "shard", part)
+    rows.select("shard", "input_ids", "completion_mask", "seq_lengths").write.mode(mode).partitionBy("shard").parquet(path)
 
 
 def write_published(df: DataFrame, path: str, files_per_run: int = 1, mode: str = "error") -> None:
