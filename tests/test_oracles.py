@@ -9,6 +9,11 @@ import pytest
 
 from trajmill.plans.catalog import ORACLES, QUERIES
 
+# Queries that hand token arrays, texts or lengths to Python in Arrow batches; all others stay in the JVM.
+IN_PYTHON = {
+    "agg_target_counts", "arr_labels", "arr_split_by_mask", "arr_truncate", "tok_completion_mask_rows", "tok_decode", "tok_encode",
+    "tok_encode_ranks", "tok_pack_bfd", "tok_pack_rows", "tok_verify", "udf_batch_map", "udf_row_map", "win_boundary_check", "win_mask_runs",
+}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
@@ -33,6 +38,8 @@ def test_query_matches_sql(spark, sf, duck, name):
     got = df.toPandas()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    found = any(node in plan for node in ("InArrow", "InPandas", "EvalPython"))
+    assert found == (name in IN_PYTHON)
     assert name in ORACLES
     want = duck.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

@@ -18,6 +18,8 @@ from trajmill.operators.chat import IM_LAYOUT, ROLE_TOKEN_LAYOUT, Layout
 from trajmill.operators.encode import ByteEncoder, Encoder, rank_encoder, tokenize_rows
 from trajmill.sources import readers as R, writers as W
 
+MAX_CONFIGS = 1000
+
 
 def source_rows(spark: SparkSession, path: str, id_col: str | None = None) -> DataFrame:
     """Trajectory rows of a JSON-lines file or a saved dataset with a fixed ``row_id``.
@@ -138,7 +140,9 @@ def sweep(spark: SparkSession, reports: str, configs: DataFrame) -> dict[str, Da
     found = R.read_reports(spark, reports)
     resolved = grades.long_form(found.join(configs.select("label", "tag"), "tag"), ["label", "run"])
     solved = resolved.withColumn("resolved", F.lit(True))
-    labels = [r["label"] for r in configs.select("label").distinct().limit(1000).collect()]
+    labels = [r["label"] for r in configs.select("label").distinct().limit(MAX_CONFIGS + 1).collect()]
+    if len(labels) > MAX_CONFIGS:
+        raise ValueError("too many configurations for a repository table")
     return {
         "summary": grades.with_run_config(configs, found),
         "union": grades.passk_count(solved, ["label"]),

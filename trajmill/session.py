@@ -19,9 +19,6 @@ def local_session(cores: int | str = "*", name: str = "trajmill", partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # Rows carry whole trajectories, so Arrow batches are limited by bytes as well.
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        .config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
