@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trajmill.operators import curate
+from trajmill.operators import curate, predictions
 
 SCHEMA = "row_id bigint, instance_id string, verified boolean, n_len bigint"
 
@@ -107,7 +107,13 @@ def test_hot_key_is_limited_before_the_shuffle(spark, sf):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_verified_reaches_the_scan(spark, tmp_path):
+def test_filters_reach_the_scan(spark, tmp_path):
+    def pushed(df):
+        return df._jdf.queryExecution().executedPlan().toString().split("PushedFilters: [")[1].split("]")[0]
+
     spark.createDataFrame([(1, "a", True, 1)], SCHEMA).write.parquet(str(tmp_path / "t"))
-    plan = curate.verified_rows(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(verified,true)" in plan or "verified" in plan.split("PushedFilters: [")[1].split("]")[0]
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert "verified" in pushed(curate.verified_rows(rows))
+    assert "IsNull(verified)" in pushed(curate.unverified_rows(rows))
+    spark.createDataFrame([("i", "diff --git")], "instance_id string, model_patch string").write.parquet(str(tmp_path / "p"))
+    assert "StringStartsWith(model_patch" in pushed(predictions.valid_predictions(spark.read.parquet(str(tmp_path / "p"))))

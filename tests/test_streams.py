@@ -60,3 +60,16 @@ def test_ingest_of_trajectory_files(spark, tmp_path):
     stream = T.read_files(spark, str(tmp_path / "in"), schemas.TRAJECTORY_FILE, "json", "*.traj.json", multiLine=True, maxFilesPerTrigger=1)
     landed = T.append_to_table(stream.select("instance_id", F.size("messages").alias("n")), "landed")
     assert sorted(tuple(r) for r in landed.collect()) == [("a0", 1), ("a1", 1), ("a2", 1)]
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [("r", "a", 1), ("r", "b", 1), ("r", "a", 2), ("q", "a", 2)]
+    for part in (1, 2):
+        df = spark.createDataFrame([r for r in rows if r[2] == part], "run string, instance_id string, part int")
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = T.read_files(spark, source, df.schema)
+        found = T.upsert_to_table(T.distinct_coverage(stream), ["run", "instance_id"], "coverage", target)
+        landed = T.append_to_table(stream, "landed", f"{target}-rows")
+    assert {tuple(r) for r in found.collect()} == {("r", "a", 2), ("r", "b", 1), ("q", "a", 1)}
+    assert sorted(tuple(r) for r in landed.collect()) == sorted(rows)

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trajmill import constants as C, scratch
-from trajmill.functions.text import is_patch
-from trajmill.operators.attempts import outcome
 from trajmill.functions.numbers import elapsed_seconds
+from trajmill.operators.attempts import outcome
+from trajmill.operators.predictions import latest_valid
 
 
 def read_files(
@@ -24,12 +24,16 @@ def read_files(
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def append_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is there and return the appended table (exactly-once file sink)."""
+def append_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Process what is there and return the appended table (exactly-once file sink).
+
+    With a ``path`` a later call goes on where the last one stopped.
+    """
     spark = stream.sparkSession
-    path = scratch.new_path(spark, name)
+    path = path or scratch.new_path(spark, name)
     query = (
-        stream.writeStream.format("parquet")
+        stream.writeStream.queryName(name)
+        .format("parquet")
         .option("checkpointLocation", f"{path}-checkpoint")
         .outputMode("append")
         .trigger(availableNow=True)
@@ -39,26 +43,33 @@ def append_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def upsert_to_table(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Process what is there and return the newest row per key of an update-mode stream."""
+def upsert_to_table(stream: DataFrame, keys: list[str], name: str, path: str | None = None) -> DataFrame:
+    """Process what is there and return the newest row per key of an update-mode stream.
+
+    With a ``path`` a later call goes on where the last one stopped.
+    """
     spark = stream.sparkSession
-    path = scratch.new_path(spark, name)
-    columns = stream.columns
+    path = path or scratch.new_path(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     query = (
-        stream.writeStream.foreachBatch(write)
+        stream.writeStream.queryName(name)
+        .foreachBatch(write)
         .option("checkpointLocation", f"{path}-checkpoint")
         .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("version", T.LongType())])
-    rows = spark.read.schema(schema).parquet(path)
-    rest = [c for c in columns if c not in keys]
+    return newest_rows(spark, path, stream.schema, keys)
+
+
+def newest_rows(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The newest version of each key of a table of updates."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.LongType())])).parquet(path)
+    rest = [c for c in schema.names if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_row"))
     return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
@@ -109,8 +120,5 @@ def attempt_decisions(states: DataFrame, keys: list[str], expected: Column, resu
 
 def latest_predictions(stream: DataFrame, keys: list[str], newest: list[str], keep: list[str]) -> DataFrame:
     """Running latest valid prediction per key."""
-    best = stream.where(is_patch(F.col("model_patch"))).groupBy(*keys).agg(
-        F.max_by(F.struct(*keep), F.struct(*newest)).alias("_best")
-    )
-    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in keep])
+    return latest_valid(stream, keys, newest, keep)
 
