@@ -42,6 +42,8 @@ def test_trajectory_files(spark, tmp_path):
     assert back["a__1"].messages[0].content == "in /home/<user>/<redacted>" and back["b 2+%41"].warning == publish.WARNING
     sample = grades.config_sample(df, "config", ["run", "file"])
     assert json.loads(sample.first().config) == {"k": [1, 2]}
+    hidden = publish.redacted_config(spark.createDataFrame([('{"p": "/home/ada/x"}',)], "config string"), "config", home_rules("ada"))
+    assert json.loads(hidden.first().config) == {"p": "/home/<user>/<redacted>"}
 
 
 def test_predictions(spark, tmp_path):

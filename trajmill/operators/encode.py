@@ -82,7 +82,9 @@ class RankTask:
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
 
     def decode(self, ids: pa.ListArray) -> list[str]:
-        return [self.library.decode(row or []) for row in ids.to_pylist()]
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        return [self.library.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)]
 
 
 Encoder = ByteEncoder | RankEncoder

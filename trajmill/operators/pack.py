@@ -10,8 +10,9 @@ import bisect
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trajmill import constants as C
+from trajmill import constants as C, scratch
 from trajmill.functions.numbers import whole_div
+from trajmill.operators.spread import broadcast_if_small
 
 BATCHES_PER_GROUP = 16
 
@@ -67,15 +68,17 @@ def with_pack_id(plan: DataFrame) -> DataFrame:
 def build_packs(tokens: DataFrame, plan: DataFrame, id_col: str, capacity: int) -> DataFrame:
     """Packed rows: member arrays concatenated by slot, ``seq_lengths`` with one entry each.
 
-    A pack holds at most ``capacity`` tokens, which bounds what one group gathers.
+    A pack holds at most ``capacity`` tokens, which bounds what one group gathers.  The plan
+    is written once; if it is small it is broadcast and tokens move by pack only.
     """
+    numbered = scratch.materialize(with_pack_id(plan).select("id", "pack_id", "slot"), "pack-plan")
     cut = tokens.select(
         F.col(id_col).cast("bigint").alias("id"),
         F.slice("input_ids", 1, capacity).alias("input_ids"),
         F.slice("completion_mask", 1, capacity).alias("completion_mask"),
     )
     member = F.struct("slot", "input_ids", "completion_mask")
-    packs = cut.join(with_pack_id(plan).select("id", "pack_id", "slot"), "id").groupBy("pack_id").agg(
+    packs = cut.join(broadcast_if_small(numbered), "id").groupBy("pack_id").agg(
         F.sort_array(F.collect_list(member)).alias("m")
     )
     return packs.select(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from trajmill.functions.text import Rule, redact_messages
+from trajmill.functions.text import Rule, redact, redact_messages
 from trajmill.operators.grades import with_resolved_flag
 from trajmill.operators.spread import broadcast_if_small
 
@@ -30,3 +30,8 @@ def published_rows(
         redact_messages(F.col("messages"), rules).alias("messages"),
         F.lit(warning).alias("warning"),
     )
+
+
+def redacted_config(sample: DataFrame, column: str, rules: Sequence[Rule]) -> DataFrame:
+    """The configuration sample as JSON text without private paths and hosts."""
+    return sample.select(redact(F.col(column), rules).alias(column))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trajmill import constants as C, schemas
 from trajmill.functions.numbers import log_time
-from trajmill.functions.text import Rule, redact
 
 
 def _decoded(name: Column) -> Column:
@@ -53,7 +52,7 @@ def with_source_position(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def _has_dir(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
@@ -61,7 +60,7 @@ def _has_dir(spark: SparkSession, path: str) -> bool:
 def read_saved(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
     """A saved columnar dataset; its train split if it has splits."""
     inner = f"{path.rstrip('/')}/{split}"
-    return spark.read.parquet(inner if _has_dir(spark, inner) else path)
+    return spark.read.parquet(inner if path_exists(spark, inner) else path)
 
 
 def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -214,7 +213,3 @@ def read_vocab(spark: SparkSession, path: str, limit: int = C.VOCAB_RANK_LIMIT)
         .select(F.unbase64(F.get("f", F.lit(0))).alias("token"), F.get("f", F.lit(1)).try_cast("int").alias("rank"))
         .where(F.col("rank") < limit)
     )
-
-
-def redacted_config(sample: DataFrame, column: str, rules: list[Rule]) -> DataFrame:
-    return sample.select(redact(F.col(column), rules).alias(column))

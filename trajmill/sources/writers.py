@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from trajmill.sources.readers import _has_dir
+from trajmill.sources.readers import path_exists
 
 ROWS_PER_FILE = 1_000_000
 SINGLE_DOCUMENT_ROWS = 10_000
@@ -72,7 +72,7 @@ def merged_document(df: DataFrame, limit: int = SINGLE_DOCUMENT_ROWS) -> DataFra
 def finished_keys(df: DataFrame, path: str, keys: list[str]) -> DataFrame | None:
     """Keys that an earlier attempt has already written, or None if there is no output."""
     spark = df.sparkSession
-    if not _has_dir(spark, path):
+    if not path_exists(spark, path):
         return None
     return spark.read.parquet(path).select(*keys).distinct()
 
