@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trajmill.llm import exact, packing, secrets, sharding, toxicity
+from trajmill.llm import exact, packing, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -61,6 +61,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.fingerprint_components(documents(spark, sf_dir), 3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard_documents(documents(spark, sf_dir), SHARDS)
     return rows.select(
@@ -69,5 +74,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op5_toxicity, op7_exact_dedup, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op5_toxicity, op7_exact_dedup, op8_simhash, op10_sharding)}
 ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
