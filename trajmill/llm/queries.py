@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trajmill.llm import exact, packing, secrets, sharding, simhash, toxicity
+from trajmill.llm import exact, linededup, packing, secrets, sharding, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -42,6 +42,32 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(places(base), 256).alias("base_sha256"), places(F.col("spans")).alias("spans"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.remove_spread_lines(documents(spark, sf_dir))
+    return cleaned.select("row.doc_id", "n_lines", "n_removed", "text")
+
+
+OP4_SQL = f"""
+WITH line AS (
+  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), long AS (
+  SELECT doc_id, site, trim(line) AS line, pos FROM line WHERE len(regexp_split_to_array(trim(line), '\\s+')) >= {linededup.LEAST_WORDS}
+), spread AS (
+  SELECT line, min(doc_id) AS first_id FROM long GROUP BY line HAVING count(DISTINCT site) >= {linededup.SITES}
+), hit AS (
+  SELECT doc_id, pos, doc_id = first_id AND pos = min(pos) OVER (PARTITION BY doc_id, line) AS stays FROM long JOIN spread USING (line)
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE stays = false) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays IS DISTINCT FROM false), '') AS text
+  FROM line LEFT JOIN hit USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, kept.text
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     lexicon = toxicity.learn(toxicity.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -74,5 +100,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op5_toxicity, op7_exact_dedup, op8_simhash, op10_sharding)}
-ORACLES: dict[str, str] = {"op7_exact_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op4_line_dedup, op5_toxicity, op7_exact_dedup, op8_simhash, op10_sharding)}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
