@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trajmill.llm import exact, linededup, packing, secrets, sharding, simhash, toxicity
+from trajmill.llm import exact, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -76,6 +76,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(toxicity.fold_number("doc_id", 7) == 2, F.lit(False))
+    model = suffix_lm.train(docs.filter(~held_out))
+    scores = suffix_lm.score(docs, model)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -100,5 +108,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op4_line_dedup, op5_toxicity, op7_exact_dedup, op8_simhash, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op10_sharding)}
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
