@@ -26,17 +26,32 @@ from trajmill.llm.arrow import map_rows
 
 CAPACITY = 1024
 END_ID = 0
-# A token never reaches from a character that is no white space into following white space,
-# so texts can be encoded by such chunks.  These are Unicode's white space characters.
+# No token reaches from a character that is no white space into following white space, so texts
+# can be encoded in chunks that begin there.  These are Unicode's white space characters.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: In texts without these, every space begins a chunk.
+IRREGULAR = ("  ", " \n", *"\t\v\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 CACHED_CHUNK = 64
-CACHE_SIZE = 300_000
+CACHE_SIZE = 250_000
 _ID_BYTES = 4
 
 
+def chunk_keys(text: str) -> list[str]:
+    """The chunks of a text.  A key without a space in front stands for a chunk with one before it, and the reverse."""
+    if text.endswith(" ") or any(map(text.__contains__, IRREGULAR)):
+        return [c[1:] if c[0] == " " and not c[1:2].isspace() and len(c) > 1 else " " + c for c in CHUNK.findall(text)]
+    keys = text.split(" ")
+    keys[0] = " " + keys[0]
+    return keys
+
+
 class ChunkEncoder:
-    """Token ids as little-endian 32-bit bytes; frequent chunks are encoded once per worker."""
+    """Token ids as little-endian 32-bit bytes.  A worker encodes a frequent chunk once.
+
+    The cache has two generations: when the new one is full it becomes the old one, and chunks
+    that are met again move back, so rare chunks are forgotten and the size is bounded.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,22 +59,50 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # a token is written with one character per byte
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        known = self.cache
-        missing = [c for c in dict.fromkeys(chunks) if c not in known]
-        if missing:
-            if len(known) + len(missing) > CACHE_SIZE:
-                known.clear()
-                missing = list(dict.fromkeys(chunks))
-            encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            fresh = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(missing, encoded, strict=True)}
-            known.update(item for item in fresh.items() if len(item[0]) <= CACHED_CHUNK)
-            if any(len(c) > CACHED_CHUNK for c in missing):
-                return b"".join([fresh[c] if c in fresh else known[c] for c in chunks])
-        return b"".join(map(known.__getitem__, chunks))
+        keys = chunk_keys(text)
+        got = list(map(self.new.get, keys))
+        if None in got:
+            self.fill(keys, got)
+        return b"".join(got)
+
+    def fill(self, keys: list[str], got: list[bytes | None]) -> None:
+        if len(self.new) > CACHE_SIZE:
+            self.old, self.new = self.new, {}
+        missing: dict[str, list[int]] = {}
+        for at, ids in enumerate(got):
+            if ids is None:
+                key = keys[at]
+                ids = got[at] = self.old.get(key)
+                if ids is None:
+                    missing.setdefault(key, []).append(at)
+                else:
+                    self.new[key] = ids
+        spaced = [key for key in missing if key[:1] != " "]
+        for key, ids in [*zip(spaced, self.together([" " + key for key in spaced]), strict=True), *((k, self.ids(k[1:]).tobytes()) for k in missing if k[:1] == " ")]:
+            for at in missing[key]:
+                got[at] = ids
+            if len(key) <= CACHED_CHUNK:
+                self.new[key] = ids
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def together(self, chunks: list[str]) -> list[bytes]:
+        """Encode chunks that begin with a space as one text, and cut its ids where the chunks end."""
+        if not chunks:
+            return []
+        ids = self.ids("".join(chunks))
+        ends = np.cumsum([len(c.encode()) for c in chunks])
+        cuts = ((np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * _ID_BYTES).tolist()
+        data = ids.tobytes()
+        return [data[start:end] for start, end in zip([0, *cuts[:-1]], cuts, strict=True)]
 
 
 @lru_cache(maxsize=4)
