@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trajmill.llm import exact, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity
+from trajmill.llm import decontaminate, exact, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -100,6 +100,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.find_leaks(documents(spark, sf_dir), benchmark)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard_documents(documents(spark, sf_dir), SHARDS)
     return rows.select(
@@ -108,5 +113,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op9_decontamination, op10_sharding)}
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
