@@ -11,7 +11,6 @@ have far more often than others.  Labels are read for that only.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from trajmill import scratch
 from trajmill.llm.arrow import map_rows
 
 #: At most so many labelled rows are read for the fit, those with the smallest hashes.
@@ -152,17 +152,15 @@ class _TermCounter:
         self.counts, self.texts = {}, [0, 0]
 
 
-def learn(labelled: DataFrame, rows: int = FIT_ROWS, size: int = LEXICON_SIZE) -> Lexicon:
-    """A lexicon from ``doc_id, text, toxic`` (0 or 1; other values and nulls are left out).
+def learn(sample: DataFrame, rows: int = FIT_ROWS, size: int = LEXICON_SIZE) -> Lexicon:
+    """A lexicon from ``text, toxic`` (0 or 1), which should be a bounded sample (``training_rows``).
 
     A table without toxic rows gives an empty lexicon, whose scores are all low.
     """
-    usable = labelled.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("int"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text", "toxic")
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("clean", T.LongType())])
-    counts = map_rows(sample, _TermCounter, schema, "rest").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = map_rows(sample.select("text", "toxic"), _TermCounter, schema, "rest").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # A term of so few toxic texts is never chosen; the row for all texts has the empty term.
-    frequent = counts.filter((F.col("toxic") >= LEAST_TEXTS) | (F.col("term") == ""))
+    frequent = scratch.materialize(counts.filter((F.col("toxic") >= LEAST_TEXTS) | (F.col("term") == "")), "terms")
     texts = frequent.filter("term = ''").first()
     if texts is None or not texts.toxic:
         return Lexicon({}, (-5.0, 0.0, 0.0))
@@ -170,7 +168,7 @@ def learn(labelled: DataFrame, rows: int = FIT_ROWS, size: int = LEXICON_SIZE) -
     chosen = frequent.filter("term <> ''").withColumn("odds", odds).filter(F.col("odds") >= LEAST_LOG_ODDS)
     best = chosen.orderBy((F.col("odds") * F.col("toxic")).desc(), "term").limit(size).collect()  # at most ``size`` rows
     lexicon = Lexicon({r.term: float(r.odds) for r in best})
-    features = sample.select(_feature_column(lexicon)("text").alias("f"), "toxic").select("f.*", "toxic").toArrow()  # at most ``rows`` rows
+    features = sample.select(_feature_column(lexicon)("text").alias("f"), "toxic").select("f.*", "toxic").limit(rows).toArrow()
     total, words, label = (features.column(n).to_numpy() for n in ("total", "words", "toxic"))
     return Lexicon(lexicon.weights, _fit_curve(total, words, label))
 
@@ -204,11 +202,16 @@ def fold_number(doc_id: str | Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """Labelled texts outside the held-out fold; an id that is labelled more than once is toxic if any label says so."""
-    marked = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marked = marked.filter(fold_number("doc_id", folds) != held_out)
-    return docs.select("doc_id", "text").join(marked, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, folds: int = 3, held_out: int = 1) -> DataFrame:
+    """``text, toxic`` of at most ``rows`` labelled ids outside the held-out fold, those with the smallest hashes.
+
+    Labels other than 0 and 1 and null ids are left out; an id that is labelled more than once is
+    toxic if any label says so.  The ids are chosen before any text is read.
+    """
+    marked = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold_number("doc_id", folds) != held_out)
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return scratch.materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
