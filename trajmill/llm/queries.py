@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trajmill.llm import decontaminate, exact, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity
+from trajmill.llm import decontaminate, exact, licenses, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -28,6 +28,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "class")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return licenses.scan_licenses(docs, licenses.train(docs))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir))
 
@@ -113,5 +118,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op9_decontamination, op10_sharding)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op9_decontamination, op10_sharding)}
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
