@@ -86,7 +86,7 @@ def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(toxicity.fold_number("doc_id", 7) == 2, F.lit(False))
     model = suffix_lm.train(docs.filter(~held_out))
     scores = suffix_lm.score(docs, model)
-    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "tree_score")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,16 @@ symbol by symbol: the bytes of the words, a space between words, and the end.
   counted in the tasks and summed by a grouping; they grow with the corpus.
 * **Contexts.**  A context of ``k`` bytes stays in the tree if its next-symbol distribution
   diverges from that of its suffix by enough, weighted by how often it occurs: the gain in bits is
-  at least ``DIVERGENCE`` times the number of symbols.  The gains of one depth add up to 8 bits a
+  more than the description length of its distribution (half a logarithm of its count for each
+  symbol), so it is no chance, and at least ``DIVERGENCE`` times the number of symbols.  The gains of one depth add up to 8 bits a
   symbol at most, so at most ``8 / DIVERGENCE`` contexts of a depth stay, at any corpus size.
   Their substrings are added, which makes the tree an automaton.
 * **Smoothing.**  A context's distribution is mixed with that of its suffix by the number of
   different symbols seen after it, down to one that gives every byte a share.
+* **Words.**  A token's probability is the mean of that of its spelling in the tree and its add-one
+  share of the training tokens, in which all unknown words are one.  Frequent words do not depend
+  on their spelling; for an unknown word the sum is a lower bound, as other spellings are unknown
+  words too.
 * **Scores.**  The automaton's state is always the longest suffix in the tree.  A state depends on
   the last ``DEPTH`` symbols only, so texts are cut into rows of one array and scored together.
 
@@ -35,6 +40,8 @@ from trajmill.llm.arrow import map_rows
 DEPTH = 6
 DIVERGENCE = 4e-6
 FREQUENT = 4e-6
+#: The weight of a token's add-one share; the tree's spelling has the rest.
+WORD_SHARE = 0.5
 SPACE, END = b" ", b"\n"
 _COUNT_AT = 2 << 20
 _HELD_WORDS = 250_000
@@ -47,6 +54,11 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def body_of(tokens: list[bytes]) -> bytes:
+    """The symbols of a text: each word with a space behind it, then the end."""
+    return SPACE.join([*tokens, END])
+
+
 def _codes(bodies: list[bytes]) -> np.ndarray:
     """The gram that ends at each symbol, the last byte lowest; before a text lie end symbols."""
     data = np.frombuffer(b"".join(END * DEPTH + b for b in bodies), dtype=np.uint8)
@@ -97,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = tokens_of(text)
             words.update(tokens)
             words[END] += 1
-            bodies.append(SPACE.join(tokens) + END)
+            bodies.append(body_of(tokens))
             waiting += len(bodies[-1])
             if waiting >= _COUNT_AT:
                 grams, waiting = counted(), 0
@@ -130,7 +142,7 @@ class Model:
     words: DataFrame  # word, n
     tokens: int
     distinct: int
-    frequent: dict[bytes, float]  # log10(n + 1)
+    frequent: dict[bytes, int]
     tree: Tree
 
 
@@ -147,7 +159,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     totals = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = int(totals.n or 0), int(totals.v)
     often = words.filter(F.col("n") >= F.lit(FREQUENT * tokens)).toArrow()  # at most 1 / FREQUENT rows
-    frequent = dict(zip(often.column("word").to_pylist(), np.log10(np.array(often.column("n").to_pylist(), dtype=float) + 1).tolist(), strict=True))
+    frequent = dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True))
     return Model(words, tokens, distinct, frequent, _tree(counted.filter("code IS NOT NULL").select("code", "n")))
 
 
@@ -165,8 +177,9 @@ def _tree(grams: DataFrame) -> Tree:
     shares = scratch.materialize(shares.withColumn("suffix", suffix), "lm-shares")
     above = shares.select((F.col("k") + 1).alias("k"), F.col("gram").alias("suffix"), F.col("share").alias("suffix_share"))
     gain = F.sum(F.col("n") * F.log2(F.col("share") / F.col("suffix_share")))
-    kept = shares.filter("k > 0").join(above, ["k", "suffix"]).groupBy("k", "context").agg(gain.alias("gain"))
-    kept = kept.filter((F.col("gain") >= F.lit(DIVERGENCE * symbols)) & (F.col("gain") > 0))
+    kept = shares.filter("k > 0").join(above, ["k", "suffix"]).groupBy("k", "context").agg(gain.alias("gain"), F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    length = 0.5 * F.col("kinds") * F.log2(F.col("total") + 1)
+    kept = kept.filter((F.col("gain") >= F.lit(DIVERGENCE * symbols)) & (F.col("gain") > length))
     parts = []
     for length in range(DEPTH + 1):
         for newest in range(DEPTH + 1 - length):  # how many of the newest bytes are left out
@@ -215,85 +228,112 @@ def _automaton(k: np.ndarray, context: np.ndarray, gram: np.ndarray, n: np.ndarr
     return Tree(classes, logs, following)
 
 
-def tree_scores(tree: Tree, bodies: list[bytes]) -> np.ndarray:
-    """The log10 probability of each symbol sequence."""
+def tree_logs(tree: Tree, bodies: list[bytes]) -> np.ndarray:
+    """The log10 probability of every symbol of the sequences, one sequence after another."""
     pad = tree.logs.shape[1] - 1
-    owner = np.repeat(np.arange(len(bodies)), [-(-len(b) // _ROW) for b in bodies])
-    rows = np.full((len(owner), DEPTH + _ROW), pad, dtype=np.int64)
+    rows = np.full((sum(-(-len(b) // _ROW) for b in bodies), DEPTH + _ROW), pad, dtype=np.int64)
     at = 0
     for body in bodies:
-        data = np.concatenate([np.full(DEPTH, END[0], dtype=np.uint8), np.frombuffer(body, dtype=np.uint8)])
+        data = np.frombuffer(END * DEPTH + body, dtype=np.uint8)
         for start in range(0, len(body), _ROW):
             piece = data[start : start + DEPTH + _ROW]
             rows[at, : len(piece)] = tree.classes[piece]
             at += 1
     logs, following, width = tree.logs.ravel(), tree.following.ravel(), pad + 1
-    state, total = np.zeros(len(owner), dtype=np.int64), np.zeros(len(owner))
+    state, out = np.zeros(len(rows), dtype=np.int64), np.empty((len(rows), _ROW), dtype=np.float32)
     for step in range(rows.shape[1]):
         place = state * width + rows[:, step]
         if step >= DEPTH:
-            total += logs[place]
+            out[:, step - DEPTH] = logs[place]
         state = following[place].astype(np.int64)
-    return np.bincount(owner, weights=total, minlength=len(bodies))
+    return out[rows[:, DEPTH:] != pad]
 
 
 class _Scorer:
-    """Scores rows in blocks: row number, tokens, known frequent tokens, their logs, score, other words."""
+    """Scores rows in blocks: row, tokens, frequent tokens, their base and model scores, the tree's score, other words.
 
-    def __init__(self, tree: Tree, frequent: dict[bytes, float]) -> None:
-        self.tree, self.frequent = tree, frequent
+    Other words come with the log10 probability of their spelling.
+    """
+
+    def __init__(self, tree: Tree, frequent: dict[bytes, int], total: int) -> None:
+        self.tree, self.frequent, self.total = tree, frequent, total
         self.rows: list[tuple] = []
         self.bodies: list[bytes] = []
         self.size = 0
 
     def __call__(self, row: tuple) -> Iterator[tuple]:
         tokens = tokens_of(row[1])
-        self.bodies.append(SPACE.join(tokens) + END)
-        tokens.append(END)
-        logs = list(map(self.frequent.get, tokens))
-        rare = [t for t, log in zip(tokens, logs, strict=True) if log is None]
-        self.rows.append((row[0], len(tokens), len(tokens) - len(rare), float(sum(filter(None, logs))), rare))
+        self.bodies.append(body_of(tokens))
+        self.rows.append((row[0], [*tokens, END]))
         self.size += len(self.bodies[-1])
         if self.size >= _SCORE_AT:
             yield from self.rest()
 
     def rest(self) -> Iterator[tuple]:
-        if self.rows:
-            for (number, tokens, known, logs, rare), score in zip(self.rows, tree_scores(self.tree, self.bodies), strict=True):
-                yield number, tokens, known, logs, float(score), rare
+        rows, bodies = self.rows, self.bodies
         self.rows, self.bodies, self.size = [], [], 0
+        symbols = tree_logs(self.tree, bodies) if bodies else np.empty(0)
+        at = 0
+        for (key, tokens), body in zip(rows, bodies, strict=True):
+            starts = np.cumsum([0, *(len(t) + 1 for t in tokens[:-1])])
+            spelled = np.add.reduceat(symbols[at : at + len(body)].astype(np.float64), starts)
+            at += len(body)
+            counts = np.array(list(map(self.frequent.get, tokens)), dtype=np.float64)  # none becomes NaN
+            known = np.flatnonzero(~np.isnan(counts))
+            n = counts[known]
+            mixed = _log_sum(np.log10((n + 1) / self.total) + np.log10(WORD_SHARE), spelled[known] + np.log10(1 - WORD_SHARE))
+            rare = [{"word": tokens[i], "spelled": float(spelled[i])} for i in np.flatnonzero(np.isnan(counts)).tolist()]
+            yield key, len(tokens), len(known), float(np.log10(n + 1).sum()), float(mixed.sum()), float(spelled.sum()), rare
+
+
+def _log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10 of the sum of two numbers given by their log10."""
+    high = np.maximum(a, b)
+    return high + np.log10(1 + 10 ** (np.minimum(a, b) - high))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score, tree_score`` for every row of ``docs``.
 
-    Scores are log10 probabilities of the whole text with its end.  A null text is an empty one,
-    which is the end alone.  Null ids and repeated rows are scored like any others.
+    Scores are log10 probabilities of the whole text with its end; ``tree_score`` is that of the
+    spelling alone.  A null text is an empty one, which is the end alone.  Null ids and repeated
+    rows are scored like any others.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.tree, model.frequent))
+    total = model.tokens + model.distinct + 1
+    sent = spark.sparkContext.broadcast((model.tree, model.frequent, total))
     schema = T.StructType(
         [
             T.StructField("row", T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("number", T.LongType())])),
             T.StructField("n_tokens", T.LongType()),
             T.StructField("n_known", T.LongType()),
             T.StructField("logs", T.DoubleType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("rare", T.ArrayType(T.BinaryType())),
+            T.StructField("mixed", T.DoubleType()),
+            T.StructField("tree_score", T.DoubleType()),
+            T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("spelled", T.DoubleType())]))),
         ]
     )
     numbered = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("number")), F.col(text))
     # Written down once, so that the numbers stay what they are.
     scored = scratch.materialize(map_rows(numbered, lambda: _Scorer(*sent.value), schema, "rest"), "lm-scored")
-    rare = scored.select(F.col("row.number").alias("number"), F.explode("rare").alias("word")).join(model.words, "word")
-    rare = rare.groupBy("number").agg(F.sum(F.log10(F.col("n") + 1)).alias("rare_logs"), F.count("*").alias("rare_known"))
-    joined = scored.select("row.*", "n_tokens", "n_known", "logs", "score").join(rare, "number", "left")
-    per_token = F.log10(F.lit(float(model.tokens + model.distinct + 1)))
+    rare = scored.select(F.col("row.number").alias("number"), F.explode("rare").alias("r")).select("number", "r.word", "r.spelled").join(model.words, "word", "left")
+    plus_one = F.coalesce("n", F.lit(0)) + 1
+    share = F.log10(plus_one * F.lit(WORD_SHARE / total))
+    spelled = F.col("spelled") + F.lit(float(np.log10(1 - WORD_SHARE)))
+    both = F.greatest(share, spelled) + F.log10(1 + F.pow(F.lit(10.0), F.least(share, spelled) - F.greatest(share, spelled)))
+    rare = rare.groupBy("number").agg(
+        F.sum(both).alias("rare_mixed"),
+        F.sum(F.log10(plus_one)).alias("rare_logs"),
+        F.count("n").alias("rare_known"),
+    )
+    joined = scored.select("row.*", "n_tokens", "n_known", "logs", "mixed", "tree_score").join(rare, "number", "left")
+    per_token = F.log10(F.lit(float(total)))
     return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
-        "score",
+        (F.col("mixed") + F.coalesce("rare_mixed", F.lit(0.0))).alias("score"),
+        "tree_score",
     )
