@@ -227,7 +227,7 @@ def scan_licenses(docs: DataFrame, classifier: Classifier, doc_id: str = "doc_id
         def scan(row: tuple) -> Iterator[tuple]:
             hits = []
             whole = row[1] or ""
-            for first, end in paragraphs(whole):
+            for first, end in sorted(paragraphs(whole)):
                 grams = features(whole[first:end])
                 shares = model.probabilities(grams)
                 best = int(shares.argmax())
