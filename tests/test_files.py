@@ -56,10 +56,9 @@ def test_predictions(spark, tmp_path):
     assert rows.count() == 8
     merged = predictions.latest_valid(rows, ["instance_id"], ["mtime", "path"], ["model_patch"])
     assert {r.instance_id: r.model_patch for r in merged.collect()} == {"i1": "diff --git new", "i2": "diff --git b", "i5": "diff --git y"}
-    doc = W.merged_document(merged).collect()
-    assert len(doc) == 1 and json.loads(doc[0].value)["i1"] == {"model_patch": "diff --git new", "instance_id": "i1"}
-    parts = [json.loads(r.value) for r in W.merged_document(merged, limit=2).collect()]
+    parts = [json.loads(r.value) for r in W.merged_document(merged).collect()]
     assert {k for p in parts for k in p} == {"i1", "i2", "i5"} and len(parts) == 3
+    assert {"i1": {"model_patch": "diff --git new", "instance_id": "i1"}} in parts
 
 
 def test_reports(spark, tmp_path):

@@ -36,12 +36,9 @@ def test_sweep(spark):
     table = {r.label: r.asDict() for r in grades.repo_pivot(graded, ["label"], ["django", "pydata", "pytest-dev"]).collect()}
     assert table["s200_e3"] == {"label": "s200_e3", "django": 8, "pydata": 1, "pytest-dev": 2}
     assert table["s20_e3"]["django"] == 0
-    long = {(r.label, r.repo): r.n_instances for r in grades.repo_breakdown(graded, ["label"], list(UNIONS)).collect()}
-    assert len(long) == 12 and long["d251_e10", "django"] == 1 and long["s70_e3", "pydata"] == 0
     configs = spark.createDataFrame([(k, 20, 3, 251) for k in UNIONS], "label string, max_steps int, epochs int, examples int")
-    pool = graded.select("instance_id")
-    doc = {r.label: r for r in grades.sweep_document(graded, configs, pool).collect()}
-    assert doc["s70_e3"].passk_union == UNIONS["s70_e3"] and doc["s20_e3"].passk_union == [] and doc["s70_e3"].config.max_steps == 20
+    long = {(r.label, r.repo): r.n_instances for r in grades.repo_breakdown(graded, ["label"], configs).collect()}
+    assert len(long) == 12 and long["d251_e10", "django"] == 1 and long["s70_e3", "pydata"] == 0
     top = grades.solve_frequency(graded).orderBy(F.desc("n_solves"), "instance_id").first()
     assert (top.instance_id, top.n_solves) == ("django__django-7530", 3)
 

@@ -17,7 +17,7 @@ SHARD_SEED = 0
 PACK_LENGTH = 65536
 PACK_BATCH_ROWS = 1000
 IGNORED_LABEL = -100
-STATS_ROWS = 2000
+DEGENERATE_SHARE = 0.3
 TOKENS_PER_STEP = 65536 * 8
 PACKS_PER_STEP = 8
 

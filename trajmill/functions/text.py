@@ -81,8 +81,8 @@ def is_valid_action(text: Column, pattern: str = C.ACTION_PATTERN) -> Column:
 
 
 def pretokenize(text: Column, pattern: str = C.PRETOKEN_PATTERN) -> Column:
-    """Pieces whose concatenation is the text."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Pieces whose concatenation is the text; white space and letters are Unicode's."""
+    return F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0))
 
 
 def json_line(*columns: str) -> Column:

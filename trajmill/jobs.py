@@ -18,18 +18,16 @@ from trajmill.operators.chat import IM_LAYOUT, ROLE_TOKEN_LAYOUT, Layout
 from trajmill.operators.encode import ByteEncoder, Encoder, rank_encoder, tokenize_rows
 from trajmill.sources import readers as R, writers as W
 
-MAX_CONFIGS = 1000
-
 
 def source_rows(spark: SparkSession, path: str, id_col: str | None = None) -> DataFrame:
     """Trajectory rows of a JSON-lines file or a saved dataset with a fixed ``row_id``.
 
-    A source without an id is numbered in file order and written once in columnar form.
+    A source without an id is numbered in file order, whatever the splits of the run.
     """
     rows = R.read_jsonl(spark, path) if path.rstrip("/").endswith(".jsonl") else R.read_saved(spark, path)
     if id_col:
         return rows.withColumnRenamed(id_col, "row_id")
-    return scratch.materialize(R.with_source_position(rows), "source")
+    return R.with_source_position(rows)
 
 
 def sample(spark: SparkSession, source: str, target: str, rows: int = C.SAMPLE_ROWS, seed: int = C.SHARD_SEED) -> None:
@@ -119,7 +117,7 @@ def tokenize(
 
 def training_rows(spark: SparkSession, path: str, fraction: tuple[int, int] = (1, 1), seed: int | None = None) -> DataFrame:
     """Rows for training: a prefix of all shards in order, then shuffled."""
-    rows = scratch.materialize(R.with_source_position(R.read_shards(spark, path)), "training")
+    rows = R.with_source_position(R.read_shards(spark, path))
     part = ordering.prefix_rows(rows, fraction, "row_id") if fraction != (1, 1) else rows
     return part if seed is None else ordering.shuffled(part, seed, "row_id")
 
@@ -140,14 +138,11 @@ def sweep(spark: SparkSession, reports: str, configs: DataFrame) -> dict[str, Da
     found = R.read_reports(spark, reports)
     resolved = grades.long_form(found.join(configs.select("label", "tag"), "tag"), ["label", "run"])
     solved = resolved.withColumn("resolved", F.lit(True))
-    labels = [r["label"] for r in configs.select("label").distinct().limit(MAX_CONFIGS + 1).collect()]
-    if len(labels) > MAX_CONFIGS:
-        raise ValueError("too many configurations for a repository table")
     return {
         "summary": grades.with_run_config(configs, found),
         "union": grades.passk_count(solved, ["label"]),
         "frequency": grades.solve_frequency(solved),
-        "repositories": grades.repo_breakdown(solved, ["label"], labels),
+        "repositories": grades.repo_breakdown(solved, ["label"], configs.select("label")),
     }
 
 

@@ -59,3 +59,27 @@ def prompt_parity(train: DataFrame, evaluation: DataFrame, keys: list[str], text
         .na.fill(0, ["n_train", "n_eval"])
         .withColumn("parity", (F.col("n_train") > 0) & (F.col("n_eval") > 0))
     )
+
+
+def resolved_only(rows: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose instance (and configuration, run ..) was resolved; a null key never is."""
+    return rows.join(resolved.select(*keys).distinct(), keys, "left_semi")
+
+
+def repeated_line_share(text: Column) -> Column:
+    """Share of the lines of a text that repeat an earlier one; null for a null text."""
+    lines = F.split(text, "\n")
+    return 1 - F.size(F.array_distinct(lines)) / F.size(lines)
+
+
+def stutter_share(text: Column) -> Column:
+    """Share of the space-separated words that equal the word before them; null for a null text."""
+    words = F.split(text, " ")
+    repeats = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when(a == b, 1))
+    return F.size(F.array_compact(repeats)) / F.size(words)
+
+
+def degenerate_texts(rows: DataFrame, text: str, at_least: float = C.DEGENERATE_SHARE) -> DataFrame:
+    """Adds both shares and whether one of them is at least ``at_least``; a null text is not degenerate."""
+    shares = rows.withColumns({"line_share": repeated_line_share(F.col(text)), "stutter_share": stutter_share(F.col(text))})
+    return shares.withColumn("degenerate", F.coalesce(F.greatest("line_share", "stutter_share") >= at_least, F.lit(False)))

@@ -67,7 +67,9 @@ def in_key_context(
         *[F.lag(f"_p_{n}").over(inside).alias(f"_lp_{n}") for n in previous],
         *[F.lead(f"_f_{n}").over(inside).alias(f"_lf_{n}") for n in following],
     )
-    joined = local.join(carried, [key, "_block"])
+    # Null keys are a key as well, and null positions a block.
+    carried = carried.withColumnsRenamed({key: "_key", "_block": "_of"})
+    joined = local.join(carried, local[key].eqNullSafe(carried["_key"]) & local["_block"].eqNullSafe(carried["_of"]))
     return joined.select(
         *[F.col(c) for c in df.columns if keep_block or c != "_block"],
         *[(F.col(f"_cs_{n}") + F.col(f"_ls_{n}")).alias(n) for n in sums],

@@ -55,6 +55,23 @@ def cap_per_key(df: DataFrame, order: list[str], cap: int = C.MAX_ROWS_PER_KEY,
     return kept if rank else kept.drop(name)
 
 
+def without_evaluated(df: DataFrame, evaluated: DataFrame, key: str = "instance_id") -> DataFrame:
+    """Training rows whose instance is not evaluated.  Null-safe: a null key stays unless null is evaluated."""
+    seen = evaluated.select(F.col(key).alias("_seen")).distinct()
+    return df.join(seen, df[key].eqNullSafe(seen["_seen"]), "left_anti")
+
+
+def text_hash(text: Column) -> Column:
+    """A digest that ignores case and white space."""
+    return F.md5(F.lower(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))).cast("binary"))
+
+
+def without_test_texts(df: DataFrame, tests: DataFrame, text: str, test_text: str = "text") -> DataFrame:
+    """Rows whose whole text is not that of a test item; rows without a text stay."""
+    seen = tests.where(F.col(test_text).isNotNull()).select(text_hash(F.col(test_text)).alias("_seen")).distinct()
+    return df.join(seen, text_hash(df[text]) == seen["_seen"], "left_anti")
+
+
 def uncovered_rows(df: DataFrame, covered: DataFrame, key: str = "instance_id") -> DataFrame:
     """Unverified rows whose key is not covered.
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trajmill import constants as C
 from trajmill.functions.text import repo
 
-MAX_DOCUMENT_IDS = 100_000
 
 
 def long_form(reports: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,17 +54,21 @@ def solve_frequency(graded: DataFrame) -> DataFrame:
     return resolved_rows(graded).groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_solves"))
 
 
-def repo_breakdown(graded: DataFrame, keys: list[str], configs: list[object]) -> DataFrame:
+def repo_breakdown(graded: DataFrame, keys: list[str], configs: DataFrame | None = None) -> DataFrame:
     """Union instances per configuration and repository, long form, 0-filled.
 
-    The configurations are parameters of the sweep, so every repository that occurs in any
-    union is paired with them by an explode; repositories are found by aggregation.
+    Every configuration of ``configs`` (by default those of ``graded``) is paired with every
+    repository that occurs in one of their unions.
     """
     (key,) = keys
+    labels = (graded if configs is None else configs).select(key).distinct()
     counts = passk_union(graded, keys).groupBy(key, repo(F.col("instance_id")).alias("repo")).agg(
         F.count(F.lit(1)).alias("n_instances")
     )
-    grid = repos_of(graded).select("repo", F.explode(F.array(*map(F.lit, configs))).alias(key))
+    if configs is not None:
+        counts = counts.join(labels, key, "left_semi")
+    every = labels.agg(F.sort_array(F.collect_set(key))).scalar()  # the configurations of one sweep
+    grid = counts.select("repo").distinct().select("repo", F.explode(every).alias(key))
     return grid.join(counts, [key, "repo"], "left").na.fill(0, ["n_instances"]).select(key, "repo", "n_instances")
 
 
@@ -193,31 +196,6 @@ def sweep_summary(graded: DataFrame, key: str, pool: int) -> DataFrame:
     return rows.unionByName(total).withColumn("eval_pool", F.lit(pool))
 
 
-def sweep_document(graded: DataFrame, configs: DataFrame, pool: DataFrame, key: str = "label") -> DataFrame:
-    """Nested sweep summary: one row per configuration with its union as an array.
-
-    An array is never longer than the evaluation pool, whose size is checked here.
-    """
-    size = pool.select("instance_id").distinct().limit(MAX_DOCUMENT_IDS + 1).count()
-    if size > MAX_DOCUMENT_IDS:
-        raise ValueError("the pool is too large for a nested document; use sweep_summary and passk_union")
-    union = passk_union(graded, [key]).groupBy(key).agg(F.sort_array(F.collect_set("instance_id")).alias("passk_union"))
-    flat = sweep_summary(graded, key, size).where(F.col(key) != "*")
-    return (
-        configs.join(flat, key)
-        .join(union, key, "left")
-        .select(
-            key,
-            F.struct("max_steps", "epochs", "examples").alias("config"),
-            "pass1_mean",
-            F.coalesce("passk_union", F.array().cast("array<string>")).alias("passk_union"),
-            "passk_count",
-            "n_graded",
-            "eval_pool",
-        )
-    )
-
-
 def publish_totals(published: DataFrame) -> DataFrame:
     """Rows and resolved per (model, run), and the resolved total of the model so far."""
     runs = published.groupBy("model", "run").agg(

@@ -15,6 +15,7 @@ from trajmill.functions.numbers import whole_div
 from trajmill.operators.spread import broadcast_if_small
 
 BATCHES_PER_GROUP = 16
+MAX_BATCH_ROWS = 1 << 20
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[int]:
@@ -40,6 +41,8 @@ def plan_packs(df: DataFrame, id_col: str, length: str, position: str, capacity:
     Bins never mix batches.  A group holds a fixed number of batches, so its size does not
     depend on the data.
     """
+    if batch_rows > MAX_BATCH_ROWS:
+        raise ValueError(f"a batch has at most {MAX_BATCH_ROWS} rows, which keeps pack ids apart")
     per_group = batch_rows * BATCHES_PER_GROUP
     rows = df.select(
         F.col(id_col).cast("bigint").alias("id"),
@@ -68,24 +71,27 @@ def with_pack_id(plan: DataFrame) -> DataFrame:
 def build_packs(tokens: DataFrame, plan: DataFrame, id_col: str, capacity: int) -> DataFrame:
     """Packed rows: member arrays concatenated by slot, ``seq_lengths`` with one entry each.
 
-    A pack holds at most ``capacity`` tokens, which bounds what one group gathers.  The plan
-    is written once; if it is small it is broadcast and tokens move by pack only.
+    A pack holds at most ``capacity`` tokens, which bounds what one group gathers.  Rows are
+    expected to be cut before; of longer ones the rest is left out and counted in ``n_cut``.
+    The plan is written once; if it is small it is broadcast and tokens move by pack only.
     """
     numbered = scratch.materialize(with_pack_id(plan).select("id", "pack_id", "slot"), "pack-plan")
     cut = tokens.select(
         F.col(id_col).cast("bigint").alias("id"),
         F.slice("input_ids", 1, capacity).alias("input_ids"),
         F.slice("completion_mask", 1, capacity).alias("completion_mask"),
+        F.greatest(F.size("input_ids") - capacity, F.lit(0)).alias("n_cut"),
     )
     member = F.struct("slot", "input_ids", "completion_mask")
     packs = cut.join(broadcast_if_small(numbered), "id").groupBy("pack_id").agg(
-        F.sort_array(F.collect_list(member)).alias("m")
+        F.sort_array(F.collect_list(member)).alias("m"), F.sum("n_cut").alias("n_cut")
     )
     return packs.select(
         "pack_id",
         F.flatten("m.input_ids").alias("input_ids"),
         F.flatten("m.completion_mask").alias("completion_mask"),
         F.transform("m.input_ids", lambda x: F.size(x)).alias("seq_lengths"),
+        "n_cut",
     )
 
 
@@ -93,8 +99,8 @@ def token_columns(df: DataFrame) -> DataFrame:
     return df.select("input_ids", "completion_mask", "seq_lengths")
 
 
-def token_stats(df: DataFrame, order: str, rows: int = C.STATS_ROWS) -> DataFrame:
-    """Length statistics of the first rows: only lengths are sorted."""
+def token_stats(df: DataFrame, order: str, rows: int | None = None) -> DataFrame:
+    """Length statistics of all rows, or of the first ``rows`` in the given order."""
     narrow = df.select(
         order,
         F.size("input_ids").alias("n"),
@@ -103,8 +109,10 @@ def token_stats(df: DataFrame, order: str, rows: int = C.STATS_ROWS) -> DataFram
     return stats_of_lengths(narrow, order, F.col("n"), F.col("u"), rows)
 
 
-def stats_of_lengths(df: DataFrame, order: str, length: Column, unmasked: Column, rows: int = C.STATS_ROWS) -> DataFrame:
-    head = df.select(order, length.alias("n"), unmasked.alias("u")).orderBy(order).limit(rows)
+def stats_of_lengths(df: DataFrame, order: str, length: Column, unmasked: Column, rows: int | None = None) -> DataFrame:
+    head = df.select(order, length.alias("n"), unmasked.alias("u"))
+    if rows is not None:
+        head = head.orderBy(order).limit(rows)
     return head.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg("n").alias("avg_len"),

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from trajmill.functions import text as X
 from trajmill.functions.numbers import budget, percent
-from trajmill.operators import curate, grades, ordering
+from trajmill.operators import curate, grades, ordering, predictions
 from trajmill.plans import views as V
 from trajmill.plans.registry import query
 
@@ -27,8 +27,8 @@ def _(spark, sf):
     "SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY conv_id HAVING count(*) >= 3",
 )
 def _(spark, sf):
-    turns = V.conversations(spark, sf).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
-    return turns.where(F.col("n_messages") >= 3)
+    turns = V.conversations(spark, sf).groupBy("conv_id").agg(F.collect_list("turn").alias("messages"))
+    return curate.with_min_messages(turns).select("conv_id", F.size("messages").cast("bigint").alias("n_messages"))
 
 
 @query("filter_oversize", "SELECT row_id, n_len FROM traj_rows WHERE n_len <= 8000", "traj_rows")
@@ -49,7 +49,7 @@ def _(spark, sf):
 
 @query("filter_valid_patch", "SELECT shard, event_id FROM preds WHERE starts_with(model_patch, 'diff --git')", "preds")
 def _(spark, sf):
-    return V.preds(spark, sf).where(X.is_patch(F.col("model_patch"))).select("shard", "event_id")
+    return predictions.valid_predictions(V.preds(spark, sf)).select("shard", "event_id")
 
 
 @query(
@@ -369,3 +369,22 @@ def _(spark, sf):
 def _(spark, sf):
     rows = V.traj_rows(spark, sf)
     return curate.unverified_rows(rows).select("instance_id").subtract(curate.verified_rows(rows).select("instance_id"))
+
+
+# --- training rows against evaluations ------------------------------------------
+
+
+@query(
+    "join_exclude_eval",
+    """SELECT r.row_id, r.instance_id FROM traj_rows r
+       WHERE r.instance_id NOT IN (SELECT instance_id FROM traj_rows JOIN labels ON doc_id = row_id WHERE toxic = 1)
+         AND md5(lower(trim(regexp_replace(body, '[ \\t\\r\\n]+', ' ', 'g')))) NOT IN
+             (SELECT md5(lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')))) FROM benchmark)""",
+    "traj_rows",
+)
+def _(spark, sf):
+    """Instances of rows with a toxic label stand for the evaluated ones."""
+    rows = V.traj_rows(spark, sf)
+    toxic = V.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id"))
+    kept = curate.without_evaluated(rows, rows.join(toxic, "row_id", "left_semi"))
+    return curate.without_test_texts(kept, V.table(spark, sf, "benchmark"), "body").select("row_id", "instance_id")

@@ -314,19 +314,21 @@ def _(spark, sf):
     "graded",
 )
 def _(spark, sf):
-    return grades.repo_breakdown(V.graded(spark, sf), ["model"], ["A", "B"])
+    return grades.repo_breakdown(V.graded(spark, sf), ["model"])
+
+
+REPOS = [f"repo{i}" for i in range(7)]
 
 
 @query(
     "agg_repo_pivot",
-    """SELECT model, count(DISTINCT instance_id) FILTER (WHERE resolved AND instance_id LIKE 'repo0\\_\\_%' ESCAPE '\\') AS repo0,
-              count(DISTINCT instance_id) FILTER (WHERE resolved AND instance_id LIKE 'repo1\\_\\_%' ESCAPE '\\') AS repo1,
-              count(DISTINCT instance_id) FILTER (WHERE resolved AND instance_id LIKE 'repo2\\_\\_%' ESCAPE '\\') AS repo2
-       FROM graded GROUP BY 1""",
+    "SELECT model, "
+    + ", ".join(f"count(DISTINCT instance_id) FILTER (WHERE resolved AND split_part(instance_id, '__', 1) = '{r}') AS {r}" for r in REPOS)
+    + " FROM graded GROUP BY 1",
     "graded",
 )
 def _(spark, sf):
-    return grades.repo_pivot(V.graded(spark, sf), ["model"], ["repo0", "repo1", "repo2"])
+    return grades.repo_pivot(V.graded(spark, sf), ["model"], REPOS)
 
 
 @query(
@@ -553,3 +555,37 @@ def _(spark, sf):
     e = V.table(spark, sf, "events").select(F.col("user_id").alias("cluster"), F.col("props").alias("value"))
     held = e.where("cluster % 3 = 0").select("cluster").distinct()
     return attempts.hold_cause(held, e, '"k": 7')
+
+
+@query(
+    "audit_resolved_only",
+    """SELECT event_id, model, run, p.instance_id FROM (
+         SELECT event_id, CASE WHEN (event_id // 5) % 2 = 0 THEN 'A' ELSE 'B' END AS model, CAST(event_id % 5 + 1 AS INTEGER) AS run,
+                'repo' || CAST(user_id % 7 AS VARCHAR) || '__' || CAST(user_id AS VARCHAR) AS instance_id FROM events) p
+       SEMI JOIN (SELECT * FROM graded WHERE resolved) g USING (model, run, instance_id)""",
+    "graded",
+)
+def _(spark, sf):
+    """Every event is an attempt; those of a resolved (model, run, instance) stay."""
+    attempts = V.table(spark, sf, "events").select(
+        "event_id",
+        F.when(F.expr("event_id div 5 % 2 = 0"), "A").otherwise("B").alias("model"),
+        (F.col("event_id") % 5 + 1).cast("int").alias("run"),
+        F.concat(F.lit("repo"), (F.col("user_id") % 7).cast("string"), F.lit("__"), F.col("user_id").cast("string")).alias("instance_id"),
+    )
+    return audit.resolved_only(attempts, V.graded(spark, sf).where("resolved"), ["model", "run", "instance_id"]).select("event_id", "model", "run", "instance_id")
+
+
+@query(
+    "audit_degenerate_text",
+    """SELECT doc_id, round(line_share, 6) AS line_share, round(stutter_share, 6) AS stutter_share,
+              greatest(line_share, stutter_share) >= 0.3 AS degenerate
+       FROM (SELECT doc_id, 1 - len(list_distinct(l)) / len(l)::DOUBLE AS line_share,
+                    len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) / len(w)::DOUBLE AS stutter_share
+             FROM (SELECT doc_id, string_split(text, chr(10)) AS l, string_split(text, ' ') AS w FROM documents))""",
+)
+def _(spark, sf):
+    rows = V.table(spark, sf, "documents").select("doc_id", "text")
+    return audit.degenerate_texts(rows, "text").select(
+        "doc_id", F.round("line_share", 6).alias("line_share"), F.round("stutter_share", 6).alias("stutter_share"), "degenerate"
+    )

@@ -13,6 +13,7 @@ from trajmill.plans.registry import query
 
 MASK_LENGTH = 600
 ROW_LENGTH = 4096
+NO_CUT = 1 << 30
 CAPACITY = 16384
 BATCH = 250
 
@@ -27,8 +28,8 @@ def _spans(spark, sf):
     return chat.turn_spans(V.conversations(spark, sf), "conv_id", "turn", "role", F.octet_length("text"))
 
 
-def _masks(spark, sf):
-    return chat.conversation_masks(_spans(spark, sf), "conv_id", "turn", MASK_LENGTH)
+def _masks(spark, sf, max_length=NO_CUT):
+    return chat.conversation_masks(_spans(spark, sf), "conv_id", "turn", max_length)
 
 
 @query(
@@ -49,11 +50,10 @@ def _(spark, sf):
     return _spans(spark, sf).select("conv_id", "turn", "target", "span_start", "span_len")
 
 
-# Spans clipped to the mask length, with neighbouring spans of one flag as one run.
-_CLIPPED = f"""
-    clipped AS (SELECT conv_id, span_start, least(span_len, {MASK_LENGTH} - span_start) AS len, CAST(target AS INTEGER) AS value
-                FROM spans WHERE span_start < {MASK_LENGTH} AND span_len > 0),
-    changes AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY conv_id ORDER BY span_start) THEN 0 ELSE 1 END AS fresh FROM clipped),
+# Neighbouring spans of one flag as one run.
+_RUNS = """
+    flags AS (SELECT conv_id, span_start, span_len AS len, CAST(target AS INTEGER) AS value FROM spans WHERE span_len > 0),
+    changes AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY conv_id ORDER BY span_start) THEN 0 ELSE 1 END AS fresh FROM flags),
     islands AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY span_start) AS island FROM changes)"""
 
 
@@ -65,7 +65,7 @@ _CLIPPED = f"""
     "spans",
 )
 def _(spark, sf):
-    return _masks(spark, sf).select(
+    return _masks(spark, sf, MASK_LENGTH).select(
         "conv_id",
         "orig_len",
         F.size("completion_mask").cast("bigint").alias("n_ids"),
@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query(
     "win_mask_runs",
-    f""", {_CLIPPED} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY min(span_start)) - 1 AS run_no,
+    f""", {_RUNS} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY min(span_start)) - 1 AS run_no,
         CAST(value AS BIGINT) AS value, CAST(min(span_start) AS BIGINT) AS start, CAST(sum(len) AS BIGINT) AS len
         FROM islands GROUP BY conv_id, island, value""",
     "spans",
@@ -93,11 +93,10 @@ def _(spark, sf):
 
 @query(
     "agg_token_stats",
-    f"""SELECT count(*) AS n_rows, round(avg(n), 6) AS avg_len, min(n) AS min_len, max(n) AS max_len, round(avg(u), 6) AS avg_unmasked,
+    """SELECT count(*) AS n_rows, round(avg(n), 6) AS avg_len, min(n) AS min_len, max(n) AS max_len, round(avg(u), 6) AS avg_unmasked,
                round(avg(u) / greatest(avg(n), 1) * 100, 6) AS unmasked_pct FROM (
-          SELECT conv_id, least(max(cum_len), {MASK_LENGTH}) AS n,
-                 COALESCE(sum(greatest(0, least(span_len, {MASK_LENGTH} - span_start))) FILTER (WHERE target), 0) AS u
-          FROM spans GROUP BY conv_id ORDER BY conv_id LIMIT 2000)""",
+          SELECT conv_id, max(cum_len) AS n, COALESCE(sum(span_len) FILTER (WHERE target), 0) AS u
+          FROM spans GROUP BY conv_id)""",
     "spans",
 )
 def _(spark, sf):
@@ -129,7 +128,7 @@ def _rows(spark, sf):
     )
 
 
-def _tokens(spark, sf, max_length=ROW_LENGTH):
+def _tokens(spark, sf, max_length=NO_CUT):
     return encode.tokenize_rows(_rows(spark, sf), encode.ByteEncoder(), max_length)
 
 
@@ -141,7 +140,8 @@ _ROW_SQL = f"""
              FROM traj_rows),
     sizes AS (SELECT row_id, strlen(ask || header) AS a, strlen(ask || header || answer) AS b,
                      strlen(ask || header || answer || reply) AS total FROM text),
-    cut AS (SELECT row_id, total, a, b, least(total, {ROW_LENGTH}) AS n, least(b, {ROW_LENGTH}) - least(a, {ROW_LENGTH}) AS u FROM sizes)"""
+    cut AS (SELECT row_id, total, least(total, {ROW_LENGTH}) AS n, least(b, {ROW_LENGTH}) - least(a, {ROW_LENGTH}) AS u FROM sizes),
+    whole AS (SELECT row_id, total AS n, b - a AS u FROM sizes)"""
 
 
 @query("tok_render_rows", f", {_ROW_SQL} SELECT row_id, md5(ask || header || answer || reply) AS text_md5 FROM text", "traj_rows")
@@ -156,7 +156,7 @@ def _(spark, sf):
     "traj_rows",
 )
 def _(spark, sf):
-    return _tokens(spark, sf).select(
+    return _tokens(spark, sf, ROW_LENGTH).select(
         "row_id",
         F.col("orig_len").cast("bigint").alias("orig_len"),
         F.get("seq_lengths", F.lit(0)).cast("bigint").alias("n_ids"),
@@ -167,7 +167,7 @@ def _(spark, sf):
 @query(
     "tok_verify",
     f""", {_ROW_SQL} SELECT row_id, TRUE AS lengths_equal, TRUE AS boundaries_clean,
-        CAST(CASE WHEN b <= {ROW_LENGTH} THEN 1 ELSE 0 END AS BIGINT) AS n_end_targets FROM cut""",
+        CAST(1 AS BIGINT) AS n_end_targets FROM whole""",
     "traj_rows",
 )
 def _(spark, sf):
@@ -179,11 +179,11 @@ def _(spark, sf):
 
 @query(
     "win_boundary_check",
-    f""", {_ROW_SQL} SELECT row_id, TRUE AS clean_line_feed, b >= {ROW_LENGTH} AS clean_other FROM cut""",
+    f""", {_ROW_SQL} SELECT row_id, TRUE AS clean_line_feed, FALSE AS clean_other FROM whole""",
     "traj_rows",
 )
 def _(spark, sf):
-    """A wrong end token is noticed unless the answer is the last run of the cut row."""
+    """A wrong end token is noticed, as another run follows every answer."""
     ids, runs = F.col("input_ids"), F.col("mask_runs")
     return _tokens(spark, sf).select(
         "row_id", A.boundaries_clean(ids, runs, 10).alias("clean_line_feed"), A.boundaries_clean(ids, runs, 62).alias("clean_other")
@@ -192,7 +192,7 @@ def _(spark, sf):
 
 @query(
     "agg_target_counts",
-    f""", {_ROW_SQL} SELECT row_id, CAST(u AS BIGINT) AS n_targets, CAST(CASE WHEN b <= {ROW_LENGTH} THEN 1 ELSE 0 END AS BIGINT) AS n_end_targets FROM cut""",
+    f""", {_ROW_SQL} SELECT row_id, CAST(u AS BIGINT) AS n_targets, CAST(1 AS BIGINT) AS n_end_targets FROM whole""",
     "traj_rows",
 )
 def _(spark, sf):
@@ -206,7 +206,7 @@ def _(spark, sf):
 
 @query(
     "arr_truncate",
-    f""", {_ROW_SQL} SELECT row_id, CAST(least(n, 100) AS BIGINT) AS n_ids FROM cut""",
+    f""", {_ROW_SQL} SELECT row_id, CAST(least(n, 100) AS BIGINT) AS n_ids FROM whole""",
     "traj_rows",
 )
 def _(spark, sf):
@@ -215,7 +215,7 @@ def _(spark, sf):
 
 @query(
     "arr_split_by_mask",
-    f""", {_ROW_SQL} SELECT row_id, CAST(u AS BIGINT) AS n_target, CAST(n - u AS BIGINT) AS n_prompt FROM cut""",
+    f""", {_ROW_SQL} SELECT row_id, CAST(u AS BIGINT) AS n_target, CAST(n - u AS BIGINT) AS n_prompt FROM whole""",
     "traj_rows",
 )
 def _(spark, sf):
@@ -230,7 +230,7 @@ def _(spark, sf):
 @query(
     "arr_labels",
     f""", {_ROW_SQL} SELECT row_id, CAST(n AS BIGINT) AS n_labels, CAST(n - u AS BIGINT) AS n_ignored,
-        CAST(CASE WHEN b <= {ROW_LENGTH} THEN 1 ELSE 0 END AS BIGINT) AS n_chat_labels FROM cut""",
+        CAST(1 AS BIGINT) AS n_chat_labels FROM whole""",
     "traj_rows",
 )
 def _(spark, sf):
@@ -252,7 +252,7 @@ def _(spark, sf):
     "traj_rows",
 )
 def _(spark, sf):
-    views = verify.decoded_views(_tokens(spark, sf, 1 << 30), encode.ByteEncoder())
+    views = verify.decoded_views(_tokens(spark, sf), encode.ByteEncoder())
     digest = lambda c: F.md5(F.col(c).cast("binary"))
     return views.select(
         "row_id", digest("text").alias("text_md5"), digest("prompt_text").alias("prompt_md5"), digest("target_text").alias("target_md5")

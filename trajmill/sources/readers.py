@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from trajmill import constants as C, schemas
+from trajmill import constants as C, schemas, scratch
 from trajmill.functions.numbers import log_time
+from trajmill.operators.spread import broadcast_if_small
 
 
 def _decoded(name: Column) -> Column:
@@ -44,12 +45,18 @@ def read_chat_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_source_position(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number rows in file order, for sources that bring no id of their own.
+    """Number the rows of a scan by file path and place in the file, from 0 without gaps.
 
-    The numbers follow the file splits of this scan: write the result before using them in
-    more than one query.
+    The numbers depend on the files alone, not on how a run splits them.  Rows are written once
+    with their split; a table with one row per split then says how many rows lie before it.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    placed = scratch.materialize(df.select("*", place.alias("_split"), F.monotonically_increasing_id().alias("_at")), "source")
+    splits = placed.groupBy("_split").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_split", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    numbered = placed.join(broadcast_if_small(splits), "_split")
+    return numbered.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_split", "_at", "_first", "_before")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

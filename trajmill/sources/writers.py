@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from trajmill.sources.readers import path_exists
 
 ROWS_PER_FILE = 1_000_000
-SINGLE_DOCUMENT_ROWS = 10_000
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -56,17 +55,12 @@ def write_merged_predictions(df: DataFrame, path: str, mode: str = "error") -> N
     df.select("instance_id", "model_patch").write.mode(mode).parquet(path)
 
 
-def merged_document(df: DataFrame, limit: int = SINGLE_DOCUMENT_ROWS) -> DataFrame:
-    """The merged map as JSON text: one document if it is small, else one per entry.
-
-    The size is checked first, so no task gathers an unbounded map.
-    """
+def merged_document(df: DataFrame) -> DataFrame:
+    """The merged map as JSON text, one document per entry at any size; ``read_predictions`` reads them."""
     entry = F.struct(
         F.col("instance_id").alias("key"), F.struct("model_patch", "instance_id").alias("value")
     )
-    small = df.limit(limit + 1).count() <= limit
-    rows = df.agg(F.collect_list(entry).alias("e")) if small else df.select(F.array(entry).alias("e"))
-    return rows.select(F.to_json(F.map_from_entries("e")).alias("value"))
+    return df.select(F.to_json(F.map_from_entries(F.array(entry))).alias("value"))
 
 
 def finished_keys(df: DataFrame, path: str, keys: list[str]) -> DataFrame | None:
