@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 OUT_ROWS = 4096
 OUT_BYTES = 8 << 20
+IN_ROWS = 512
 
 
 class Out:
@@ -33,6 +34,18 @@ class Out:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of so few rows that their Python objects are small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, IN_ROWS):
+            yield batch.slice(at, IN_ROWS)
+
+
+def _size(value: object) -> int:
+    """About how many bytes a value takes."""
+    return len(value) if isinstance(value, (bytes, str)) else 64 * len(value) if isinstance(value, list) else 8
+
+
 def map_rows(df: DataFrame, start: Callable[[], Callable[[tuple], Iterator[tuple]]], schema: StructType, finish: str | None = None) -> DataFrame:
     """Apply a Python function to every row of ``df``, a partition at a time.
 
@@ -43,11 +56,10 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[[tuple], Iterator[tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, out = start(), Out(arrow)
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
+        for part in parts(batches):
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for made in each(row):
-                    out.add(made, sum(len(x) for x in made if isinstance(x, (bytes, str))))
+                    out.add(made, sum(map(_size, made)))
                     if out.full():
                         yield out.batch()
         for made in getattr(each, finish)() if finish else ():

@@ -35,18 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from trajmill import scratch
-from trajmill.llm.arrow import map_rows
+from trajmill.llm.arrow import map_rows, parts
 
-DEPTH = 6
-DIVERGENCE = 4e-6
+DEPTH = 5
+DIVERGENCE = 2e-6
 FREQUENT = 4e-6
 #: The weight of a token's add-one share; the tree's spelling has the rest.
 WORD_SHARE = 0.5
 SPACE, END = b" ", b"\n"
+#: Symbols that are counted at once, and different grams and words that a task holds.
 _COUNT_AT = 2 << 20
-_HELD_WORDS = 250_000
+_HELD_GRAMS = 2 << 20
+_HELD_WORDS = 200_000
 _ROW = 256
-_SCORE_AT = 4 << 20
+#: Symbols that are scored at once.
+_SCORE_AT = 1 << 20
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -104,8 +107,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bodies.clear()
         return _merge(np.concatenate([grams[0], codes]), np.concatenate([grams[1], counts]))
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
+    for part in parts(batches):
+        for text in part.column(0).to_pylist():
             tokens = tokens_of(text)
             words.update(tokens)
             words[END] += 1
@@ -113,7 +116,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting += len(bodies[-1])
             if waiting >= _COUNT_AT:
                 grams, waiting = counted(), 0
-                if len(grams[0]) > _COUNT_AT:
+                if len(grams[0]) > _HELD_GRAMS:
                     yield from gram_rows(*grams)
                     grams = (np.empty(0, np.int64), np.empty(0, np.int64))
             if len(words) >= _HELD_WORDS:
@@ -282,8 +285,9 @@ class _Scorer:
             known = np.flatnonzero(~np.isnan(counts))
             n = counts[known]
             mixed = _log_sum(np.log10((n + 1) / self.total) + np.log10(WORD_SHARE), spelled[known] + np.log10(1 - WORD_SHARE))
-            rare = [{"word": tokens[i], "spelled": float(spelled[i])} for i in np.flatnonzero(np.isnan(counts)).tolist()]
-            yield key, len(tokens), len(known), float(np.log10(n + 1).sum()), float(mixed.sum()), float(spelled.sum()), rare
+            rare = np.flatnonzero(np.isnan(counts))
+            words, logs = [tokens[i] for i in rare.tolist()], spelled[rare].tolist()
+            yield key, len(tokens), len(known), float(np.log10(n + 1).sum()), float(mixed.sum()), float(spelled.sum()), words, logs
 
 
 def _log_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -310,13 +314,15 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             T.StructField("logs", T.DoubleType()),
             T.StructField("mixed", T.DoubleType()),
             T.StructField("tree_score", T.DoubleType()),
-            T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("spelled", T.DoubleType())]))),
+            T.StructField("words", T.ArrayType(T.BinaryType())),
+            T.StructField("spelled", T.ArrayType(T.DoubleType())),
         ]
     )
     numbered = docs.select(F.struct(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("number")), F.col(text))
     # Written down once, so that the numbers stay what they are.
     scored = scratch.materialize(map_rows(numbered, lambda: _Scorer(*sent.value), schema, "rest"), "lm-scored")
-    rare = scored.select(F.col("row.number").alias("number"), F.explode("rare").alias("r")).select("number", "r.word", "r.spelled").join(model.words, "word", "left")
+    rare = scored.select(F.col("row.number").alias("number"), F.explode(F.arrays_zip("words", "spelled")).alias("r"))
+    rare = rare.select("number", F.col("r.words").alias("word"), "r.spelled").join(model.words, "word", "left")
     plus_one = F.coalesce("n", F.lit(0)) + 1
     share = F.log10(plus_one * F.lit(WORD_SHARE / total))
     spelled = F.col("spelled") + F.lit(float(np.log10(1 - WORD_SHARE)))
