@@ -200,9 +200,10 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """Links ``a, b`` between keys of ``docs`` (``key, text``; a text may occur in many rows) that are similar enough.
 
     Texts of fewer words than a shingle are compared as one sequence, texts without words are
-    all alike.  Sketches that more than ``PAIRED`` texts share are resolved in rounds: the text
-    nearest to the bitwise majority of the group is compared with all others; those similar to
-    it leave the group.
+    all alike.  Texts that share a sketch with up to ``PAIRED`` others are all compared.  Larger
+    groups are resolved in rounds: all are compared with the text nearest to the bitwise majority
+    of the group and with as many others as the round asks for, twice as many each time.  Those
+    that are similar to one of them leave the group with it.
     """
     schema = T.StructType(
         [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketches", T.ArrayType(T.LongType()))]
@@ -213,18 +214,31 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     shared = rows.groupBy("sketch").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).filter("size > 1")
     shared = scratch.materialize(shared, "shared-sketches")
     pairs = shared.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    groups = scratch.materialize(rows.join(shared.filter("size > 2").select("sketch", "size"), "sketch"), "sketch-groups")
-    small = groups.filter(F.col("size") <= PAIRED).select("sketch", "key")
-    within = small.select("sketch", F.col("key").alias("a")).join(small.select("sketch", F.col("key").alias("b")), "sketch").filter("a < b")
-    links = _verified(pairs.unionByName(within.select("a", "b")).distinct(), facts, docs, words, threshold)
-    crowded = groups.filter(F.col("size") > PAIRED).select("sketch", "key")
-    while not crowded.isEmpty():
-        tried = crowded.join(scratch.materialize(_leaders(crowded, facts), "leaders"), "sketch").filter(F.col("key") != F.col("leader"))
-        fresh = _verified(tried.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct(), facts, docs, words, threshold)
-        links = links.unionByName(fresh)
-        done = fresh.select(F.col("a").alias("leader"), F.col("b").alias("key")).unionByName(fresh.select(F.col("b").alias("leader"), F.col("a").alias("key")))
-        crowded = scratch.materialize(tried.join(done, ["leader", "key"], "left_anti").select("sketch", "key"), "crowded")
-    return links
+    members = scratch.materialize(rows.join(shared.filter("size > 2").select("sketch", "size"), "sketch"), "sketch-members")
+    links, others = None, 1
+    while True:
+        small = members.filter(F.col("size") <= PAIRED).select("sketch", "key")
+        within = small.select("sketch", F.col("key").alias("a")).join(small.select("sketch", F.col("key").alias("b")), "sketch").filter("a < b")
+        pairs = pairs.unionByName(within.select("a", "b"))
+        crowded = members.filter(F.col("size") > PAIRED)
+        last = crowded.isEmpty()
+        if not last:
+            held = scratch.materialize(crowded.join(facts.select("key", "fp", "n"), "key"), "crowded")
+            leaders = scratch.materialize(_leaders(held, others), "leaders")
+            close = distance(F.col("fp"), F.col("leader_fp")) <= WIDE_RADIUS
+            led = held.join(leaders, "sketch").filter((F.col("key") != F.col("leader")) & close)
+            pairs = pairs.unionByName(led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")))
+        fresh = _verified(pairs.distinct(), facts, docs, words, threshold)
+        links = fresh if links is None else links.unionByName(fresh)
+        if last:
+            return links
+        both = fresh.select(F.col("a").alias("leader"), F.col("b").alias("key")).unionByName(fresh.select(F.col("b").alias("leader"), F.col("a").alias("key")))
+        done = leaders.select("sketch", F.col("leader").alias("key"))
+        done = scratch.materialize(done.unionByName(led.join(both, ["leader", "key"], "left_semi").select("sketch", "key")).distinct(), "resolved")
+        rest = scratch.materialize(held.select("sketch", "key").join(done, ["sketch", "key"], "left_anti"), "unresolved")
+        sizes = scratch.materialize(rest.groupBy("sketch").agg(F.count("*").alias("size")).filter("size > 1"), "unresolved-sizes")
+        members = rest.join(sizes, "sketch")
+        pairs, others = fresh.limit(0), others * 2
 
 
 def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -246,18 +260,19 @@ def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, t
     return scratch.materialize(same.select("a", "b").distinct(), "similar")
 
 
-def _leaders(crowded: DataFrame, facts: DataFrame) -> DataFrame:
-    """Per sketch the text nearest to the bitwise majority of its group."""
-    held = scratch.materialize(crowded.join(facts.select("key", "fp"), "key"), "held")
+def _leaders(held: DataFrame, others: int) -> DataFrame:
+    """Per sketch the text nearest to the bitwise majority of its group, and about so many others."""
     ones = [F.sum(F.shiftrightunsigned("fp", bit).bitwiseAND(F.lit(1).cast("long"))).alias(f"bit{bit}") for bit in range(BITS)]
-    counted = held.groupBy("sketch").agg(F.count("*").alias("size"), *ones)
+    counted = held.groupBy("sketch").agg(F.count("*").alias("held"), *ones)
     majority = F.lit(0).cast("long")
     for bit in range(BITS):
         word = F.lit(int(np.uint64(1 << bit).astype(np.int64)))
-        majority = majority.bitwiseOR(F.when(2 * F.col(f"bit{bit}") > F.col("size"), word).otherwise(F.lit(0).cast("long")))
+        majority = majority.bitwiseOR(F.when(2 * F.col(f"bit{bit}") > F.col("held"), word).otherwise(F.lit(0).cast("long")))
     center = scratch.materialize(counted.select("sketch", majority.alias("center")), "centers")
-    off = held.join(center, "sketch").select("sketch", F.struct(distance(F.col("fp"), F.col("center")).alias("off"), F.col("key")).alias("at"))
-    return off.groupBy("sketch").agg(F.min("at").alias("at")).select("sketch", F.col("at.key").alias("leader"))
+    off = held.join(center, "sketch").select("sketch", F.struct(distance(F.col("fp"), F.col("center")).alias("off"), "key", "fp").alias("at"))
+    nearest = off.groupBy("sketch").agg(F.min("at").alias("at")).select("sketch", F.col("at.key").alias("leader"), F.col("at.fp").alias("leader_fp"))
+    drawn = held.filter(F.pmod(F.xxhash64("key", "sketch"), F.col("size")) < others - 1)
+    return nearest.unionByName(drawn.select("sketch", F.col("key").alias("leader"), F.col("fp").alias("leader_fp"))).distinct()
 
 
 def without_near_duplicates(
