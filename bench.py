@@ -22,7 +22,6 @@ HEADLINE = (
     "tok_completion_mask",
     "tok_completion_mask_rows",
     "tok_verify",
-    "tok_encode_ranks",
     "tok_pack_bfd",
     "tok_pack_rows",
     "win_latest_valid",

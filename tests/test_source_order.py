@@ -4,7 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from trajmill import constants as C, jobs
+from trajmill import constants as C, jobs, scratch
 from trajmill.functions.text import pretokenize
 from trajmill.operators import audit, curate, pack
 from trajmill.operators.blocks import in_key_context
@@ -94,3 +94,12 @@ def test_evaluated_instances_and_test_texts_leave_the_training_set(spark):
 def test_degenerate_texts(spark):
     rows = spark.createDataFrame([(1, "la la la la"), (2, "a\na\na"), (3, "all fine here"), (4, None), (5, "")], "id int, text string")
     assert {r.id: r.degenerate for r in audit.degenerate_texts(rows, "text").collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_scratch_tables_are_removed_with_their_job(spark, tmp_path):
+    path, n = _files(tmp_path)
+    with scratch.cleaned(spark):
+        rows = jobs.source_rows(spark, path)
+        assert rows.count() == n
+        made = [p for p in scratch._open[-1] if R.path_exists(spark, p)]
+    assert made and not any(R.path_exists(spark, p) for p in made)

@@ -210,6 +210,11 @@ def main(arguments: Sequence[str] | None = None) -> None:
     args = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName(f"trajmill-{args.job}").getOrCreate()
+    with scratch.cleaned(spark):
+        run(spark, args)
+
+
+def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "sample":
         sample(spark, args.source, args.target, args.rows, args.seed)
     elif args.job == "verified":

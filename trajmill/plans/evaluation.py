@@ -581,7 +581,7 @@ def _(spark, sf):
     """SELECT doc_id, round(line_share, 6) AS line_share, round(stutter_share, 6) AS stutter_share,
               greatest(line_share, stutter_share) >= 0.3 AS degenerate
        FROM (SELECT doc_id, 1 - len(list_distinct(l)) / len(l)::DOUBLE AS line_share,
-                    len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) / len(w)::DOUBLE AS stutter_share
+                    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) / len(w)::DOUBLE AS stutter_share
              FROM (SELECT doc_id, string_split(text, chr(10)) AS l, string_split(text, ' ') AS w FROM documents))""",
 )
 def _(spark, sf):
