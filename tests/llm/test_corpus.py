@@ -170,6 +170,9 @@ def test_edit_distance_to_the_nearest_stretch(item, part):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
     distance, end = decontaminate.edit_distance_within(item, part)
     assert distance == min(row) and (end == row.index(min(row)) or distance == len(item))
+    for limit in range(len(item)):
+        early, at = decontaminate.edit_distance_within(item, part, limit)
+        assert (early, at) == (distance, end) if distance <= limit else early > limit
 
 
 def _edit_words(text, share, rng):
