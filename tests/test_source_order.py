@@ -103,3 +103,12 @@ def test_scratch_tables_are_removed_with_their_job(spark, tmp_path):
         assert rows.count() == n
         made = [p for p in scratch._open[-1] if R.path_exists(spark, p)]
     assert made and not any(R.path_exists(spark, p) for p in made)
+
+
+def test_running_attempts_are_in_flight(spark):
+    from trajmill.streaming.streams import attempt_decisions
+
+    states = spark.createDataFrame([(1, 3, None, None), (2, 3, None, None)], "cluster int, coverage long, started_at timestamp, last_at timestamp")
+    active = spark.createDataFrame([(1,)], "cluster int")
+    got = {r.cluster: r.outcome for r in attempt_decisions(states, ["cluster"], F.lit(9), F.lit(0), active).collect()}
+    assert got[1] == "inflight" and got[2] != "inflight"

@@ -84,8 +84,8 @@ def repos_of(graded: DataFrame) -> DataFrame:
     return resolved_rows(graded).select(repo(F.col("instance_id")).alias("repo")).distinct()
 
 
-def pass1(graded: DataFrame, keys: list[str], runs: int, pool: int) -> DataFrame:
-    """``resolved / (runs * pool)``: an absent sample is a failure."""
+def pass1(graded: DataFrame, keys: list[str], runs: int, pool: int | Column) -> DataFrame:
+    """``resolved / (runs * pool)``: an absent sample is a failure.  The pool may be a scalar subquery."""
     return graded.groupBy(*keys).agg(F.count_if("resolved").alias("n_resolved")).withColumn(
         "pass_at_1", F.col("n_resolved") / F.lit(runs * pool)
     )
@@ -101,7 +101,7 @@ def pass_at_k(correct: Column, samples: int, k: int) -> Column:
     return F.when(correct > samples - k, F.lit(1.0)).otherwise(1.0 - miss)
 
 
-def pass_at_k_mean(graded: DataFrame, keys: list[str], samples: int, k: int, pool: int) -> DataFrame:
+def pass_at_k_mean(graded: DataFrame, keys: list[str], samples: int, k: int, pool: int | Column) -> DataFrame:
     """Mean of the estimator over a pool; instances without any sample add 0."""
     correct = graded.groupBy(*keys, "instance_id").agg(F.count_if("resolved").alias("c"))
     return correct.groupBy(*keys).agg((F.sum(pass_at_k(F.col("c"), samples, k)) / F.lit(pool)).alias(f"pass_at_{k}"))

@@ -19,13 +19,19 @@ from trajmill.plans import views as V
 
 
 def write_documents(df: DataFrame, root: str) -> str:
-    """Write each row ``(path, content)`` as one file below ``root``; a repeated task rewrites it."""
+    """Write each row ``(path, content)`` as one file below ``root``; a repeated task rewrites it.
+
+    A path without a scheme means the default file system, for tasks as for Spark's readers.
+    """
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(root)
+    root = target.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "://" in root:
-            store, base = fs.FileSystem.from_uri(root)
+        if root.startswith("file:"):
+            store, base = fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
         else:
-            store, base = fs.LocalFileSystem(), root.removeprefix("file:")
+            store, base = fs.FileSystem.from_uri(root)
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 target = f"{base}/{path}"

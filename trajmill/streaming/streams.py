@@ -107,14 +107,20 @@ def attempt_states(events: DataFrame, keys: list[str], order: str, finished: Col
     )
 
 
-def attempt_decisions(states: DataFrame, keys: list[str], expected: Column, resubmits: Column, **limits: int) -> DataFrame:
-    """The decision after each update, from the state alone."""
+def attempt_decisions(
+    states: DataFrame, keys: list[str], expected: Column, resubmits: Column, active: DataFrame | None = None, **limits: int
+) -> DataFrame:
+    """The decision after each update.  Attempts in ``active`` (the listing of the batch, by key) are in flight."""
+    running = F.lit(False)
+    if active is not None:
+        states = states.join(active.select(*keys).distinct().withColumn("_running", F.lit(True)), keys, "left")
+        running = F.col("_running").isNotNull()
     spent = F.when(F.col("started_at").isNull(), F.lit(0)).otherwise(elapsed_seconds(F.col("started_at"), F.col("last_at")))
     return states.select(
         *keys,
         F.col("coverage").cast("bigint").alias("coverage"),
         spent.cast("bigint").alias("elapsed"),
-        outcome(F.lit(False), F.col("coverage"), expected, spent, resubmits, **limits).alias("outcome"),
+        outcome(running, F.col("coverage"), expected, spent, resubmits, **limits).alias("outcome"),
     )
 
 
