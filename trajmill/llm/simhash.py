@@ -40,6 +40,8 @@ FREE_BLOCKS = 3
 PIVOTS = 24
 #: Groups up to this size are paired up; larger ones take the linear way.
 PAIRED = 32
+#: In a group that stays larger, so many times more texts are compared with all others each round.
+MORE_LEADERS = 4
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -202,7 +204,7 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     Texts of fewer words than a shingle are compared as one sequence, texts without words are
     all alike.  Texts that share a sketch with up to ``PAIRED`` others are all compared.  Larger
     groups are resolved in rounds: all are compared with the text nearest to the bitwise majority
-    of the group and with as many others as the round asks for, twice as many each time.  Those
+    of the group and with as many others as the round asks for, ``MORE_LEADERS`` times as many each time.  Those
     that are similar to one of them leave the group with it.
     """
     schema = T.StructType(
@@ -238,7 +240,7 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
         rest = scratch.materialize(held.select("sketch", "key").join(done, ["sketch", "key"], "left_anti"), "unresolved")
         sizes = scratch.materialize(rest.groupBy("sketch").agg(F.count("*").alias("size")).filter("size > 1"), "unresolved-sizes")
         members = rest.join(sizes, "sketch")
-        pairs, others = fresh.limit(0), others * 2
+        pairs, others = fresh.limit(0), others * MORE_LEADERS
 
 
 def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
