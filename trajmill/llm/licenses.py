@@ -170,6 +170,7 @@ def train(corpus: DataFrame, text: str = "text") -> Classifier:
     spark: SparkSession = corpus.sparkSession
     lines = corpus.select(F.explode(F.split(text, "\n")).alias("line")).filter(~F.col("line").rlike(r"(?i)licen[cs]|rights reserved|copyright|public domain|\bCC[ -]?(BY|0)"))
     sample = lines.select(F.xxhash64("line").alias("h"), F.substring("line", 1, UNKNOWN_CHARS).alias("line")).orderBy("h").limit(UNKNOWN_ROWS)
+    sample = scratch.materialize(sample, "licence-unknown")  # else every task would send its smallest rows to the driver
     unknown = [(UNKNOWN, r.line) for r in sample.collect()]  # bounded by UNKNOWN_ROWS
     families = (UNKNOWN, *TEMPLATES)
     rows = [(float(families.index(family)), features(t)) for family, t in [*_variants(), *unknown]]
