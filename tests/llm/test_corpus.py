@@ -149,6 +149,31 @@ def test_large_group_of_near_copies(spark):
     assert kept == {0, *range(200, 240)}
 
 
+def _planted(size, similarity, rng):
+    """Two sets of so many shingle hashes with that similarity."""
+    shared = math.ceil(2 * size * similarity / (1 + similarity))
+    drawn = np.unique(np.array([rng.getrandbits(64) for _ in range(2 * size - shared)], dtype=np.uint64))
+    drawn = rng.sample(drawn.tolist(), len(drawn))
+    return [np.array(sorted(s), dtype=np.uint64) for s in (drawn[:size], drawn[:shared] + drawn[size:])]
+
+
+@pytest.mark.parametrize("size", [1, 5, 20, 45, 100, 1000, 1500, 5000, 20_000])
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_planted_pairs_share_a_sketch(size, similarity, monkeypatch):
+    rng, sketch = random.Random(size), simhash._Sketcher(5)
+    monkeypatch.setattr(simhash, "shingle_hashes", lambda hashes, _: hashes)
+    found = []
+    for _ in range(40):
+        a, b = _planted(size, similarity, rng)
+        assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))  # brute force
+        found.append(bool(set(next(sketch((0, a)))[-1]) & set(next(sketch((1, b)))[-1])))
+    assert all(found)
+
+
+def test_sizes_apart_by_the_threshold_have_a_number_of_samples_in_common():
+    assert all(set(simhash.samples(n)) & set(simhash.samples(math.ceil(0.8 * n))) for n in range(50, 30_000, 7))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = simhash.without_near_duplicates(odd(spark))
     assert got.columns == odd(spark).columns

@@ -13,7 +13,8 @@ that copies collapse before anything is compared:
 * ``near_duplicates``: documents whose shingle sets have a Jaccard similarity of 0.8 or more.
   Pairs this similar differ in up to a fifth of the fingerprint's bits, which no block leaves
   alone.  Candidates therefore share the sketch of a sample: shingles are dealt by hash into so
-  many samples that a similar pair has equal ones.  Pivots, the fingerprint distance and the
+  many samples that a pair at the threshold has ``EQUAL_SAMPLES`` equal ones on average, at every
+  length; short texts share two of their least hashes.  Pivots, the fingerprint distance and the
   shingle sets themselves then decide.
 """
 
@@ -47,7 +48,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits that two texts this similar differ in at most, but for a share of 1e-4 of them.
 WIDE_RADIUS = 20
-SAMPLES_FACTOR = 2.2
+#: Equal samples that a pair at the threshold has on average; it has none about once in e to this power.
+EQUAL_SAMPLES = 12
+#: Texts of up to so many shingles are found by pairs of their least hashes, which misses none.
+SMALL = 40
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -150,20 +154,40 @@ def fingerprint_components(docs: DataFrame, words: int, doc_id: str = "doc_id",
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def samples(count: int) -> list[int]:
-    """Into how many samples a set of so many shingles is dealt; near a step, both sides of it."""
+def _step(count: float, threshold: float) -> int:
+    """The least power of two of samples of which two sets of about so many shingles share ``EQUAL_SAMPLES`` at the threshold, on average."""
+    apart, either, step = 2 * count * (1 - threshold) / (1 + threshold), 2 * count / (1 + threshold), 1
+    while step * (np.exp(-apart / step) - np.exp(-either / step)) < EQUAL_SAMPLES:  # equal and not empty
+        step *= 2
+    return step
 
-    def step(n: float) -> int:
-        return 1 << max(0, round(np.log2(max(1.0, min(n, SAMPLES_FACTOR * np.sqrt(n))))))
 
-    return sorted({step(count * (1 + SIMILARITY) / 2), step(count * 2 / (1 + SIMILARITY))})
+def samples(count: int, threshold: float = SIMILARITY) -> list[int]:
+    """Into how many samples a set of so many shingles is dealt; near a step, both sides of it.
+
+    Two sets whose sizes differ by the threshold at most have one number in common.
+    """
+    reach = 1.001 / np.sqrt(threshold)
+    return sorted({_step(count / reach, threshold), _step(count * reach, threshold)})
+
+
+def small_keys(distinct: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of which two sets of shingles at the threshold or over it share one, without exception.
+
+    Sets that share ``s`` hashes share two of their ``n - s + 2`` least ones; the keys are the pairs of those.
+    """
+    if len(distinct) < 2:
+        return distinct
+    least = distinct[: len(distinct) - int(np.ceil(threshold * len(distinct) - 1e-9)) + 2]
+    one, other = np.triu_indices(len(least), 1)
+    return least[one] * np.uint64(0x9E3779B97F4A7C15) ^ least[other] * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Sketcher:
-    """Fingerprint, number of shingles and sample sketches of a text."""
+    """Fingerprint, number of shingles and sketches of a text."""
 
-    def __init__(self, words: int) -> None:
-        self.words = words
+    def __init__(self, words: int, threshold: float = SIMILARITY) -> None:
+        self.words, self.threshold = words, threshold
 
     def __call__(self, row: tuple) -> Iterator[tuple]:
         key, text = row
@@ -172,7 +196,9 @@ class _Sketcher:
         keys: list[int] = []
         if not len(distinct):
             keys.append(0)
-        for count in samples(len(distinct)) if len(distinct) else ():
+        elif len(distinct) <= SMALL / self.threshold:
+            keys += small_keys(distinct, self.threshold).view(np.int64).tolist()
+        for count in samples(len(distinct), self.threshold) if len(distinct) >= SMALL else ():
             sample = (distinct >> np.uint64(7)) & np.uint64(count - 1)
             order = np.argsort(sample, kind="stable")
             starts = np.flatnonzero(np.diff(sample[order], prepend=-1.0))
@@ -210,7 +236,7 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     schema = T.StructType(
         [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketches", T.ArrayType(T.LongType()))]
     )
-    sketched = scratch.materialize(map_rows(docs.select("key", "text"), lambda: _Sketcher(words), schema), "sketches")
+    sketched = scratch.materialize(map_rows(docs.select("key", "text"), lambda: _Sketcher(words, threshold), schema), "sketches")
     facts = scratch.materialize(with_pivots(sketched.select("key", "fp", "n").distinct()), "pivot-table")
     rows = sketched.select("key", F.explode("sketches").alias("sketch")).distinct()
     shared = rows.groupBy("sketch").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).filter("size > 1")
