@@ -174,6 +174,16 @@ def test_sizes_apart_by_the_threshold_have_a_number_of_samples_in_common():
     assert all(set(simhash.samples(n)) & set(simhash.samples(math.ceil(0.8 * n))) for n in range(50, 30_000, 7))
 
 
+def test_repeats_do_not_part_near_copies(spark):
+    rng, texts = random.Random(6), {}
+    for i in range(30):
+        body, footer = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (400, 30))
+        texts[i], texts[100 + i] = " ".join(body + footer), " ".join(body + footer * 20)
+        assert _similar(texts[i], texts[100 + i]) >= 0.9
+    kept = {r.doc_id for r in simhash.without_near_duplicates(documents(spark, texts)).collect()}
+    assert kept == set(range(30))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = simhash.without_near_duplicates(odd(spark))
     assert got.columns == odd(spark).columns

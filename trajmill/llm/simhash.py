@@ -14,8 +14,8 @@ that copies collapse before anything is compared:
   Pairs this similar differ in up to a fifth of the fingerprint's bits, which no block leaves
   alone.  Candidates therefore share the sketch of a sample: shingles are dealt by hash into so
   many samples that a pair at the threshold has ``EQUAL_SAMPLES`` equal ones on average, at every
-  length; short texts share two of their least hashes.  Pivots, the fingerprint distance and the
-  shingle sets themselves then decide.
+  length; short texts share two of their least hashes.  Pairs that sizes and counts of shingles by
+  class rule out are discarded, which loses no pair at the threshold, and the shingle sets decide.
 """
 
 from __future__ import annotations
@@ -46,8 +46,8 @@ MORE_LEADERS = 4
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits that two texts this similar differ in at most, but for a share of 1e-4 of them.
-WIDE_RADIUS = 20
+#: Classes of hashes by which the shingles of a text are counted.
+CLASSES = 128
 #: Equal samples that a pair at the threshold has on average; it has none about once in e to this power.
 EQUAL_SAMPLES = 12
 #: Texts of up to so many shingles are found by pairs of their least hashes, which misses none.
@@ -184,15 +184,15 @@ def small_keys(distinct: np.ndarray, threshold: float) -> np.ndarray:
 
 
 class _Sketcher:
-    """Fingerprint, number of shingles and sketches of a text."""
+    """Fingerprint and number of the distinct shingles, how many are in each class, and the sketches of a text."""
 
     def __init__(self, words: int, threshold: float = SIMILARITY) -> None:
         self.words, self.threshold = words, threshold
 
     def __call__(self, row: tuple) -> Iterator[tuple]:
         key, text = row
-        hashes = shingle_hashes(text, self.words)
-        fp, distinct = fingerprint(hashes), np.unique(hashes)
+        distinct = np.unique(shingle_hashes(text, self.words))
+        fp, counts = fingerprint(distinct), np.bincount((distinct >> np.uint64(40)).astype(np.int64) % CLASSES, minlength=CLASSES)
         keys: list[int] = []
         if not len(distinct):
             keys.append(0)
@@ -206,7 +206,7 @@ class _Sketcher:
             sums = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
             sums ^= sample[order][starts] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(count)
             keys += sums.view(np.int64).tolist()
-        yield key, fp, len(distinct), keys
+        yield key, fp, len(distinct), counts.tolist(), keys
 
 
 def _jaccard(words: int):
@@ -234,10 +234,16 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     that are similar to one of them leave the group with it.
     """
     schema = T.StructType(
-        [T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sketches", T.ArrayType(T.LongType()))]
+        [
+            T.StructField("key", T.LongType()),
+            T.StructField("fp", T.LongType()),
+            T.StructField("n", T.IntegerType()),
+            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("sketches", T.ArrayType(T.LongType())),
+        ]
     )
     sketched = scratch.materialize(map_rows(docs.select("key", "text"), lambda: _Sketcher(words, threshold), schema), "sketches")
-    facts = scratch.materialize(with_pivots(sketched.select("key", "fp", "n").distinct()), "pivot-table")
+    facts = scratch.materialize(sketched.select("key", "fp", "n", "counts").dropDuplicates(["key"]), "sizes")
     rows = sketched.select("key", F.explode("sketches").alias("sketch")).distinct()
     shared = rows.groupBy("sketch").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).filter("size > 1")
     shared = scratch.materialize(shared, "shared-sketches")
@@ -253,8 +259,7 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
         if not last:
             held = scratch.materialize(crowded.join(facts.select("key", "fp", "n"), "key"), "crowded")
             leaders = scratch.materialize(_leaders(held, others), "leaders")
-            close = distance(F.col("fp"), F.col("leader_fp")) <= WIDE_RADIUS
-            led = held.join(leaders, "sketch").filter((F.col("key") != F.col("leader")) & close)
+            led = held.join(leaders, "sketch").filter(F.col("key") != F.col("leader"))
             pairs = pairs.unionByName(led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")))
         fresh = _verified(pairs.distinct(), facts, docs, words, threshold)
         links = fresh if links is None else links.unionByName(fresh)
@@ -270,14 +275,19 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs that pass the pivots, the fingerprints' distance and the comparison of shingle sets."""
+    """The pairs that pass the comparison of shingle sets.
+
+    Before it, pairs go whose sizes or counts by class rule the threshold out: sets differ in as
+    many shingles as their counts do, at least.
+    """
 
     def side(name: str) -> DataFrame:
-        return facts.select(F.col("key").alias(name), F.col("fp").alias(f"fp_{name}"), F.col("n").alias(f"n_{name}"), F.col("pivots").alias(f"p_{name}"))
+        return facts.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("counts").alias(f"c_{name}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    both = both.filter(pivots_allow(F.col("p_a"), F.col("p_b"), WIDE_RADIUS)).filter(distance(F.col("fp_a"), F.col("fp_b")) <= WIDE_RADIUS)
+    both = both.filter(F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b"))
+    apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    both = both.filter(apart <= F.lit((1 - threshold) / (1 + threshold) + 1e-9) * (F.col("n_a") + F.col("n_b")))
     near = scratch.materialize(both.select("a", "b"), "near-pairs")
     ends = scratch.materialize(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
     needed = docs.join(broadcast_if_small(ends), "key", "left_semi").groupBy("key", "text").agg(F.count("*").alias("copies"))
