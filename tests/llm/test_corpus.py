@@ -174,6 +174,31 @@ def test_sizes_apart_by_the_threshold_have_a_number_of_samples_in_common():
     assert all(set(simhash.samples(n)) & set(simhash.samples(math.ceil(0.8 * n))) for n in range(50, 30_000, 7))
 
 
+def test_chain_of_versions_is_one_group(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", 3)  # no link is found in a small group alone
+    # All share the end, so that sketches are crowded; each version changes three words of the last.
+    rng, words, texts = random.Random(8), [f"w{i}" for i in range(400)], {}
+    for i in range(250):
+        texts[i] = " ".join(words)
+        for at in rng.sample(range(24), 3):
+            words[at * 5] = f"v{i}-{at}"
+    assert all(_similar(texts[i], texts[i + 1]) >= 0.8 for i in range(249)) and _similar(texts[0], texts[249]) < 0.6
+    sketches = Counter(k for i, t in texts.items() for k in next(simhash._Sketcher(5)((i, t)))[-1])
+    assert max(sketches.values()) > 32
+    kept = {r.doc_id for r in simhash.without_near_duplicates(documents(spark, texts)).collect()}
+    assert kept == {0}
+
+
+def test_texts_stay_with_a_group_while_a_link_may_be_unknown(spark):
+    # 1 leads; 2 to 4 are similar to it. 5 may be similar to 2 and is out of reach of 3; 6 is far from all.
+    met = [(1, 2, 0.8), (1, 3, 0.95), (1, 4, 0.9), (1, 5, 0.65)]
+    held = spark.createDataFrame([(0, k) for k in range(1, 7)], "sketch long, key long")
+    roots = spark.createDataFrame([(k, 1) for k in range(1, 5)], "node long, root long")
+    leaders = spark.createDataFrame([(0, 1)], "sketch long, leader long")
+    rest = simhash._unsettled(held, leaders, spark.createDataFrame(met, "a long, b long, similarity double"), roots, 0.8)
+    assert sorted(r.key for r in rest.collect()) == [2, 5, 6]
+
+
 def test_repeats_do_not_part_near_copies(spark):
     rng, texts = random.Random(6), {}
     for i in range(30):

@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from trajmill import scratch
 from trajmill.llm.arrow import map_rows
@@ -230,8 +230,11 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     Texts of fewer words than a shingle are compared as one sequence, texts without words are
     all alike.  Texts that share a sketch with up to ``PAIRED`` others are all compared.  Larger
     groups are resolved in rounds: all are compared with the text nearest to the bitwise majority
-    of the group and with as many others as the round asks for, ``MORE_LEADERS`` times as many each time.  Those
-    that are similar to one of them leave the group with it.
+    of the group and with as many others as the round asks for, ``MORE_LEADERS`` times as many
+    each time.  A text leaves a group when it was a leader, or when a leader shows that all texts
+    which are not yet connected to it are out of its reach: one less the similarity is a metric.
+    A group ends when all that are left in it are connected.  So the links connect what the
+    links of all pairs connect.
     """
     schema = T.StructType(
         [
@@ -249,33 +252,68 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     shared = scratch.materialize(shared, "shared-sketches")
     pairs = shared.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     members = scratch.materialize(rows.join(shared.filter("size > 2").select("sketch", "size"), "sketch"), "sketch-members")
-    links, others = None, 1
-    while True:
-        small = members.filter(F.col("size") <= PAIRED).select("sketch", "key")
-        within = small.select("sketch", F.col("key").alias("a")).join(small.select("sketch", F.col("key").alias("b")), "sketch").filter("a < b")
-        pairs = pairs.unionByName(within.select("a", "b"))
-        crowded = members.filter(F.col("size") > PAIRED)
-        last = crowded.isEmpty()
-        if not last:
-            held = scratch.materialize(crowded.join(facts.select("key", "fp", "n"), "key"), "crowded")
-            leaders = scratch.materialize(_leaders(held, others), "leaders")
-            led = held.join(leaders, "sketch").filter(F.col("key") != F.col("leader"))
-            pairs = pairs.unionByName(led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")))
-        fresh = _verified(pairs.distinct(), facts, docs, words, threshold)
-        links = fresh if links is None else links.unionByName(fresh)
-        if last:
-            return links
-        both = fresh.select(F.col("a").alias("leader"), F.col("b").alias("key")).unionByName(fresh.select(F.col("b").alias("leader"), F.col("a").alias("key")))
-        done = leaders.select("sketch", F.col("leader").alias("key"))
-        done = scratch.materialize(done.unionByName(led.join(both, ["leader", "key"], "left_semi").select("sketch", "key")).distinct(), "resolved")
-        rest = scratch.materialize(held.select("sketch", "key").join(done, ["sketch", "key"], "left_anti"), "unresolved")
-        sizes = scratch.materialize(rest.groupBy("sketch").agg(F.count("*").alias("size")).filter("size > 1"), "unresolved-sizes")
-        members = rest.join(sizes, "sketch")
-        pairs, others = fresh.limit(0), others * MORE_LEADERS
+    links = _verified(pairs.unionByName(_within(members)).distinct(), facts, docs, words, threshold).filter(F.col("similarity") >= threshold).select("a", "b")
+    crowded, others = members.filter(F.col("size") > PAIRED).select("sketch", "key"), 1
+    roots = None
+    while not crowded.isEmpty():
+        held = crowded.join(facts.select("key", "fp"), "key")
+        held = scratch.materialize(_rooted(held, roots), "crowded")
+        leaders = scratch.materialize(_leaders(held, others), "leaders")
+        led = held.select("sketch", "key").join(leaders.select("sketch", "leader"), "sketch").filter(F.col("key") != F.col("leader"))
+        asked = led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+        # Two texts similar to each other, of which one is similar to a leader, have at least this similarity to it.
+        met = _verified(asked, facts, docs, words, 2 * threshold - 1)
+        links = scratch.materialize(links.unionByName(met.filter(F.col("similarity") >= threshold).select("a", "b")), "links-so-far")
+        roots = scratch.materialize(components(links), "roots-so-far")
+        rest = _unsettled(held.select("sketch", "key"), leaders.select("sketch", "leader"), met, roots, threshold)
+        rest = scratch.materialize(_rooted(rest, roots), "unsettled")
+        sizes = rest.groupBy("sketch").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+        sizes = scratch.materialize(sizes.filter("low < high").select("sketch", "size"), "unsettled-sizes")
+        rest = scratch.materialize(rest.join(sizes, "sketch"), "unsettled-members")
+        fresh = _verified(_within(rest).distinct(), facts, docs, words, threshold)
+        links = links.unionByName(fresh.filter(F.col("similarity") >= threshold).select("a", "b"))
+        crowded, others = rest.filter(F.col("size") > PAIRED).select("sketch", "key"), others * MORE_LEADERS
+    return links
+
+
+def _within(members: DataFrame) -> DataFrame:
+    """All pairs of the groups of up to ``PAIRED``; where roots are known, only those that are not connected."""
+    small = members.filter(F.col("size") <= PAIRED)
+    known = "root" in members.columns
+    root = F.col("root") if known else F.col("key")
+    left = small.select("sketch", F.col("key").alias("a"), root.alias("root_a"))
+    right = small.select("sketch", F.col("key").alias("b"), root.alias("root_b"))
+    return left.join(right, "sketch").filter("a < b AND root_a <> root_b").select("a", "b")
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Adds the root of each key, which is the key itself where it has no link."""
+    if roots is None:
+        return nodes.withColumn("root", F.col("key"))
+    return nodes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _unsettled(held: DataFrame, leaders: DataFrame, met: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """The texts of the groups of which a link to a text that is not connected to them may be unknown.
+
+    If no unconnected text of the group is as similar to the leader as ``f``, a text with similarity
+    ``s`` to this leader has no link to any of them when ``s - f > 1 - threshold``.  Pairs that are
+    not in ``met`` have less than ``2 * threshold - 1``.
+    """
+    ways = met.select(F.col("a").alias("leader"), F.col("b").alias("key"), "similarity")
+    ways = ways.unionByName(met.select(F.col("b").alias("leader"), F.col("a").alias("key"), "similarity"))
+    near = held.join(leaders, "sketch").join(ways, ["leader", "key"])
+    near = _rooted(near, roots).join(roots.select(F.col("node").alias("leader"), F.col("root").alias("of_leader")), "leader", "left")
+    near = scratch.materialize(near.withColumn("own", F.col("root") == F.coalesce("of_leader", "leader")), "near-leaders")
+    foreign = near.filter("NOT own").groupBy("sketch", "leader").agg(F.max("similarity").alias("foreign"))
+    own = near.filter("own").join(scratch.materialize(foreign, "foreign"), ["sketch", "leader"], "left")
+    clear = F.when(F.col("foreign").isNull(), F.col("similarity") >= threshold).otherwise(F.col("similarity") - F.col("foreign") > F.lit(1 - threshold + 1e-9))
+    settled = own.filter(clear).select("sketch", "key").unionByName(leaders.select("sketch", F.col("leader").alias("key"))).distinct()
+    return held.join(scratch.materialize(settled, "settled"), ["sketch", "key"], "left_anti")
 
 
 def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs that pass the comparison of shingle sets.
+    """``a, b, similarity`` of the pairs that pass the comparison of shingle sets.
 
     Before it, pairs go whose sizes or counts by class rule the threshold out: sets differ in as
     many shingles as their counts do, at least.
@@ -295,11 +333,11 @@ def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, t
     wide = near.join(needed.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     wide = wide.join(needed.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     same = wide.select("a", "b", _jaccard(words)("text_a", "text_b").alias("similarity")).filter(F.col("similarity") >= threshold)
-    return scratch.materialize(same.select("a", "b").distinct(), "similar")
+    return scratch.materialize(same.distinct(), "similar")
 
 
 def _leaders(held: DataFrame, others: int) -> DataFrame:
-    """Per sketch the text nearest to the bitwise majority of its group, and about so many others."""
+    """Per sketch the text nearest to the bitwise majority of its group, and so many others, those of the smallest components first."""
     ones = [F.sum(F.shiftrightunsigned("fp", bit).bitwiseAND(F.lit(1).cast("long"))).alias(f"bit{bit}") for bit in range(BITS)]
     counted = held.groupBy("sketch").agg(F.count("*").alias("held"), *ones)
     majority = F.lit(0).cast("long")
@@ -307,10 +345,12 @@ def _leaders(held: DataFrame, others: int) -> DataFrame:
         word = F.lit(int(np.uint64(1 << bit).astype(np.int64)))
         majority = majority.bitwiseOR(F.when(2 * F.col(f"bit{bit}") > F.col("held"), word).otherwise(F.lit(0).cast("long")))
     center = scratch.materialize(counted.select("sketch", majority.alias("center")), "centers")
-    off = held.join(center, "sketch").select("sketch", F.struct(distance(F.col("fp"), F.col("center")).alias("off"), "key", "fp").alias("at"))
-    nearest = off.groupBy("sketch").agg(F.min("at").alias("at")).select("sketch", F.col("at.key").alias("leader"), F.col("at.fp").alias("leader_fp"))
-    drawn = held.filter(F.pmod(F.xxhash64("key", "sketch"), F.col("size")) < others - 1)
-    return nearest.unionByName(drawn.select("sketch", F.col("key").alias("leader"), F.col("fp").alias("leader_fp"))).distinct()
+    off = held.join(center, "sketch").select("sketch", F.struct(distance(F.col("fp"), F.col("center")).alias("off"), "key").alias("at"))
+    nearest = off.groupBy("sketch").agg(F.min("at").alias("at")).select("sketch", F.col("at.key").alias("leader"))
+    alike = held.groupBy("sketch", "root").agg(F.count("*").alias("alike"))
+    order = Window.partitionBy("sketch").orderBy("alike", F.xxhash64("key", "sketch"), "key")
+    drawn = held.join(alike, ["sketch", "root"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") < F.lit(others))
+    return nearest.select("sketch", "leader").unionByName(drawn.select("sketch", F.col("key").alias("leader"))).distinct()
 
 
 def without_near_duplicates(
