@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trajmill.llm import decontaminate, exact, licenses, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity
+from trajmill.llm import decontaminate, exact, licenses, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -118,5 +118,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op9_decontamination, op10_sharding)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op9_decontamination, op10_sharding, op13_whitening)}
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
