@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trajmill.llm import decontaminate, exact, licenses, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity, whitening
+from trajmill.llm import bestfit, decontaminate, divergence, exact, licenses, linededup, packing, secrets, sharding, simhash, suffix_lm, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
 
 
-def tokenizer_path() -> str:
-    """The public byte-level vocabulary; it is installed with Python on every executor."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary; it is installed with Python on every executor."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +118,53 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = {"ids_crc32": F.crc32("ids")}
+    pieces = bestfit.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), payload=digest)
+    return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(documents(spark, sf_dir))
+
+
+OP12_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), word AS (
+  SELECT d, lang, source, unnest(terms) AS term FROM doc
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM word GROUP BY lang, term HAVING count(DISTINCT d) >= {divergence.LEAST_DOCUMENTS}
+), grp AS (
+  SELECT DISTINCT lang, source FROM doc
+), used AS (
+  SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), dense AS (
+  SELECT lang, source, term, coalesce(used.n, 0) AS n, kept.n AS lang_n FROM grp JOIN kept USING (lang) LEFT JOIN used USING (lang, source, term)
+), priced AS (
+  SELECT lang, source, term, n,
+         CAST(1 + ({divergence.UNIT} * (n + 1)) // (sum(n) OVER g + count(*) OVER g) AS BIGINT) AS p,
+         CAST(1 + ({divergence.UNIT} * (lang_n + 1)) // (sum(lang_n) OVER g + count(*) OVER g) AS BIGINT) AS q
+  FROM dense WINDOW g AS (PARTITION BY lang, source)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), item AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM priced WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM item
+QUALIFY part = 'pair' OR rank <= {divergence.RANKS}
+"""
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op9_decontamination, op10_sharding, op13_whitening)}
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_packing, op2_licenses, op3_secrets, op4_line_dedup, op5_toxicity, op6_suffix_lm, op7_exact_dedup, op8_simhash, op9_decontamination, op10_sharding, op11_best_fit_packing, op12_source_divergence, op13_whitening)}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op12_source_divergence": OP12_SQL}
