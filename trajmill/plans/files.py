@@ -146,13 +146,12 @@ def _(spark, sf):
     return rows.select("instance_id", "model_patch", F.regexp_extract("path", r"job_(\d+)/", 1).cast("bigint").alias("file"))
 
 
-@query(
-    "sink_merged_preds",
-    f"""SELECT CAST(instance_id AS VARCHAR) AS instance_id, model_patch FROM {_NEWEST}
+MERGED_PREDS_SQL = f"""SELECT CAST(instance_id AS VARCHAR) AS instance_id, model_patch FROM {_NEWEST}
         WHERE file % 7 <> 0 AND starts_with(model_patch, 'diff --git')
-        QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY file DESC) = 1""",
-    "preds",
-)
+        QUALIFY row_number() OVER (PARTITION BY instance_id ORDER BY file DESC) = 1"""
+
+
+@query("sink_merged_preds", MERGED_PREDS_SQL, "preds")
 def _(spark, sf):
     """The merge over files; file numbers stand in for file times, which a fast writer may repeat."""
     rows = R.read_predictions(spark, f"{S.prediction_files(spark, sf)}/*/preds.json")

@@ -7,11 +7,11 @@ holds one conversation or a fixed block of instances, never everything of a key.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trajmill import scratch
 from trajmill.functions.numbers import whole_div
@@ -48,7 +48,7 @@ def instance_name(user):
     return F.concat(F.lit("repo"), (user % 7).cast("string"), F.lit("__"), user.cast("string"))
 
 
-def trajectory_files(spark: SparkSession, sf: str) -> str:
+def trajectory_files(spark: SparkSession, sf: str, damage: Callable[[Column], Column] = lambda content: content) -> str:
     """One document per turn of a conversation; odd ones name no instance."""
     turns = V.conversations(spark, sf)
     message = F.array(F.struct("role", F.col("text").alias("content")))
@@ -57,7 +57,7 @@ def trajectory_files(spark: SparkSession, sf: str) -> str:
     return write_documents(
         turns.select(
             F.format_string("job_%d/%d/%d-%d.traj.json", F.col("conv_id") % 4, "conv_id", "conv_id", "turn").alias("path"),
-            F.to_json(F.struct(named.alias("instance_id"), info.alias("info"), message.alias("messages"))).alias("content"),
+            damage(F.to_json(F.struct(named.alias("instance_id"), info.alias("info"), message.alias("messages")))).alias("content"),
         ),
         scratch.new_path(spark, "trajectory-files"),
     )

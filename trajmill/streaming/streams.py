@@ -1,9 +1,8 @@
 """Continuous forms of the ingest, coverage, cycle, attempt and prediction queries.
 
 Aggregations are built-in streaming aggregates with partial aggregation before the state
-store; decisions are stateless expressions over their result.  Results go to versioned
-tables in the shared folder: a batch rewrites its own version, so a repeated batch does
-not count twice.
+store; decisions are stateless expressions over their result.  Results go to keyed tables in
+the shared folder, which take a batch once and keep their files few.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from trajmill import constants as C, scratch
 from trajmill.functions.numbers import elapsed_seconds
 from trajmill.operators.attempts import outcome
 from trajmill.operators.predictions import latest_valid
+from trajmill.streaming.keyed_table import KeyedTable, upsert_stream
 
 
 def read_files(
@@ -24,15 +24,16 @@ def read_files(
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def append_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def append_to_table(stream: DataFrame, name: str, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Process what is there and return the appended table (exactly-once file sink).
 
     With a ``path`` a later call goes on where the last one stopped.
     """
     spark = stream.sparkSession
     path = path or scratch.new_path(spark, name)
+    writer = stream.writeStream.partitionBy(*partition_by) if partition_by else stream.writeStream
     query = (
-        stream.writeStream.queryName(name)
+        writer.queryName(name)
         .format("parquet")
         .option("checkpointLocation", f"{path}-checkpoint")
         .outputMode("append")
@@ -49,29 +50,8 @@ def upsert_to_table(stream: DataFrame, keys: list[str], name: str, path: str | N
     With a ``path`` a later call goes on where the last one stopped.
     """
     spark = stream.sparkSession
-    path = path or scratch.new_path(spark, name)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    query = (
-        stream.writeStream.queryName(name)
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{path}-checkpoint")
-        .outputMode("update")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return newest_rows(spark, path, stream.schema, keys)
-
-
-def newest_rows(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
-    """The newest version of each key of a table of updates."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.LongType())])).parquet(path)
-    rest = [c for c in schema.names if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_row"))
-    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    table = KeyedTable(spark, path or scratch.new_path(spark, name), stream.schema, keys)
+    return upsert_stream(stream, table, name)
 
 
 def distinct_coverage(trajectories: DataFrame) -> DataFrame:
