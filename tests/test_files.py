@@ -131,6 +131,41 @@ def test_saved_splits_and_resume(spark, tmp_path):
     assert W.pending(df, out, ["shard"]).count() == 0
 
 
+def shards(spark, out):
+    return {(r.shard, r.v): r["count"] for r in spark.read.parquet(out).groupBy("shard", "v").count().collect()}
+
+
+def test_half_written_shard_is_written_again(spark, tmp_path):
+    df = spark.range(30).withColumn("shard", (F.col("id") % 3).cast("int"))
+    out = str(tmp_path / "out")
+    W.write_pending(df.where("shard = 0").withColumn("v", F.lit(1)), out, ["shard"])
+    # A job that died: files of shard 1 are there, but no commit.
+    df.where("shard = 1 and id < 9").withColumn("v", F.lit(1)).write.mode("append").partitionBy("shard").parquet(out)
+    assert shards(spark, out) == {(0, 1): 10, (1, 1): 3}
+    W.write_pending(df.withColumn("v", F.lit(2)), out, ["shard"])
+    assert shards(spark, out) == {(0, 1): 10, (1, 2): 10, (2, 2): 10}
+    done = {r.shard: r.n_rows for r in W.commits(spark, out, ["shard"]).collect()}
+    assert done == {0: 10, 1: 10, 2: 10}
+    W.write_pending(df.withColumn("v", F.lit(3)), out, ["shard"])
+    assert shards(spark, out) == {(0, 1): 10, (1, 2): 10, (2, 2): 10}
+
+
+def test_shard_that_changed_after_its_commit(spark, tmp_path):
+    df = spark.range(20).select("id", (F.col("id") % 2).cast("int").alias("shard"), F.create_map(F.lit("a"), "id").alias("m"), F.lit(None).cast("string").alias("s"))
+    out = str(tmp_path / "out")
+    W.write_pending(df.withColumn("v", F.lit(1)), out, ["shard"])
+    assert W.damaged_shards(spark, out, ["shard"]).collect() == []
+    name = next(f for f in os.listdir(f"{out}/shard=1") if f.endswith(".parquet"))
+    os.remove(f"{out}/shard=1/{name}")
+    df.where("shard = 1").withColumn("v", F.lit(7)).drop("shard").coalesce(1).write.mode("append").parquet(f"{out}/shard=1")
+    assert [r.shard for r in W.damaged_shards(spark, out, ["shard"]).collect()] == [1]
+    W.write_pending(df.withColumn("v", F.lit(2)), out, ["shard"])  # trusts the commits
+    assert shards(spark, out).get((1, 7))
+    W.write_pending(df.withColumn("v", F.lit(2)), out, ["shard"], verify=True)
+    assert shards(spark, out) == {(0, 1): 10, (1, 2): 10}
+    assert W.damaged_shards(spark, out, ["shard"]).collect() == []
+
+
 @pytest.mark.parametrize("name", ["PRETOKEN_PATTERN", "LOG_LINE_PATTERN", "SLICE_PATTERN"])
 def test_patterns_compile_in_the_jvm(spark, name):
     spark.range(1).select(F.lit("x").rlike(getattr(C, name))).collect()

@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trajmill.functions.numbers import to_bf16
 from trajmill.operators import attempts, audit, embeddings, grades
 
 # Unions of a sweep of five configurations, and one graded run of 446 instances.
@@ -142,3 +144,44 @@ def test_reports_on_trajectories(spark):
 def test_centroid(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 6.0],)], "v array<float>")
     assert embeddings.centroid_row(df, "v").first().centroid == [2.0, 4.0]
+
+
+def test_mean_of_vectors_with_nulls(spark):
+    df = spark.createDataFrame([([1.0, None],), (None,), ([2.0, 5.0],), ([6.0, None],)], "v array<float>")
+    assert embeddings.centroid_row(df, "v").first().centroid == [3.0, 5.0]
+    assert [(r.pos, r["mean"]) for r in embeddings.centroid(df, "v").collect()] == [(0, 3.0), (1, 5.0)]
+    assert embeddings.centroid(df.where("v is null"), "v").collect() == []
+    assert embeddings.centroid_row(spark.createDataFrame([([None, 1.0],)], "v array<float>"), "v").first().centroid == [None, 1.0]
+
+
+def test_mean_shuffles_one_row_per_task(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("transform(sequence(1, 300), x -> cast(x * id as float)) v")
+    found = embeddings.mean_vector(df, "v")
+    assert found.first()["mean"] == pytest.approx([499.5 * k for k in range(1, 301)])
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    text = plan.toString()
+    assert "Generate" not in text and "ObjectHashAggregate" in text or "SortAggregate" in text
+
+
+def bf16_of(x):
+    """The same on the bits."""
+    bits = int(np.float32(x).view(np.uint32))
+    if np.isnan(x) or np.isinf(np.float32(x)):
+        return float(np.float32(x))
+    rounded = (bits + 0x7FFF + ((bits >> 16) & 1)) & 0xFFFF0000
+    return float(np.uint32(rounded).view(np.float32))
+
+
+def test_bf16(spark):
+    rng = np.random.default_rng(0)
+    values = [0.0, -0.0, 1.0, -1.0, 1.00390625, 1.01171875, 255.0, 256.0, 257.0, 2.0**-126, 2.0**-133, 3 * 2.0**-134, 1e-45, 3.3895e38, 3.4e38, float("inf"), float("-inf"), float("nan")]
+    values += [float(2.0**k) for k in range(-149, 128, 3)] + [float(np.nextafter(np.float32(2.0**k), np.float32(0))) for k in range(-120, 127, 7)]
+    with np.errstate(all="ignore"):
+        values += [float(np.uint32(b).view(np.float32)) for b in rng.integers(0, 2**32, 3000)]
+        values += [float(np.uint32((int(b) & 0xFFFF0000) | 0x8000).view(np.float32)) for b in rng.integers(0, 2**32, 500)]  # ties
+        want = [bf16_of(v) for v in values]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", to_bf16(F.col("v")).alias("b"))
+    got = [r.b for r in df.orderBy("i").collect()]
+    for v, a, b in zip(values, got, want, strict=True):
+        assert a == b or (np.isnan(a) and np.isnan(b)), (v, a, b)

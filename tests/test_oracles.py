@@ -11,8 +11,8 @@ from trajmill.plans.catalog import ORACLES, QUERIES
 
 # Queries that hand token arrays, texts or lengths to Python in Arrow batches; all others stay in the JVM.
 IN_PYTHON = {
-    "agg_target_counts", "arr_labels", "arr_split_by_mask", "arr_truncate", "tok_completion_mask_rows", "tok_decode", "tok_encode",
-    "tok_encode_ranks", "tok_pack_bfd", "tok_pack_rows", "tok_verify", "udf_batch_map", "udf_row_map", "win_boundary_check", "win_mask_runs",
+    "agg_target_counts", "arr_labels", "audit_periodic_text", "arr_split_by_mask", "arr_truncate", "tok_completion_mask_rows", "tok_decode", "tok_encode",
+    "tok_encode_ranks", "tok_pack_bfd", "tok_pack_rows", "tok_verify", "tok_verify_damaged", "udf_batch_map", "udf_row_map", "win_boundary_check", "win_mask_runs",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 

@@ -40,6 +40,29 @@ def test_sample_does_not_move_the_rows(spark, sf):
     assert "Exchange" not in plan and "Sort" not in plan
 
 
+def test_sample_scans_twice_at_any_size(spark, tmp_path):
+    """Lines are parsed once for the counts and once for the rows, however deep the cut lies."""
+    ids = [7] * 3000 + list(range(100, 400))  # one bucket holds most rows
+    path = str(tmp_path / "in.jsonl")
+    spark.createDataFrame([(i, f"text {i}") for i in ids], "id bigint, text string").write.json(path)
+    parsed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.read.schema("id bigint, text string").json(path).mapInArrow(count, "id bigint, text string")
+    for n in (1, 250, 400, 5000):
+        parsed.value = 0
+        got = [r.id for r in ordering.sample_rows(rows, n, 3, "id").collect()]
+        assert parsed.value <= 2 * len(ids)
+        want = sorted(ids, key=lambda i: seeded([i], 3) and (hashlib.md5(f"3:{i}".encode()).hexdigest(), i))
+        edge = want[min(n, len(ids)) - 1]
+        cut = [i for i in want if (hashlib.md5(f"3:{i}".encode()).hexdigest(), i) <= (hashlib.md5(f"3:{edge}".encode()).hexdigest(), edge)]
+        assert sorted(got) == sorted(cut)
+
+
 def test_positions(spark):
     ids = random.Random(1).sample(range(10**6), 500)
     df = spark.createDataFrame([(i,) for i in ids], "id bigint")

@@ -38,17 +38,23 @@ def test_packs(spark):
     bins = {}
     for r in plan.collect():
         assert r.batch == (r.id - 100) // 50
-        bins.setdefault((r.batch, r.bin), []).append((r.slot, r.id))
-    assert sum(map(len, bins.values())) == len(rows)
+        bins.setdefault((r.batch, r.bin), []).append((r.slot, r.id, r.piece))
+    # Rows of 80 tokens are two pieces of a pack of 64; no token is lost.
+    assert sum(map(len, bins.values())) == len(rows) + sum(len(r[2]) > 64 for r in rows) > len(rows)
     packs = pack.build_packs(df, plan, "id", 64).collect()
     assert len(packs) == len(bins)
     for p in packs:
         members = sorted(bins[(p.pack_id >> 20, p.pack_id & ((1 << 20) - 1))])
-        want = [rows[i - 100][2][:64] for _, i in members]
+        want = [rows[i - 100][2][64 * piece : 64 * piece + 64] for _, i, piece in members]
         assert p.seq_lengths == [len(w) for w in want] and p.input_ids == sum(want, [])
         assert len(p.input_ids) <= 64 and len(p.completion_mask) == len(p.input_ids)
 
 
+@pytest.mark.parametrize("n, want", [(0, [0]), (1, [0]), (64, [0]), (65, [0, 1]), (640, list(range(10)))])
+def test_pieces(spark, n, want):
+    assert spark.range(1).select(pack.pieces(F.lit(n), 64).alias("p")).first().p == want
+
+
 def test_offsets_and_positions(spark):
     df = spark.createDataFrame([([3, 1, 2],), ([5],), ([2, 0, 1],), ([],)], "s array<int>")
     got = df.select(A.cu_seqlens(F.col("s")).alias("c"), A.position_ids(F.col("s")).alias("p")).collect()

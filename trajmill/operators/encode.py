@@ -45,6 +45,9 @@ class ByteEncoder:
         ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends)]
 
+    def decode_bytes(self, ids: list[pa.Array]) -> list[bytes]:
+        return [part.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() for part in ids]
+
 
 class RankEncoder:
     """Byte-pair encoding from a rank table.  Special tokens in the text keep their ids."""
@@ -86,6 +89,9 @@ class RankTask:
         ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
         return [self.library.decode(flat[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)]
 
+    def decode_bytes(self, ids: list[pa.Array]) -> list[bytes]:
+        return [self.library.decode_bytes(part.to_pylist()) for part in ids]
+
 
 Encoder = ByteEncoder | RankEncoder
 

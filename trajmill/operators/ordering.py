@@ -103,11 +103,21 @@ def find_cut(
 def sample_rows(df: DataFrame, n: int, seed: int, id_col: str, order_col: str = "shuffle_key") -> DataFrame:
     """Uniform sample of exactly ``min(n, rows)`` rows; ``order_col`` gives their shuffled order.
 
-    The rows themselves are only filtered: no sort and no shuffle of the payload.
+    The input is scanned twice, at any size.  The first scan counts the rows per bucket of the
+    seeded order, which brackets the last row of the sample by one bucket.  The second writes
+    the rows up to that bucket; what is too many is found among those.  No sort and no
+    shuffle of the payload.
     """
     keyed = df.withColumn(order_col, seed_hash(seed, id_col))
-    cut = find_cut(keyed.select(order_col, id_col), F.lit(1), n, order_col, id_col)
-    return keyed.where(cut.covers(order_col, id_col))
+    counts = bucket_offsets(keyed.select(order_col), F.lit(1), order_col)
+    edge = counts.where(F.col("before") < n).agg(F.max("bucket").alias("bucket"), F.max(F.col("before") + F.col("total")).alias("rows")).first()
+    if edge["bucket"] is None:
+        return keyed.where(F.lit(False))
+    rows = scratch.materialize(keyed.where(_bucket(F.col(order_col), BUCKET_DIGITS) <= edge["bucket"]), "sample")
+    if edge["rows"] <= n:
+        return rows
+    cut = find_cut(rows.select(order_col, id_col), F.lit(1), n, order_col, id_col)
+    return rows.where(cut.covers(order_col, id_col))
 
 
 def seeded_position(df: DataFrame, seed: int, id_col: str, position: str, digits: int = BUCKET_DIGITS) -> DataFrame:

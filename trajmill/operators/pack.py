@@ -35,11 +35,16 @@ def best_fit(lengths: list[int], capacity: int) -> list[int]:
     return bins
 
 
+def pieces(n: Column, capacity: int) -> Column:
+    """Numbers of the pieces of at most ``capacity`` tokens that ``n`` tokens are cut into; a row without tokens is one piece."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(n / capacity).cast("int"), F.lit(1)) - 1)
+
+
 def plan_packs(df: DataFrame, id_col: str, length: str, position: str, capacity: int, batch_rows: int = C.PACK_BATCH_ROWS) -> DataFrame:
-    """``id, batch, bin, slot`` for each row.  ``position`` is its dense place in the input.
+    """``id, piece, batch, bin, slot`` for each row, or each piece of a row of more than ``capacity`` tokens.
 
-    Bins never mix batches.  A group holds a fixed number of batches, so its size does not
-    depend on the data.
+    ``position`` is the row's dense place in the input.  Bins never mix batches.  A group holds
+    a fixed number of batches, so its size does not depend on the number of rows.
     """
     if batch_rows > MAX_BATCH_ROWS:
         raise ValueError(f"a batch has at most {MAX_BATCH_ROWS} rows, which keeps pack ids apart")
@@ -49,18 +54,20 @@ def plan_packs(df: DataFrame, id_col: str, length: str, position: str, capacity:
         F.col(length).cast("bigint").alias("length"),
         F.col(position).cast("bigint").alias("position"),
         whole_div(F.col(position).cast("bigint"), per_group).alias("group"),
+        F.explode(pieces(F.col(length), capacity)).alias("piece"),
     )
+    rows = rows.withColumn("length", F.least(F.col("length") - F.col("piece").cast("bigint") * capacity, F.lit(capacity)).cast("bigint"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for batch, part in pdf.sort_values("position").groupby(pdf["position"] // batch_rows):
+        for batch, part in pdf.sort_values(["position", "piece"]).groupby(pdf["position"] // batch_rows):
             part = part.assign(batch=batch, bin=best_fit(part["length"].tolist(), capacity))
             # Inside a bin, rows keep the order in which they were placed.
-            part = part.sort_values(["bin", "length", "position"], ascending=[True, False, True])
+            part = part.sort_values(["bin", "length", "position", "piece"], ascending=[True, False, True, True])
             out.append(part.assign(slot=part.groupby("bin").cumcount()))
-        return pd.concat(out)[["id", "length", "batch", "bin", "slot"]]
+        return pd.concat(out)[["id", "piece", "length", "batch", "bin", "slot"]]
 
-    return rows.groupBy("group").applyInPandas(run, "id bigint, length bigint, batch bigint, bin bigint, slot bigint")
+    return rows.groupBy("group").applyInPandas(run, "id bigint, piece int, length bigint, batch bigint, bin bigint, slot bigint")
 
 
 def with_pack_id(plan: DataFrame) -> DataFrame:
@@ -71,27 +78,21 @@ def with_pack_id(plan: DataFrame) -> DataFrame:
 def build_packs(tokens: DataFrame, plan: DataFrame, id_col: str, capacity: int) -> DataFrame:
     """Packed rows: member arrays concatenated by slot, ``seq_lengths`` with one entry each.
 
-    A pack holds at most ``capacity`` tokens, which bounds what one group gathers.  Rows are
-    expected to be cut before; of longer ones the rest is left out and counted in ``n_cut``.
-    The plan is written once; if it is small it is broadcast and tokens move by pack only.
+    A pack holds at most ``capacity`` tokens, which bounds what one group gathers.  Longer rows are
+    cut into pieces as in the plan, so every token is packed once.  The plan is written once; if
+    it is small it is broadcast and tokens move by pack only.
     """
-    numbered = scratch.materialize(with_pack_id(plan).select("id", "pack_id", "slot"), "pack-plan")
-    cut = tokens.select(
-        F.col(id_col).cast("bigint").alias("id"),
-        F.slice("input_ids", 1, capacity).alias("input_ids"),
-        F.slice("completion_mask", 1, capacity).alias("completion_mask"),
-        F.greatest(F.size("input_ids") - capacity, F.lit(0)).alias("n_cut"),
-    )
+    numbered = scratch.materialize(with_pack_id(plan).select("id", "piece", "pack_id", "slot"), "pack-plan")
+    rows = tokens.select(F.col(id_col).cast("bigint").alias("id"), F.explode(pieces(F.size("input_ids"), capacity)).alias("piece"), "input_ids", "completion_mask")
+    first = F.col("piece") * capacity + 1
+    cut = rows.select("id", "piece", *[F.slice(c, first, capacity).alias(c) for c in ("input_ids", "completion_mask")])
     member = F.struct("slot", "input_ids", "completion_mask")
-    packs = cut.join(broadcast_if_small(numbered), "id").groupBy("pack_id").agg(
-        F.sort_array(F.collect_list(member)).alias("m"), F.sum("n_cut").alias("n_cut")
-    )
+    packs = cut.join(broadcast_if_small(numbered), ["id", "piece"]).groupBy("pack_id").agg(F.sort_array(F.collect_list(member)).alias("m"))
     return packs.select(
         "pack_id",
         F.flatten("m.input_ids").alias("input_ids"),
         F.flatten("m.completion_mask").alias("completion_mask"),
         F.transform("m.input_ids", lambda x: F.size(x)).alias("seq_lengths"),
-        "n_cut",
     )
 
 

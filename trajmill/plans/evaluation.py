@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trajmill import constants as C
 from trajmill.functions import text as X
 from trajmill.functions.numbers import elapsed_seconds, log_time, whole_div
-from trajmill.operators import attempts, audit, grades, predictions, publish
+from trajmill.operators import attempts, audit, grades, periodic, predictions, publish
 from trajmill.plans import views as V
 from trajmill.plans.corpus import REDACTION, _redact_sql
 from trajmill.plans.registry import query
@@ -589,3 +589,34 @@ def _(spark, sf):
     return audit.degenerate_texts(rows, "text").select(
         "doc_id", F.round("line_share", 6).alias("line_share"), F.round("stutter_share", 6).alias("stutter_share"), "degenerate"
     )
+
+
+def _leads(lo, hi):
+    return ", ".join(f"CASE WHEN lead(ch, {p}) OVER w = ch THEN {p} END" for p in range(lo, hi + 1))
+
+
+_LOOPING = "text || repeat(substr(text, 1, CAST(doc_id % 25 AS INTEGER)), CAST(doc_id % 13 AS INTEGER))"
+
+
+@query(
+    "audit_periodic_text",
+    f"""WITH looping AS (SELECT doc_id, {_LOOPING} AS t FROM documents),
+             places AS (SELECT doc_id, unnest(range(1, length(t) + 1)) AS i, unnest(string_split(t, '')) AS ch FROM looping),
+             equal AS (SELECT doc_id, i, unnest(list_filter(m, lambda x: x IS NOT NULL)) AS p
+                       FROM (SELECT doc_id, i, [{_leads(*periodic.PERIODS)}] AS m FROM places WINDOW w AS (PARTITION BY doc_id ORDER BY i))),
+             run AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS len
+                     FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM equal)
+                     GROUP BY doc_id, p, island HAVING count(*) + p >= {periodic.REPEATS} * p),
+             best AS (SELECT run.* FROM run JOIN looping USING (doc_id) WHERE substr(t, start, p) <> repeat(substr(t, start, 1), CAST(p AS INTEGER))
+                      QUALIFY row_number() OVER (PARTITION BY run.doc_id ORDER BY len DESC, p, start) = 1)
+        SELECT doc_id, CAST(coalesce(p, 0) AS BIGINT) AS period, CAST(coalesce(start - 1, -1) AS BIGINT) AS run_start, CAST(coalesce(len, 0) AS BIGINT) AS run_length,
+               round(coalesce(len / length(t)::DOUBLE, 0), 6) AS run_share
+        FROM looping LEFT JOIN best USING (doc_id)""",
+)
+def _(spark, sf):
+    """Every text, with its first characters repeated up to twelve times at its end."""
+    again = F.repeat(F.substring("text", F.lit(1), (F.col("doc_id") % 25).cast("int")), (F.col("doc_id") % 13).cast("int"))
+    rows = V.table(spark, sf, "documents").select("doc_id", F.concat("text", again).alias("text"))
+    found = periodic.periodic_texts(rows, "text")
+    whole = lambda c, none: F.coalesce(c, F.lit(none)).cast("bigint").alias(c)
+    return found.select("doc_id", whole("period", 0), whole("run_start", -1), whole("run_length", 0), F.round("run_share", 6).alias("run_share"))

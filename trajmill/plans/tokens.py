@@ -177,6 +177,38 @@ def _(spark, sf):
     )
 
 
+_SOUND = "row_id % 7 > 3"
+
+
+@query(
+    "tok_verify_damaged",
+    f""", {_ROW_SQL} SELECT row_id, row_id % 7 <> 1 AS lengths_equal, row_id % 7 <> 1 AS boundaries_clean,
+            CAST(CASE row_id % 7 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS BIGINT) AS n_end_targets, {_SOUND} AS text_equal,
+            CAST(CASE WHEN {_SOUND} THEN -1 WHEN row_id % 7 = 3 THEN 1 ELSE 0 END AS BIGINT) AS first_bad_run,
+            CASE WHEN {_SOUND} THEN 'none' WHEN row_id % 7 = 3 THEN 'target' ELSE 'prompt' END AS bad_kind FROM whole""",
+    "traj_rows",
+)
+def _(spark, sf):
+    """Four rows in seven are damaged: the answer masked, an id lost, a boundary moved, an id changed."""
+    rows = _rows(spark, sf).select("row_id", verify.rendered_pieces(F.col("messages")).alias("pieces"), "messages")
+    tokens = encode.tokenize_rows(rows, encode.ByteEncoder(), NO_CUT)
+    answer, kind = F.get("mask_runs", F.lit(0))["len"], F.col("row_id") % 7
+    ids, mask = F.col("input_ids"), F.col("completion_mask")
+
+    def put(values, at, value):
+        """``values`` with another value at a place, counted from 0."""
+        return F.concat(F.slice(values, 1, at), F.array(value.cast("int")), F.slice(values, at + 2, F.size(values)))
+
+    bad_ids = F.when(kind == 1, F.concat(F.slice(ids, 1, 4), F.slice(ids, 6, F.size(ids)))).when(kind == 3, put(ids, answer, F.get(ids, answer) + 1))
+    bad_mask = F.when(kind == 0, F.transform(mask, lambda _: F.lit(0))).when(kind == 2, put(mask, answer - 1, F.lit(1)))
+    damaged = tokens.select("row_id", "pieces", F.coalesce(bad_ids, ids).alias("input_ids"), F.coalesce(bad_mask, mask).alias("completion_mask"))
+    checked = verify.verify_text(verify.verify_tokens(damaged, 10), "pieces", encode.ByteEncoder())
+    return checked.select(
+        "row_id", "lengths_equal", "boundaries_clean", F.col("n_end_targets").cast("bigint").alias("n_end_targets"), "text_equal",
+        F.coalesce("first_bad_run", F.lit(-1)).cast("bigint").alias("first_bad_run"), F.coalesce("bad_kind", F.lit("none")).alias("bad_kind"),
+    )
+
+
 @query(
     "win_boundary_check",
     f""", {_ROW_SQL} SELECT row_id, TRUE AS clean_line_feed, FALSE AS clean_other FROM whole""",
@@ -371,24 +403,23 @@ def _plan(spark, sf):
     return pack.plan_packs(placed, "doc_id", "length", "position", CAPACITY, BATCH)
 
 
-_PLACED = f"""(SELECT doc_id, least(strlen(text), {CAPACITY}) AS n,
+_PLACED = f"""(SELECT doc_id, strlen(text) AS n, greatest(1, CAST(ceil(strlen(text) / {CAPACITY}.0) AS BIGINT)) AS pieces,
     (row_number() OVER (ORDER BY md5('0:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) // {BATCH} AS batch FROM documents)"""
 
 
 @query(
     "tok_pack_bfd",
-    f"""SELECT batch, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens, TRUE AS fits, TRUE AS each_row_once, TRUE AS enough_bins,
+    f"""SELECT batch, CAST(sum(pieces) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens, TRUE AS fits, TRUE AS each_row_once, TRUE AS enough_bins,
                TRUE AS well_filled FROM {_PLACED} GROUP BY batch""",
 )
 def _(spark, sf):
-    """The packing plan of every batch with its invariants.
+    """The packing plan of every batch with its invariants; documents over the capacity are several rows.
 
     Well filled: two bins of a batch that together would fit in one do not exist, which
     holds for best fit; so fewer than two bins per capacity of tokens, plus one.
     """
-    plan = _plan(spark, sf).withColumn("n", F.least("length", F.lit(CAPACITY)))
-    bins = plan.groupBy("batch", "bin").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("fill"), F.max("slot").alias("last"), F.countDistinct("id").alias("ids")
+    bins = _plan(spark, sf).groupBy("batch", "bin").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("length").alias("fill"), F.max("slot").alias("last"), F.countDistinct("id").alias("ids")
     )
     return bins.groupBy("batch").agg(
         F.sum("rows").alias("n_rows"),
@@ -402,7 +433,7 @@ def _(spark, sf):
 
 @query(
     "tok_pack_rows",
-    f"""SELECT count(*) AS n_members, CAST(sum(n) AS BIGINT) AS n_tokens, TRUE AS sizes_agree, TRUE AS fits FROM {_PLACED}""",
+    f"""SELECT CAST(sum(pieces) AS BIGINT) AS n_members, CAST(sum(n) AS BIGINT) AS n_tokens, TRUE AS sizes_agree, TRUE AS fits FROM {_PLACED}""",
 )
 def _(spark, sf):
     """Packed rows of the whole corpus: token arrays move once, by pack."""
@@ -482,6 +513,19 @@ def _(spark, sf):
     return emb.centroid(V.embeddings(spark, sf), "embedding").select(F.col("pos").cast("bigint").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
+@query(
+    "agg_centroid_bf16",
+    """SELECT pos, round_even(v / unit, 0) * unit AS value
+       FROM (SELECT *, pow(2.0, floor(log2(abs(v))) - 7) AS unit
+             FROM (SELECT CAST(pos - 1 AS BIGINT) AS pos, CAST(CAST(avg(embedding[pos]::DOUBLE) AS FLOAT) AS DOUBLE) AS v
+                   FROM embeddings, (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1))""",
+)
+def _(spark, sf):
+    """The row that new tokens of a bfloat16 matrix start from."""
+    row = emb.centroid_row(V.embeddings(spark, sf), "embedding", bf16=True)
+    return row.select(F.posexplode("centroid").alias("pos", "value")).select(F.col("pos").cast("bigint").alias("pos"), F.col("value").cast("double").alias("value"))
+
+
 # --- Python surface ---------------------------------------------------------------------------------
 
 
@@ -508,7 +552,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Batch maps run per group of lengths."""
-    return _plan(spark, sf).groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"))
+    return _plan(spark, sf).where("piece = 0").groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query(

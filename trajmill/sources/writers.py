@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trajmill import scratch
+from trajmill.operators.spread import broadcast_if_small
 from trajmill.sources.readers import path_exists
 
 ROWS_PER_FILE = 1_000_000
@@ -63,26 +65,69 @@ def merged_document(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.map_from_entries(F.array(entry))).alias("value"))
 
 
-def finished_keys(df: DataFrame, path: str, keys: list[str]) -> DataFrame | None:
-    """Keys that an earlier attempt has already written, or None if there is no output."""
+COMMITS = "_commits"
+
+
+def _content(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows and digest of each shard; the digest does not depend on the order of the rows."""
+    rest = [c for c in df.columns if c not in keys]
+    # Maps have no hash, their JSON has one.
+    parts = [F.to_json(F.struct(c)) if "map<" in df.schema[c].dataType.simpleString() else F.col(c) for c in rest]
+    # A null adds nothing to a hash, so its place is hashed too.
+    digest = F.xxhash64(*parts, *[F.isnull(c) for c in rest]) if parts else F.lit(0).cast("long")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest.cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest"))
+
+
+def commits(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """The last commit of each shard: the keys, ``n_rows, digest``; None if nothing was committed."""
+    if not path_exists(spark, f"{path}/{COMMITS}"):
+        return None
+    found = spark.read.parquet(f"{path}/{COMMITS}").groupBy(*keys).agg(F.max_by(F.struct("n_rows", "digest"), "committed_us").alias("c"))
+    return found.select(*keys, "c.n_rows", "c.digest")
+
+
+def damaged_shards(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Committed shards whose files no longer hold what was committed."""
+    there = _content(spark.read.parquet(path), keys).withColumnsRenamed({"n_rows": "_rows", "digest": "_digest"})
+    same = F.col("n_rows").eqNullSafe(F.col("_rows")) & F.col("digest").eqNullSafe(F.col("_digest"))
+    return commits(spark, path, keys).join(there, keys, "left").where(~same).select(*keys)
+
+
+def finished_keys(df: DataFrame, path: str, keys: list[str], verify: bool = False) -> DataFrame | None:
+    """Keys that an earlier attempt has committed, or None if there are none.
+
+    Output without a commit is unfinished, whatever is there: the job may have died while
+    writing it.  With ``verify`` a shard also has to hold what its commit says.
+    """
     spark = df.sparkSession
-    if not path_exists(spark, path):
+    done = commits(spark, path, keys)
+    if done is None:
         return None
-    return spark.read.parquet(path).select(*keys).distinct()
+    done = done.select(*keys)
+    return done.join(damaged_shards(spark, path, keys), keys, "left_anti") if verify else done
 
 
-def pending(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Rows of shards or runs that have no output yet."""
-    done = finished_keys(df, path, keys)
+def pending(df: DataFrame, path: str, keys: list[str], verify: bool = False) -> DataFrame:
+    """Rows of shards or runs that have no finished output yet."""
+    done = finished_keys(df, path, keys, verify)
     return df if done is None else df.join(done, keys, "left_anti")
 
 
-def write_pending(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Idempotent write: finished keys are skipped, unfinished ones are replaced."""
-    (
-        pending(df, path, keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys)
-        .parquet(path)
-    )
+def write_pending(df: DataFrame, path: str, keys: list[str], verify: bool = False) -> None:
+    """Idempotent write: finished keys are skipped, unfinished ones are replaced.
+
+    Shards are committed after all their files are in place, by a row with the number of rows and a
+    digest of what can be read back.
+    """
+    spark = df.sparkSession
+    done = finished_keys(df, path, keys, verify)
+    done = None if done is None else scratch.materialize(done, "finished")  # as it was before this write
+    rows = df if done is None else df.join(done, keys, "left_anti")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    there = spark.read.schema(df.schema).parquet(path)
+    # Only key columns are read to find the new shards, and only those shards are read for their digests.
+    new = there.select(*keys).distinct()
+    new = new if done is None else new.join(done, keys, "left_anti")
+    written = _content(there.join(broadcast_if_small(new), keys, "left_semi"), keys)
+    stamped = written.withColumn("committed_us", F.unix_micros(F.current_timestamp()))
+    stamped.write.mode("append").parquet(f"{path}/{COMMITS}")
