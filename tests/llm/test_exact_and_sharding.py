@@ -90,3 +90,14 @@ def test_sharding_of_odd_rows(spark):
     assert sharding.shard_documents(empty(spark), 3)[0].count() == 0
     with pytest.raises(ValueError):
         sharding.shard_documents(empty(spark), 9000)
+
+
+def test_repeated_rows_are_spread(spark):
+    """A third of the rows have one id and one text."""
+    rows = [(7, "the same text " * 5)] * 2000 + [(i, f"text {i} " * 6) for i in range(100, 4100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    placed, _ = sharding.shard_documents(df, 10)
+    sizes = [r.bytes for r in placed.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+    assert len(sizes) == 10 and max(sizes) < 1.1 * min(sizes)
+    places = placed.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("place").alias("d"), F.max("place").alias("m")).collect()
+    assert all(r.n == r.d == r.m + 1 for r in places)

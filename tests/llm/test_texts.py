@@ -46,7 +46,11 @@ def _check_packing(rows, texts, capacity):
         total = sum(r.length for r in own)
         assert [r.offset for r in own] == list(np.cumsum([0] + [r.length for r in own])[:-1])
         assert total <= capacity and total & (total - 1) == 0  # full, or a power of two
-        assert len({r["class"] for r in own}) == 1 and len(own) <= own[0]["class"]
+        # A full bin of a class has its number of documents of that class, and at most one beginning of another behind them.
+        kind = own[0]["class"]
+        assert len({r["class"] for r in own}) == 1
+        if kind:
+            assert total == capacity and sum(capacity // r.length == kind for r in own[:kind]) == kind
 
 
 def test_packing_round_trip(spark):
@@ -186,3 +190,64 @@ def test_fold_number(spark):
     rows = spark.range(50).select("id", toxicity.fold_number("id", 3).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 3 for r in rows)
     assert spark.range(1).select(toxicity.fold_number(F.lit(None), 3)).first()[0] is None
+
+
+def _plain_assignments(text):
+    """Constants copied at every use: grows with each step, but says the same on small texts."""
+    constants, out, done = {}, [], 0
+    for op in re.finditer(r":=|=>|[=:]", text):
+        if op.start() < done:
+            continue
+        before = text[: op.start()].rstrip(" \t")
+        name = re.search(r"""(?:\A|[^\w.$-])([A-Za-z_$][\w$-]*(?:\.[\w$-]+)*)["']?\]?\Z""", before)
+        at, literal, places = op.end(), "", []
+        while name and (value := secrets._VALUE.match(text, at)):
+            at = value.end()
+            known, own = constants.get(value[3], (value[value.lastindex], [value.span(value.lastindex)]))
+            literal, places = literal + known, places + own
+            plus = re.compile(r"[ \t]*\+[ \t]*").match(text, at)
+            if not plus:
+                break
+            at = plus.end()
+        if places:
+            done = at
+            if text[at : at + 1] != "(":
+                constants[name[1]] = literal, places
+                out.append((name[1], literal, set(places)))
+    return out
+
+
+CODE = ["password", "a", "b", "api_key", " = ", "=", ": ", " + ", '"s3cr3tV4lue"', "'x'", "b", "\n", "\n", "(", ")", ".", "tok", '"', " ", "] =", ":="]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(CODE), max_size=24).map("".join))
+def test_assignments_equal_a_plain_lexer(text):
+    got = [(name, literal, set(places)) for name, literal, places, _ in secrets.assignments(text)]
+    assert got == [(name, literal[: secrets.SCORED], places) for name, literal, places in _plain_assignments(text)]
+
+
+def test_constants_that_double_themselves():
+    lines = 3000
+    text = 'a = "Zx81kQ29vLm4"\n' + "a = a + a\n" * lines + "db_password = a\n"
+    spans = [s for s in secrets.find_spans(text) if s[0] == "constant"]
+    assert [text[s[1] : s[2]] for s in spans] == ["Zx81kQ29vLm4"]
+    chain = 'k0 = "Zx81kQ29vLm4"\n' + "".join(f'k{i} = "Zx81kQ{i:06}" + k{i - 1}\n' for i in range(1, lines)) + f"password = k{lines - 1}\n"
+    assert sum(s[0] == "constant" for s in secrets.find_spans(chain)) == lines
+
+
+@pytest.mark.parametrize("length", [100, 300, 5000, 200_000])
+def test_names_of_any_length(length):
+    text = f'x\npassword_{"q" * length} = "Zx81kQ29vLm4"'
+    assert [text[a:b] for kind, a, b, *_ in secrets.find_spans(text) if kind == "literal"] == ["Zx81kQ29vLm4"]
+    spaced = f'password{" " * length}= "Zx81kQ29vLm4"'
+    assert [spaced[a:b] for kind, a, b, *_ in secrets.find_spans(spaced) if kind == "literal"] == ["Zx81kQ29vLm4"]
+
+
+def test_harmonic_bins_cut_little(spark):
+    texts = {i: " ".join(["word"] * (1 + i * 37 % 900)) for i in range(400)}
+    rows = packing.pack(documents(spark, texts).coalesce(1), tokenizer_path()).collect()
+    _check_packing(rows, texts, 1024)
+    sequences = {r.sequence_id for r in rows}
+    assert len(rows) <= len(texts) + len(sequences)  # one cut for each bin at most
+    assert len([s for s in sequences if sum(r.length for r in rows if r.sequence_id == s) < 1024]) <= 10

@@ -31,7 +31,8 @@ def _line_key(line: Column) -> Column:
 
 def _row_key(docs: DataFrame) -> Column:
     """96 bits of a whole row; rows that agree in all columns are treated alike."""
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")]
+    # Maps, nested ones too, have no hash; their JSON has one.
+    plain = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
     return F.struct(F.xxhash64(*plain).alias("r"), F.hash(*plain, F.lit(1)).alias("r2"))
 
 
@@ -88,7 +89,8 @@ def remove_spread_lines(
     joined = rows.join(scratch.materialize(removed, "removed-lines"), ["r", "r2"], "left")
     whole = F.col("row").getField(text)
     parts = F.split(whole, "\n")
-    kept = F.filter(parts, lambda line, i: ~F.array_contains("at", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "at")  # linear in the lines, however many go
+    kept = F.transform(places, lambda i: F.get(parts, i))
     cut = F.when(F.col("at").isNull(), whole).otherwise(F.array_join(kept, "\n"))
     n_lines = F.when(whole.isNull(), 0).otherwise(F.size(parts))
     n_removed = F.when(F.col("at").isNull(), 0).otherwise(F.size("at"))

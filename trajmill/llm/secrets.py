@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -44,6 +44,9 @@ LEAST_LITERAL = 6
 _OPERATOR = re.compile(r":=|=>|[=:]")
 _NAME_BEFORE = re.compile(r"""(?:\A|[^\w.$-])([A-Za-z_$][\w$-]*(?:\.[\w$-]+)*)["']?\]?[ \t]*\Z""")
 _NAME_REACH = 160
+_NAME_ONLY = re.compile(r"""[\w.$-]+["']?\]?""")
+#: Characters of a literal that are scored; longer ones come from constants that are put together.
+SCORED = 4096
 _VALUE = re.compile(r"""[ \t]*(?:[bru]?"((?:[^"\\\n]|\\.)*)"|[bru]?'((?:[^'\\\n]|\\.)*)'|([^\s"'`,;(){}\[\]<>+=:]+(?:[+/=.:-]+[^\s"'`,;(){}\[\]<>+=:]+)*=*))""")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -69,26 +72,78 @@ def literal_weight(literal: str) -> float:
     return min(0.5, 0.06 * entropy + 0.07 * (kinds - 1) + 0.004 * min(n, 40))
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bool]]:
-    """Name, resolved literal, where it is written, and whether a constant took part; in text order."""
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+class Places:
+    """Where a literal is written: its own places, and those of the constants in it, which are shared.
+
+    However often constants are put together, each place is held once.
+    """
+
+    __slots__ = ("own", "parts", "told")
+
+    def __init__(self) -> None:
+        self.own: list[tuple[int, int]] = []
+        self.parts: list[Places] = []
+        self.told = False
+
+    def __bool__(self) -> bool:
+        return bool(self.own or self.parts)
+
+    def _walk(self, seen: Callable[[Places], bool]) -> Iterator[tuple[int, int]]:
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            if not seen(node):
+                yield from node.own
+                stack += node.parts
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        met: set[int] = set()
+        return self._walk(lambda node: id(node) in met or met.add(id(node)))
+
+    def untold(self) -> Iterator[tuple[int, int]]:
+        """The places that no earlier call has given."""
+
+        def told(node: Places) -> bool:
+            before, node.told = node.told, True
+            return before
+
+        return self._walk(told)
+
+
+def _name_before(text: str, at: int) -> str | None:
+    """The name that ends before a place, of any length."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    reach = _NAME_REACH
+    while at > reach and _NAME_ONLY.fullmatch(text, at - reach, at):
+        reach *= 4
+    name = _NAME_BEFORE.search(text[max(0, at - reach) : at])
+    return name[1] if name else None
+
+
+def assignments(text: str) -> Iterator[tuple[str, str, Places, bool]]:
+    """Name, resolved literal (its first ``SCORED`` characters), where it is written, and whether a constant took part; in text order."""
+    constants: dict[str, tuple[str, Places]] = {}
     done = 0
     for op in _OPERATOR.finditer(text):
         if op.start() < done:
             continue
-        name = _NAME_BEFORE.search(text[max(0, op.start() - _NAME_REACH) : op.start()])
+        name = _name_before(text, op.start())
         if not name:
             continue
-        at, literal, spans, through = op.end(), "", [], False
+        at, literal, spans, through = op.end(), "", Places(), False
         while value := _VALUE.match(text, at):
             at = value.end()
             bare = value[3]
             if bare is not None and bare in constants:
                 known, places = constants[bare]
-                literal, spans, through = literal + known, spans + places, True
+                spans.parts.append(places)
+                through = True
             else:
-                which = value.lastindex
-                literal, spans = literal + value[which], [*spans, value.span(which)]
+                known = value[value.lastindex]
+                spans.own.append(value.span(value.lastindex))
+            if len(literal) < SCORED:
+                literal = (literal + known)[:SCORED]
             plus = _PLUS.match(text, at)
             if not plus:
                 break
@@ -97,8 +152,8 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]], bo
             done = at
             if text[at : at + 1] == "(":  # a call, whose value is not written here
                 continue
-            constants[name[1]] = literal, spans
-            yield name[1], literal, spans, through
+            constants[name] = literal, spans
+            yield name, literal, spans, through
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, str, float]]:
@@ -110,7 +165,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, str, float]]:
     for name, literal, places, through in assignments(text):
         score = name_weight(name)
         if score > 0 and (score := score + literal_weight(literal)) >= THRESHOLD:
-            for start, end in places:
+            for start, end in places.untold():
                 found.setdefault((start, end), ("constant" if through else "literal", start, end, name, round(score, 4)))
     return sorted([*spans, *found.values()], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -5,8 +5,9 @@ shard owns a slot.  Bytes are summed per slot, and the map is edited (a new vers
 few slots as needed) when shards are added, removed or drift apart.
 
 * Copies of one text share a slot while the group is small against a shard.  A larger group
-  would decide its shard's size, so its rows are spread over the slots by their ids.  There are
-  at most ``shards / WHOLE_SHARE`` such groups, which bounds the table that is broadcast.
+  would decide its shard's size, so its rows are spread over the slots by their row numbers,
+  whatever their ids.  There are at most ``shards / WHOLE_SHARE`` such groups, which bounds the
+  table that is broadcast.
 * The map has ``SLOTS`` rows at any input size: the largest slot goes to the lightest shard, in
   one expression over these rows.
 * Places within a shard come from counts per block of a slot, so no task numbers a whole shard.
@@ -92,21 +93,22 @@ def slot_loads(rows: DataFrame, slots: int) -> DataFrame:
 
 
 def with_slots(docs: DataFrame, shards: int, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, virtual_slot`` of every row, written down once."""
+    """``doc_id, size, text_crc32, virtual_slot`` and a number ``row`` of every row, written down once."""
     body = F.coalesce(text, F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(body) + F.lit(RECORD_BYTES)).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(body).alias("text_key"),
+        F.monotonically_increasing_id().alias("row"),  # of the written table: it stays when a task runs again
     )
     rows = scratch.materialize(rows, "sized")
     total = rows.agg(F.sum("size")).first()[0] or 0
     groups = rows.groupBy("text_key").agg(F.sum("size").alias("group_bytes"))
     large = groups.filter(F.col("group_bytes") > F.lit(total * WHOLE_SHARE / shards)).select("text_key", F.lit(True).alias("spread"))
     rows = rows.join(F.broadcast(large), "text_key", "left")  # at most shards / WHOLE_SHARE rows
-    place = F.when(F.col("spread"), F.xxhash64("text_key", "doc_id")).otherwise(F.xxhash64("text_key", F.lit(1)))
-    return rows.select("doc_id", "size", "text_crc32", F.pmod(place, F.lit(slots)).cast("int").alias("virtual_slot"))
+    place = F.when(F.col("spread"), F.xxhash64("text_key", "row")).otherwise(F.xxhash64("text_key", F.lit(1)))
+    return rows.select("doc_id", "size", "text_crc32", "row", F.pmod(place, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, SlotMap]:
@@ -126,11 +128,11 @@ def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, doc_id: st
     plan = owners.table().select("slot", "shard").join(loads, "slot")
     plan = plan.select(F.col("slot").alias("virtual_slot"), "shard", blocks.cast("long").alias("blocks"), F.coalesce(before, F.lit(0)).alias("slot_start"))
     rows = rows.join(F.broadcast(plan), "virtual_slot")  # one row per slot: fixed
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.col("blocks")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks")))
     counts = rows.groupBy("virtual_slot", "block").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("virtual_slot").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("virtual_slot", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("block_start"))
-    inside = F.row_number().over(Window.partitionBy("virtual_slot", "block").orderBy("doc_id", "text_crc32", "size")) - 1
+    inside = F.row_number().over(Window.partitionBy("virtual_slot", "block").orderBy("row")) - 1
     placed = rows.withColumn("inside", inside).join(counts, ["virtual_slot", "block"])
     place = (F.col("slot_start") + F.col("block_start") + F.col("inside")).cast("long").alias("place")
     return placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard", place), owners

@@ -363,9 +363,11 @@ def without_near_duplicates(
     texts are copies of each other, and so are texts that differ only in white space or in the
     case of A to Z.  An empty table stays empty.
     """
+    # Maps, nested ones too, have no hash; their JSON has one.
+    plain = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
     rows = docs.select(
         F.struct("*").alias("row"),
-        F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map"))).alias("row_key"),
+        F.struct(F.xxhash64(*plain).alias("a"), F.xxhash64(F.lit(1), *plain).alias("b")).alias("row_key"),
         F.col(doc_id).alias("doc_id"),
         F.coalesce(text, F.lit("")).alias("text"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
