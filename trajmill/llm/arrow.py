@@ -43,16 +43,16 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[object, str]]]:
     """Rows ``(id, text)`` in lists of about ``size`` characters; a null text is empty."""
+    rows, held = [], 0
     for part in parts(batches):
-        rows, held = [], 0
         for key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
             rows.append((key, text or ""))
             held += len(rows[-1][1])
             if held > size:
                 yield rows
                 rows, held = [], 0
-        if rows:
-            yield rows
+    if rows:
+        yield rows
 
 
 def _size(value: object) -> int:

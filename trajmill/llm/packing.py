@@ -40,7 +40,7 @@ IRREGULAR = ("  ", " \n", *"\t\v\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000
 CACHED_CHUNK = 64
 CACHE_SIZE = 250_000
 #: Characters that are encoded together.
-TEXT_HELD = 1 << 20
+TEXT_HELD = 4 << 20
 _ID_BYTES = 4
 
 
