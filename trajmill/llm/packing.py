@@ -84,35 +84,26 @@ class ChunkEncoder:
         return self.all([text])[0]
 
     def all(self, texts: list[str]) -> list[bytes]:
-        """Encode texts together; the more of them, the fewer calls of the tokenizer.
-
-        Of a text only the ids of its chunks are held, and those chunks that are not known yet.
-        """
+        """Encode texts together; the more of them, the fewer calls of the tokenizer."""
         if len(self.new) > CACHE_SIZE:
             self.old, self.new = self.new, {}
-        found: dict[str, bytes | None] = {}
-        got: list[tuple[list[bytes | None], list[tuple[int, str]]]] = []
-        for text in texts:
-            keys = chunk_keys(text)
-            ids = list(map(self.new.get, keys))
-            holes = [(at, keys[at]) for at, known in enumerate(ids) if known is None] if None in ids else []
-            found.update((key, None) for _, key in holes)
-            got.append((ids, holes))
-        spaced = []
-        for key in found:
+        keys = list(map(chunk_keys, texts))
+        missing = [key for key in set().union(*keys) if key not in self.new]
+        unknown = []
+        for key in missing:
             ids = self.old.get(key)
-            if ids is not None:
-                found[key] = ids
-            elif key[:1] == " ":
-                found[key] = self.ids(key[1:]).tobytes()
+            if ids is None:
+                unknown.append(key)
             else:
-                spaced.append(key)
-        found.update(zip(spaced, self.together([" " + key for key in spaced]), strict=True))
-        for ids, holes in got:
-            for at, key in holes:
-                ids[at] = found[key]
-        self.new.update((key, ids) for key, ids in found.items() if len(key) <= CACHED_CHUNK)
-        return [b"".join(ids) for ids, _ in got]
+                self.new[key] = ids
+        spaced = [key for key in unknown if key[:1] != " "]
+        self.new.update(zip(spaced, self.together([" " + key for key in spaced]), strict=True))
+        self.new.update((key, self.ids(key[1:]).tobytes()) for key in unknown if key[:1] == " ")
+        done = [b"".join(map(self.new.__getitem__, own)) for own in keys]
+        for key in missing:
+            if len(key) > CACHED_CHUNK:
+                del self.new[key]
+        return done
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -211,13 +202,14 @@ class Worker:
             yield from self.close(0, held)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", held: int = TEXT_HELD) -> DataFrame:
     """Pieces of all documents with their sequences.
 
     Columns: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset, class``; ``ids`` are
     little-endian unsigned 32-bit numbers, ``class`` the harmonic class of the sequence, 0 for what
     was left at the end of a task.  Every document ends with ``end_id``, so a null or empty text
     is one token.  Repeated rows are packed as often as they occur.  An empty table gives no rows.
+    A task encodes about ``held`` characters together; fewer take less memory and more time.
     """
     schema = T.StructType(
         [
@@ -238,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         end = np.array([end_id], dtype="<u4").tobytes()
 
         def made() -> Iterator[tuple]:
-            for rows in text_runs(batches, TEXT_HELD):
+            for rows in text_runs(batches, held):
                 for (doc, _), ids in zip(rows, encode.all([t for _, t in rows]), strict=True):
                     ids += end
                     yield from worker.add(Piece(doc, 0, ids, len(ids) // _ID_BYTES))
