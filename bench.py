@@ -21,6 +21,7 @@ HEADLINE = (
     "tok_render_chat",
     "tok_completion_mask",
     "tok_completion_mask_rows",
+    "tok_encode_ranks",
     "tok_verify",
     "tok_pack_bfd",
     "tok_pack_rows",
