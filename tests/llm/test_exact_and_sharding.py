@@ -31,6 +31,33 @@ def test_buckets_split_until_they_fit_and_chains_number_collisions(spark):
     assert len(sizes) == 8 and all(r.n == r.c for r in sizes.values())
 
 
+@pytest.mark.parametrize("key_bits", [64, 3])
+def test_rows_of_another_table_find_equal_bytes_only(spark, key_bits):
+    index = exact.build_index(documents(spark, {i: f"t{i % 50}" for i in range(200)}), capacity=4, key_bits=key_bits)
+    got = {r.doc_id: r for r in index.lookup(documents(spark, {i: f"t{i}" for i in range(100)})).collect()}
+    assert len(got) == 100
+    for i, row in got.items():
+        assert (row.keep_id, row.group_size) == ((i + 150, 4) if i < 50 else (None, None))
+
+
+def test_a_wrong_directory_gives_wrong_results(spark):
+    """Rows reach their entries through the directory alone."""
+    docs = documents(spark, {i: f"t{i % 400}" for i in range(500)})
+    index = exact.build_index(docs, capacity=4)
+    assert index.indexed().count() == 500 and index.lookup(docs).filter("keep_id IS NULL").count() == 0
+    wrong = index.directory.withColumn("depth", F.when(F.col("slot") % 2 == 0, F.lit(64)).otherwise(F.col("depth")))
+    broken = exact.ExactIndex(index.entries, wrong, index.key_bits, index.rows)
+    assert broken.indexed().count() < 400 and broken.lookup(docs).filter("keep_id IS NULL").count() > 100
+
+
+def test_a_deep_directory_is_joined_in_copies(spark):
+    docs = documents(spark, {i: f"t{i % 400}" for i in range(500)})
+    index = exact.build_index(docs, capacity=1)
+    deep = index.directory.agg(F.max("level")).first()[0]
+    assert deep > 2 * exact.STRIDE or index.entries.groupBy("bucket").count().agg(F.max("count")).first()[0] == 1
+    assert index.indexed().count() == 500 and index.indexed().agg(F.sum("group_size")).first()[0] == 100 * 4 + 300
+
+
 def test_exact_dedup_of_odd_rows(spark):
     rows = exact.deduplicate(odd(spark)).collect()
     assert len(rows) == len(ROWS)
