@@ -256,6 +256,46 @@ def test_leaks_are_found_and_clean_rows_left(spark, sf):
     assert set(clean) <= kept and len(kept - set(clean)) <= 2
 
 
+def test_alignments_together_equal_single_ones():
+    rng, pairs = random.Random(3), []
+    for i in range(600):
+        item = "".join(rng.choice("abcdé ") for _ in range(rng.choice([5, 63, 64, 65, 128, 129, 200, 300])))
+        part = "".join(rng.choice("abcdéz ") for _ in range(rng.randrange(0, 3 * len(item))))
+        if i % 2:
+            part += "".join(c for c in item if rng.random() > 0.1)
+        pairs.append((item, part, int(0.2 * len(item))))
+    found = decontaminate.edit_distances_within(pairs)
+    wanted = [decontaminate.edit_distance_within(*pair) for pair in pairs]
+    assert sum(w[0] <= p[2] for w, p in zip(wanted, pairs, strict=True)) > 100
+    for got, want, (_, _, limit) in zip(found, wanted, pairs, strict=True):
+        assert got == want if want[0] <= limit else got[0] > limit
+
+
+def test_recall_up_to_the_edit_limit_against_all_alignments(spark, sf):
+    """Random edits of characters, up to the limit; every pair of an item and a document is aligned."""
+    items = [(r.item_id, decontaminate.normalise(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hosts = [decontaminate.normalise(r.text)[:600] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    rng, texts, shares = np.random.default_rng(5), {}, (0.05, 0.1, 0.15, 0.19)
+    for i, host in enumerate(h for h in hosts if len(h) == 600):
+        if i < 160:
+            edited = decontaminate._edited(items[i % 40][1].encode(), shares[i // 40], rng).decode(errors="ignore")
+            texts[i] = f"{host[:300]} {edited} {host[300:]}"
+        elif i < 200:
+            texts[i] = host
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(documents(spark, texts), benchmark).collect()}
+    pairs = [(i, k, decontaminate.normalise(t), item) for i, t in texts.items() for k, item in items]
+    within = set()
+    for i, k, text, item in pairs:
+        limit = int(decontaminate.EDITS * len(item))
+        if decontaminate.edit_distance_within(item, text, limit)[0] <= limit:
+            within.add((i, k))
+    assert len(within) >= 155 and found <= within
+    assert len(found) >= 0.93 * len(within)
+    limit = {(i, k) for i, k in within if 120 <= i < 160}
+    assert len(found & limit) >= 0.85 * len(limit)
+
+
 def test_decontamination_of_odd_rows(spark):
     items = documents(spark, {1: PROSE, 2: None, 3: "", 4: "too short"}).select(F.col("doc_id").alias("item_id"), "text")
     found = decontaminate.find_leaks(odd(spark), items).collect()
