@@ -1,7 +1,9 @@
 """Rendering, masks and encoders against a sequential twin that renders every prefix again."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
@@ -238,3 +240,20 @@ def test_rank_table_limits(spark):
     assert encode.rank_encoder(df, 5).ranks == {b"a": 0, b"b": 1}
     with pytest.raises(ValueError):
         encode.rank_encoder(df.withColumn("rank", F.lit(1)), 5)
+
+
+def test_tokens_take_little_memory():
+    """A worker holds parts of 2 MB and no array of 8 bytes per token beside the columns."""
+    texts = pa.record_batch([pa.array(["x" * 1000] * 16_000)], ["text"])
+    parts = list(encode._parts(texts))
+    assert sum(p.num_rows for p in parts) == 16_000 and max(p.nbytes for p in parts) < 3 << 20
+    n = 1 << 20
+    flags = np.zeros(n, np.int32)
+    flags[n // 2 :] = 1
+    masks = pa.ListArray.from_arrays(pa.array([0, n // 4, n // 4, n], pa.int32()), pa.array(flags))
+    tracemalloc.start()
+    runs = A.runs_of_lists(masks)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[tuple(r.values()) for r in row] for row in runs.to_pylist()] == [[(0, 0, n // 4)], [], [(0, 0, n // 4), (1, n // 4, n // 2)]]
+    assert held < 4 * n
