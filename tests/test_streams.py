@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trajmill import schemas
 from trajmill.operators import attempts, predictions
 from trajmill.plans import views as V
+from trajmill.plans.catalog import QUERIES
 from trajmill.streaming import streams as T
 
 FILES = 6
@@ -73,3 +74,14 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
         landed = T.append_to_table(stream, "landed", f"{target}-rows")
     assert {tuple(r) for r in found.collect()} == {("r", "a", 2), ("r", "b", 1), ("q", "a", 1)}
     assert sorted(tuple(r) for r in landed.collect()) == sorted(rows)
+
+
+def test_tables_in_one_file_and_in_a_folder(spark, sf, tmp_path):
+    """Tables that several tasks wrote are folders; their streams hold the same rows."""
+    spark.range(100).selectExpr("id AS conv_id", "id % 3 AS turn", "'user' AS role", "concat('t', id) AS text").repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "many" / "other.parquet"))
+    whole = spark.read.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    (tmp_path / "one").mkdir()
+    whole.toPandas().to_parquet(tmp_path / "one" / "conversations.parquet")
+    for folder in ("many", "one"):
+        assert QUERIES["stream_ingest"](spark, str(tmp_path / folder)).count() == 100

@@ -13,7 +13,7 @@ from trajmill.streaming import cycles, ingest, jobs, streams as T
 
 def _events(spark, sf):
     schema = V.table(spark, sf, "events").schema
-    return T.read_files(spark, sf, schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return T.read_table(spark, f"{sf}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(
@@ -22,7 +22,7 @@ def _events(spark, sf):
 )
 def _(spark, sf):
     schema = V.conversations(spark, sf).schema
-    landed = T.append_to_table(T.read_files(spark, sf, schema, pattern="conversations.parquet"), "ingested")
+    landed = T.append_to_table(T.read_table(spark, f"{sf}/conversations.parquet", schema), "ingested")
     return landed.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

@@ -24,6 +24,15 @@ def read_files(
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType, **options: object) -> DataFrame:
+    """A stream of a table that is one file or a folder of files."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        return read_files(spark, path, schema, **options)
+    folder, name = path.rstrip("/").rsplit("/", 1)  # a stream takes folders only
+    return read_files(spark, folder, schema, pattern=name, **options)
+
+
 def append_to_table(stream: DataFrame, name: str, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Process what is there and return the appended table (exactly-once file sink).
 
