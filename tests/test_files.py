@@ -169,3 +169,18 @@ def test_shard_that_changed_after_its_commit(spark, tmp_path):
 @pytest.mark.parametrize("name", ["PRETOKEN_PATTERN", "LOG_LINE_PATTERN", "SLICE_PATTERN"])
 def test_patterns_compile_in_the_jvm(spark, name):
     spark.range(1).select(F.lit("x").rlike(getattr(C, name))).collect()
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    cores, folders = spark.sparkContext.defaultParallelism, 5 * spark.sparkContext.defaultParallelism + 33
+    for i in range(folders):
+        put(tmp_path, f"{i}/{i}.traj.json", {"instance_id": f"a__{i}"})
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    rows = R.read_trajectory_files(spark, str(tmp_path))
+    spark.sparkContext.setJobGroup("reading", "reading")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4 * cores and spark.conf.get(name) == before
+    assert rows.select("instance_id").distinct().count() == folders

@@ -32,10 +32,12 @@ def write_documents(df: DataFrame, root: str) -> str:
             store, base = fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
         else:
             store, base = fs.FileSystem.from_uri(root)
+        made = None
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 target = f"{base}/{path}"
-                store.create_dir(os.path.dirname(target), recursive=True)
+                if os.path.dirname(target) != made:  # files of one folder mostly follow each other
+                    store.create_dir(made := os.path.dirname(target), recursive=True)
                 with store.open_output_stream(target) as out:
                     out.write(content.encode("utf-8"))
             yield pa.RecordBatch.from_arrays([batch.column("path")], ["path"])

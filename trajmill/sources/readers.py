@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trajmill import constants as C, schemas, scratch
@@ -64,6 +67,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+@contextmanager
+def listing_tasks(spark: SparkSession, per_core: int = 4) -> Iterator[None]:
+    """Folders are listed by so many tasks a core inside; by itself Spark starts a task for nearly every folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), per_core * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_saved(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
     """A saved columnar dataset; its train split if it has splits."""
     inner = f"{path.rstrip('/')}/{split}"
@@ -89,13 +104,9 @@ def read_trajectory_files(spark: SparkSession, root: str, pattern: str = "*.traj
 
     A missing id is the file name without its extension; missing parts become empty.
     """
-    raw = (
-        spark.read.schema(schemas.TRAJECTORY_FILE)
-        .option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .json(root)
-    )
+    reader = spark.read.schema(schemas.TRAJECTORY_FILE).option("multiLine", True).option("recursiveFileLookup", True)
+    with listing_tasks(spark):
+        raw = reader.option("pathGlobFilter", pattern).json(root)
     stem = F.regexp_replace(F.regexp_replace("_metadata.file_name", r"\.json$", ""), r"\.traj$", "")
     no_messages = F.array().cast(schemas.MESSAGES)
     return raw.select(

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trajmill import schemas, scratch
+from trajmill.sources.readers import listing_tasks
 from trajmill.streaming.keyed_table import KeyedTable, upsert_stream
 from trajmill.streaming.streams import append_to_table
 
@@ -65,7 +66,8 @@ def ingest(files: DataFrame, parse: Callable[[Column], Column], name: str, path:
     path = path or scratch.new_path(spark, name)
     doc = parse(F.col("content"))
     rows = files.select("path", "mtime", doc.alias("doc"), F.when(doc.isNull(), F.col("content")).alias("content"), doc.isNull().alias("damaged"))
-    table = append_to_table(rows, name, path, partition_by=["damaged"])
+    with listing_tasks(spark):  # every batch lists the folders again
+        table = append_to_table(rows, name, path, partition_by=["damaged"])
     taken = taken_files(spark, f"{path}-checkpoint")
     empty = taken.join(table.select(_plain("path").alias("_file")), "_file", "left_anti").select("path", "mtime", F.lit(b"").alias("content"))
     bad = table.where("damaged").select("path", "mtime", "content").unionByName(empty)
