@@ -184,3 +184,20 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
     assert stages and max(s.numTasks for s in stages) <= 4 * cores and spark.conf.get(name) == before
     assert rows.select("instance_id").distinct().count() == folders
+
+
+def test_large_shards_are_cut(spark, tmp_path):
+    """A shard's files are as many as its bytes ask for, and rows stay whole."""
+    ids = F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.hash("id", i))
+    rows = spark.range(0, 8000, 1, 8).select("id", (F.col("id") % 2).cast("int").alias("shard"), ids.alias("input_ids"), F.array_repeat(F.lit(1), 50).alias("completion_mask"), F.array(F.lit(50)).alias("seq_lengths"))
+    name, path = "spark.sql.adaptive.advisoryPartitionSizeInBytes", str(tmp_path / "shards")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100kb")
+    try:
+        W.write_tokenized(rows, path, spread_by="id", files_per_shard=2)
+    finally:
+        spark.conf.set(name, before)
+    found = R.read_shards(spark, path)
+    assert sorted(r[0] for r in found.select("shard").distinct().collect()) == [0, 1]
+    assert found.exceptAll(rows.select(*found.columns)).isEmpty() and found.count() == 8000
+    assert min(len([f for f in os.listdir(f"{path}/shard={i}") if f.endswith(".parquet")]) for i in (0, 1)) > 2

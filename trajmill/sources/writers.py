@@ -21,14 +21,14 @@ def write_tokenized(
 ) -> None:
     """Token columns under one directory per shard.
 
-    With ``spread_by`` (an id column) the rows of a shard are gathered into that many files,
-    instead of one file per task and shard.
+    With ``spread_by`` (an id column) the rows of a shard are gathered into about that many files,
+    instead of one file per task and shard.  Large files are cut by the adaptive planner, so no
+    task reads more of a shard than its advisory size.
     """
     rows = df
     if spread_by:
         part = F.pmod(F.xxhash64(spread_by), F.lit(files_per_shard))
-        tasks = files_per_shard * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = df.repartition(tasks, "shard", part)
+        rows = df.withColumn("_part", part).hint("rebalance", "shard", "_part")
     rows.select("shard", "input_ids", "completion_mask", "seq_lengths").write.mode(mode).partitionBy("shard").parquet(path)
 
 
