@@ -3,6 +3,9 @@
 import json
 import os
 
+import pytest
+
+from trajmill.plans.catalog import QUERIES
 from trajmill.sources import readers
 from trajmill.streaming import ingest
 
@@ -75,3 +78,22 @@ def test_predictions_flow_into_the_newest_valid_one(spark, tmp_path):
     os.utime(source / "3/preds.json", (4e9, 4e9))
     _, best = process()
     assert best == {"a": "diff --git 3", "b": "diff --git 1", "d": "diff --git 3"}
+
+
+def test_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(6000).selectExpr("id AS event_id", "id AS user_id", "timestamp'2024-01-01' AS ts", "'view' AS event_type", "1.0 AS value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    asked = {}
+
+    class Stop(Exception):
+        pass
+
+    def take(spark, root, **options):
+        asked.update(options)
+        raise Stop
+
+    monkeypatch.setattr("trajmill.plans.staging.prediction_files", lambda spark, sf: "")
+    monkeypatch.setattr("trajmill.streaming.ingest.ingest_predictions", take)
+    with pytest.raises(Stop):
+        QUERIES["stream_merged_preds"](spark, str(tmp_path))
+    assert 720 / asked["files_per_batch"] <= 9  # 240 blocks and three attempts

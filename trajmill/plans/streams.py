@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajmill import scratch
+from trajmill.functions.numbers import whole_div
 from trajmill.operators import predictions
 from trajmill.plans import files as FILES, staging as S, views as V
 from trajmill.plans.registry import query
@@ -210,8 +211,12 @@ def _(spark, sf):
 
 @query("stream_merged_preds", FILES.MERGED_PREDS_SQL, "preds")
 def _(spark, sf):
-    """Prediction files as they land, and the newest valid prediction of each instance from what has landed."""
-    landed = ingest.ingest_predictions(spark, S.prediction_files(spark, sf), files_per_batch=20)
+    """Prediction files as they land, and the newest valid prediction of each instance from what has landed.
+
+    An eighth of the files per batch, 20 at least: a batch takes about a second whatever is in it.
+    """
+    files = V.preds(spark, sf).select(whole_div(F.col("instance_id"), 25), F.col("event_id") % 3).distinct().count()
+    landed = ingest.ingest_predictions(spark, S.prediction_files(spark, sf), files_per_batch=max(20, files // 8))
     rows = ingest.prediction_rows(ingest.landed_stream(landed))
     rows = rows.select("instance_id", "model_patch", F.regexp_extract("path", r"job_(\d+)/", 1).cast("bigint").alias("file"))
     merged = ingest.merge_newest(predictions.valid_predictions(rows), ["instance_id"], ["file"], "merged-predictions")
