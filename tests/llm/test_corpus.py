@@ -296,6 +296,34 @@ def test_recall_up_to_the_edit_limit_against_all_alignments(spark, sf):
     assert len(found & limit) >= 0.85 * len(limit)
 
 
+def test_every_item_within_the_limit_is_found_without_shared_words():
+    """Edits in nearly every word, up to the limit: no three words are left to search by."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeinorst"), size=rng.integers(2, 8))) for _ in range(300)]
+    items = [(i, " ".join(rng.choice(words, size=n))) for i, n in enumerate([5, 5, 6, 7, 9, 12, 20, 31, 40, 60] * 2)]
+    items.append((20, "один два три четыре пять шесть"))
+    texts = {-1: "", -2: None, -3: "a"}
+    for number in range(210):
+        item = items[number % 21][1]
+        limit, edited = int(decontaminate.EDITS * len(item)), list(item)
+        for at in sorted(rng.choice(len(item), size=limit, replace=False).tolist(), reverse=True):  # at most the limit
+            edited[at] = ["", "x" + edited[at], "q"][rng.integers(0, 3)]
+        before, after = (" ".join(rng.choice(words, size=n)) for n in rng.integers(0, 30, size=2))
+        texts[number] = f"{before} {''.join(edited)} {after}"
+    finder = decontaminate.Finder(items, decontaminate.EDITS, decontaminate.RECALL)
+    rows = [r for row in texts.items() for r in finder(row)] + list(finder.rest())
+    wanted = {}
+    for number, text in texts.items():
+        for item, own in items:
+            distance, _ = decontaminate.edit_distance_within(own, decontaminate.normalise(text))
+            if distance <= int(decontaminate.EDITS * len(own)):
+                wanted[number, item] = distance
+    assert len(wanted) >= 200
+    assert {(r[0], r[1]): r[2] for r in rows} == wanted
+    for number, item, distance, _, start, end in rows:
+        assert decontaminate.edit_distance_within(items[item][1], decontaminate.normalise(texts[number])[:end])[0] == distance
+
+
 def test_decontamination_of_odd_rows(spark):
     items = documents(spark, {1: PROSE, 2: None, 3: "", 4: "too short"}).select(F.col("doc_id").alias("item_id"), "text")
     found = decontaminate.find_leaks(odd(spark), items).collect()

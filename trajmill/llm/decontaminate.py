@@ -1,9 +1,12 @@
 """Finding benchmark items in documents, also when they were edited.
 
-* **Windows.**  Documents that share three words of an item in one of ``PATTERNS`` (a run, or with
-  up to three words between them that may be edited) get windows of the item's length around them,
-  at the offsets the words have in the item.  An item with fewer than a third of its words edited
-  always has such words.
+* **Seeds.**  An item is cut into pieces, so many that a stretch within the limit holds one with one
+  edit at most.  Two or three pieces are a part, and two or three parts a group; that piece can be
+  chosen so that its part and its group have fewer edits than two a piece.  All strings within one
+  edit of a piece are in a table of hashes; each text is looked up in it at every character, and
+  the part and then the group are aligned around what is found.  No pair within the limit is
+  without a seed.
+* **Windows.**  Windows of the item's length are laid at the seeds.
 * **CGK embedding.**  Windows and items become strings of bytes by a random walk: at each step the
   current character is written, and random bits of the step and character decide whether to go on
   to the next one.  The walks of similar strings meet again soon after an edit, so a small edit
@@ -14,7 +17,8 @@
   up to the limit have, which is measured on the items themselves; it has no upper limit.
 * **Verification.**  Candidates are aligned exactly (bit-parallel edit distance of the item against
   the document's part; parts that overlap are one), and reported if the distance is at most
-  ``EDITS`` of the item's length.
+  ``EDITS`` of the item's length.  The seeds of pairs that bit sampling has not found are aligned
+  afterwards, so its recall decides on no pair.
 
 Items are read in blocks of bounded size, each against all documents.
 """
@@ -24,7 +28,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import combinations, count, repeat
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -33,20 +37,26 @@ from trajmill import scratch
 from trajmill.llm.arrow import map_rows
 from trajmill.operators.spread import broadcast_if_small
 
-#: Places of the second and third shared word behind the first.
-PATTERNS = tuple(combinations(range(1, 6), 2))
+#: Characters of a piece at most; six of them, a group, fit into a machine word, and three, a part, into half of one.
+PIECE = 10
+#: Seeds whose diagonals differ by less are one.
+DIAGONALS = 4
+#: Characters between texts that are searched together, more than a seed's place can be wrong by.
+GAP = 16
 EDITS = 0.2
 SAMPLED = 2
 RECALL = 0.99
 LEAST_ITEM_WORDS = 5
-#: Characters of items that are sent to the tasks at once.
-BLOCK_CHARS = 4 << 20
+#: Characters of items that are sent to the tasks at once; a task holds about 600 bytes for each.
+BLOCK_CHARS = 128 << 10
 _WORD = re.compile(r"[^\W_]+")
 _MODEL_EDITS = 200
-#: Windows and characters of texts that wait for each other, and windows that are embedded together.
-WINDOWS = 16384
-WAITING_CHARS = 16 << 20
+_BIT = np.uint8(1) << np.arange(8, dtype=np.uint8)
+#: Characters of texts that are searched together, and windows that are embedded together.
+TOGETHER = 1 << 18
 EMBEDDED = 1024
+#: Groups that are aligned together.
+ALIGNED = 1 << 14
 #: Fewer alignments than this are done one by one.
 FEW = 48
 
@@ -211,6 +221,161 @@ def _columns(pairs: list[tuple[str, str]], blocks: int, letters: np.ndarray) ->
     return list(zip(best.tolist(), end.tolist(), strict=True))
 
 
+class Seeds:
+    """Where parts of items occur in texts with few edits."""
+
+    _BASE = 0x9E3779B97F4A7C15
+    _LOW = np.uint64((1 << 20) - 1)  # of a key: the piece; above it: the hash
+
+    def __init__(self, items: list[str], edits: float) -> None:
+        points = [_points(item) for item in items]
+        letters = np.unique(np.concatenate(points))
+        self.classes = np.zeros(int(letters[-1]) + 2, dtype=np.uint16)  # 0 is in no item
+        self.classes[letters] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        pieces, parts, groups = [], [], []  # item, begin, length, edits and the number one level up
+        for index, item in enumerate(items):
+            number = min(max(int(edits * len(item)) // 2 + 1, -(-len(item) // PIECE)), len(item))
+            bounds = [len(item) * at // number for at in range(number + 1)]
+            # Edits and one, summed up over all pieces, parts or groups, are more than the edits of the item.
+            row = lambda a, b, above: (index, bounds[a], bounds[b] - bounds[a], 2 * (b - a) - 1, above)  # noqa: B023, E731
+            for first, last in _cut(0, number, -(-number // 6)):
+                for begin, end in _cut(first, last, max(1, (last - first) // 2)):
+                    pieces += [row(at, at + 1, len(parts)) for at in range(begin, end)]
+                    parts.append(row(begin, end, len(groups)))
+                groups.append(row(first, last, 0))
+        self.pieces = _Level(pieces)
+        self.levels = [_Level(parts, points, self.classes, self.width, np.uint32), _Level(groups, points, self.classes, self.width, np.uint64)]
+        coded = [self.classes[p].astype(np.uint64) + np.uint64(1) for p in points]
+        self.powers, self.inverses = self._powers(PIECE + 2)
+        found: dict[int, list[np.ndarray]] = defaultdict(list)  # by the length of the strings
+        for length in np.unique(self.pieces.lengths).tolist():
+            numbers = np.flatnonzero(self.pieces.lengths == length)
+            text = np.stack([coded[pieces[i][0]][pieces[i][1] : pieces[i][1] + length] for i in numbers.tolist()])
+            for change, hashes in self._near(text):
+                found[length + change].append(((hashes & ~self._LOW) | numbers.astype(np.uint64)[:, None]).ravel())
+        self.tables = {size: _Table(np.concatenate(found.pop(size)), self._LOW) for size in sorted(found)}
+
+    def _powers(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse, modulo 2^64."""
+        powers, inverses = np.full(number, self._BASE, dtype=np.uint64), np.full(number, pow(self._BASE, -1, 1 << 64), dtype=np.uint64)
+        powers[0] = inverses[0] = 1
+        return np.cumprod(powers, dtype=np.uint64), np.cumprod(inverses, dtype=np.uint64)
+
+    def _near(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Change of length and hashes of all strings within one edit of each row; a letter before the first or after the last is left away."""
+        n, length = text.shape
+        base, back, power = np.uint64(self._BASE), self.inverses[1], self.powers
+        before = np.zeros((n, length + 1), dtype=np.uint64)
+        np.cumsum(text * power[:length], axis=1, out=before[:, 1:])
+        whole = before[:, -1:]
+        yield -1, before[:, :-1] + (whole - before[:, 1:]) * back  # a letter less
+        for at in range(length):
+            letters = np.arange(1, self.width + 1, dtype=np.uint64) * power[at]
+            yield 0, (whole - text[:, at : at + 1] * power[at]) + letters  # another letter
+            if at:
+                yield 1, before[:, at : at + 1] + (whole - before[:, at : at + 1]) * base + letters  # a letter more
+
+    def __call__(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, about where it would begin (at most ``DIAGONALS`` later) and about a place inside, of each seed."""
+        n = len(points)
+        classes = self.classes[np.minimum(points, len(self.classes) - 1)]
+        if n > len(self.powers):
+            self.powers, self.inverses = self._powers(n)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((classes + np.uint64(1)) * self.powers[:n], out=sums[1:])
+        keys = []
+        for size, table in self.tables.items():
+            if size <= n:
+                last = n - size + 1
+                place, piece = table.find((sums[size:] - sums[:last]) * self.inverses[:last] if last > 1 else sums[-1:] - sums[:1])
+                keys.append(self.pieces.above[piece] << 40 | (place - self.pieces.begins[piece] + (1 << 36)) // DIAGONALS)
+        margin = max(level.reach for level in self.levels)
+        padded = np.pad(classes, margin)
+        key = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+        for level in self.levels:
+            key.sort()
+            key = key[np.append(True, key[1:] != key[:-1])[: len(key)]]
+            number, begin = key >> 40, (key & ((1 << 40) - 1)) * DIAGONALS - (1 << 36)
+            near = level.near(padded, number, begin + margin)
+            number, begin = number[near], begin[near]
+            key = level.above[number] << 40 | (begin + (1 << 36)) // DIAGONALS
+        return level.items[number], begin, begin + level.begins[number] + level.lengths[number] // 2
+
+
+class _Table:
+    """Hashes and, in their low bits, the numbers of the pieces that they are made of."""
+
+    def __init__(self, keys: np.ndarray, low: np.uint64) -> None:
+        keys.sort()
+        self.low, self.keys = low, keys[np.append(True, keys[1:] != keys[:-1])]
+        self.shift = np.uint64(64 - max(16, (16 * len(self.keys)).bit_length()))
+        place = self.keys >> self.shift
+        byte, bit = place >> np.uint64(3), _BIT[place & np.uint64(7)]
+        first = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+        self.sieve = np.zeros(1 << (61 - int(self.shift)), dtype=np.uint8)
+        self.sieve[byte[first]] = np.bitwise_or.reduceat(bit, first)
+        self.coarse = self.shift + np.uint64(4)  # about one key in each range of hashes
+        counts = np.bincount((self.keys >> self.coarse).astype(np.int64), minlength=1 << (64 - int(self.coarse)))
+        self.firsts = np.append(0, np.cumsum(counts)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` and the pieces with that hash."""
+        slot = (hashes >> self.shift).view(np.int64)
+        place = np.flatnonzero(self.sieve.take(slot >> 3, mode="clip") & _BIT.take(slot & 7, mode="clip"))
+        value = hashes.take(place) & ~self.low
+        slot = (value >> self.coarse).view(np.int64)
+        low = self.firsts.take(slot)
+        sizes = self.firsts.take(slot + 1) - low
+        of = np.repeat(np.arange(len(place)), sizes)
+        keys = self.keys.take(np.arange(len(of)) + np.repeat(low - np.cumsum(sizes) + sizes, sizes))
+        hit = np.flatnonzero((keys ^ value.take(of)) <= self.low)
+        return place[of[hit]], (keys[hit] & self.low).astype(np.int64)
+
+
+class _Level:
+    """Stretches of items of a machine word of characters, with the edits that each may have."""
+
+    def __init__(self, rows: list[tuple], points: list[np.ndarray] | None = None, classes: np.ndarray | None = None, width: int = 0, word: type = np.uint64) -> None:
+        self.items, self.begins, self.lengths, self.edits, self.above = np.array(rows).T
+        self.spans = self.lengths + 2 * self.edits + DIAGONALS
+        self.reach = int((self.begins + self.spans).max())
+        self.width, self.word = width, word
+        self.equal = np.zeros((len(rows), width), dtype=word)
+        for row, (item, begin, length, _, _) in enumerate(rows if width else ()):
+            np.bitwise_or.at(self.equal[row], classes[points[item][begin : begin + length]], word(1) << np.arange(length, dtype=word))
+        self.equal = self.equal.ravel()
+
+    def near(self, padded: np.ndarray, numbers: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Which stretches occur within their edits in a text, if their item would begin there or up to ``DIAGONALS`` later."""
+        one, out, word = self.word(1), [], self.word
+        for at in range(0, len(numbers), ALIGNED):
+            own = numbers[at : at + ALIGNED]
+            spans = self.spans[own]
+            place = np.clip(begins[at : at + ALIGNED] + self.begins[own] - self.edits[own], 0, len(padded) - int(spans.max()))
+            row, last = own * self.width, (self.lengths[own] - 1).astype(word)
+            plus, minus = np.full(len(own), ~word(0)), np.zeros(len(own), dtype=word)
+            distance = self.lengths[own].astype(np.int32)
+            best = distance.copy()
+            for column in range(int(spans.max())):
+                eq = self.equal.take(row + padded.take(place + column, mode="clip"), mode="clip")
+                horizontal = (((eq & plus) + plus) ^ plus) | eq
+                ups, downs = minus | ~(horizontal | plus), plus & horizontal
+                distance += ((ups >> last) & one).astype(np.int32)
+                distance -= ((downs >> last) & one).astype(np.int32)
+                np.minimum(best, distance, out=best)
+                ups, downs, vertical = ups << one, downs << one, eq | minus
+                plus, minus = downs | ~(vertical | ups), ups & vertical
+            out.append(at + np.flatnonzero(best <= self.edits[own]))
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
+def _cut(begin: int, end: int, number: int) -> Iterator[tuple[int, int]]:
+    """So many parts of about one length."""
+    bounds = [begin + (end - begin) * at // number for at in range(number + 1)]
+    return zip(bounds, bounds[1:], strict=False)
+
+
 class Finder:
     """Looks for a block of items in texts."""
 
@@ -220,82 +385,62 @@ class Finder:
         encoded = [b for _, _, b in self.items]
         self.count = repetitions(encoded, edits, recall)
         self.embedding = Embedding(max(map(len, encoded)), self.count)
-        self.words: dict[str, int] = {}
-        codes, owners, offsets = [], [], []
-        for index, (_, text, _) in enumerate(self.items):
-            words = text.split(" ")
-            ids = np.array([self.words.setdefault(w, len(self.words)) for w in words])
-            starts = np.cumsum([0] + [len(w) + 1 for w in words])
-            for pattern in range(len(PATTERNS)):
-                firsts, found = self._codes(ids, np.ones(len(ids), dtype=bool), pattern)
-                codes.append(found)
-                owners.append(np.full(len(found), index))
-                offsets.append(starts[firsts])
-        order = np.argsort(np.concatenate(codes), kind="stable")
-        self.codes, self.owners, self.offsets = (np.concatenate(x)[order] for x in (codes, owners, offsets))
+        self.seeds = Seeds([text for _, text in items], edits)
         self.lengths = np.array([len(b) for b in encoded])
         values = self._buckets(encoded, self.lengths).ravel()
         order = np.argsort(values, kind="stable")
         self.buckets, self.members = values[order], order // self.count
-        self.code_sieve, self.bucket_sieve = _sieve(self.codes), _sieve(self.buckets)
+        self.bucket_sieve = _sieve(self.buckets)
         self.waiting: list[tuple] = []
-        self.size = self.chars = 0
+        self.chars = 0
 
     def __call__(self, row: tuple) -> Iterator[tuple]:
         """Id, item number, distance, item length, start and end in the normalised text; the best place of each item.
 
-        Results of several texts come together, when enough windows wait to be embedded at once.
+        Results of several texts come together, when there is enough text to search.
         """
-        words = _WORD.findall((row[1] or "").lower())
-        ids = np.array(list(map(self.words.get, words, repeat(-1))), dtype=np.int64)
-        known = ids >= 0
-        firsts, codes = map(np.concatenate, zip(*(self._codes(ids, known, pattern) for pattern in range(len(PATTERNS))), strict=True))
-        hits, seed = _equal(self.codes, self.code_sieve, codes)
-        if not len(seed):
-            return
-        place = firsts[hits]
-        starts = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
-        at = np.maximum(starts[place] - self.offsets[seed], 0)
-        # The word start next to it: edits before the shared words shift the item by a few characters.
-        after = np.searchsorted(starts, at)
-        before = np.maximum(after - 1, 0)
-        at = np.where(at - starts[before] <= starts[after] - at, starts[before], starts[after])
-        windows = np.unique(np.stack([self.lengths[self.owners[seed]], at], axis=1), axis=0)
-        self.waiting.append((row[0], " ".join(words), windows))
-        self.size += len(windows)
-        self.chars += len(self.waiting[-1][1])
-        if self.size >= WINDOWS or self.chars >= WAITING_CHARS:
+        self.waiting.append((row[0], normalise(row[1])))
+        self.chars += len(self.waiting[-1][1]) + GAP
+        if self.chars >= TOGETHER:
             yield from self.rest()
 
     def rest(self) -> Iterator[tuple]:
-        texts, self.waiting, self.size, self.chars = self.waiting, [], 0, 0
-        windows = sorted((length, n, start) for n, (_, _, found) in enumerate(texts) for length, start in found.tolist())
-        begins: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at in range(0, len(windows), EMBEDDED):  # of similar length
-            part = windows[at : at + EMBEDDED]
-            strings = [texts[n][1][start : start + length].encode()[:length] for length, n, start in part]
-            for window, index in self._candidates(strings, np.array([w[0] for w in part])):
-                _, n, start = part[window]
-                begins[n, index].append(start)
-        places = [(n, index, *place) for (n, index), found in sorted(begins.items()) for place in self._parts(index, sorted(found))]
-        limits = [int(self.edits * len(self.items[index][1])) for _, index, _, _ in places]
-        pairs = [(self.items[index][1], texts[n][1][first:end], limit) for (n, index, first, end), limit in zip(places, limits, strict=True)]
+        texts, self.waiting, self.chars = self.waiting, [], 0
+        if not texts:
+            return
+        starts = np.cumsum([0] + [len(text) + GAP for _, text in texts])
+        found, begin, place = self.seeds(_points(("\n" * GAP).join(text for _, text in texts)))
+        own = np.maximum(np.searchsorted(starts - GAP // 2, place, side="right") - 1, 0)
+        seeds = sorted(zip(own.tolist(), found.tolist(), (begin - starts[own]).tolist(), strict=True))
+        proposed = self._proposed(texts, seeds)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for (n, index, first, _), limit, (distance, end) in zip(places, limits, edit_distances_within(pairs), strict=True):
-            if distance <= limit and distance < best.get((n, index), (limit + 1,))[0]:
-                best[n, index] = distance, max(first, first + end - len(self.items[index][1])), first + end
-        for (n, index), (distance, start, end) in best.items():
+        for chosen in ([s for s in seeds if s[:2] in proposed], [s for s in seeds if s[:2] not in proposed]):
+            begins: dict[tuple[int, int], list[int]] = defaultdict(list)
+            for n, index, at in chosen:
+                begins[n, index] += at, at + DIAGONALS
+            places = [(n, index, *part) for (n, index), each in begins.items() for part in self._parts(index, each)]
+            limits = [int(self.edits * len(self.items[index][1])) for _, index, _, _ in places]
+            pairs = [(self.items[index][1], texts[n][1][first:end], limit) for (n, index, first, end), limit in zip(places, limits, strict=True)]
+            for (n, index, first, _), limit, (distance, end) in zip(places, limits, edit_distances_within(pairs), strict=True):
+                if distance <= limit and distance < best.get((n, index), (limit + 1,))[0]:
+                    best[n, index] = distance, max(first, first + end - len(self.items[index][1])), first + end
+        for (n, index), (distance, start, end) in sorted(best.items()):
             yield texts[n][0], self.items[index][0], distance, len(self.items[index][1]), start, end
 
-    @staticmethod
-    def _codes(ids: np.ndarray, known: np.ndarray, pattern: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where known words stand in a pattern, and a hash of the three words and the pattern."""
-        second, third = PATTERNS[pattern]
-        n = max(0, len(ids) - third)
-        first = np.flatnonzero(known[:n] & known[second : second + n] & known[third : third + n])
-        mixed = (ids[first] * 0x9E3779B97F4A7 + ids[first + second]) * 0x2545F4914F6CD + ids[first + third]
-        return first, mixed * len(PATTERNS) + pattern
+    def _proposed(self, texts: list[tuple], seeds: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
+        """Pairs of a text and an item that bit sampling finds in windows at the seeds."""
+        windows = set()
+        for n, index, at in seeds:
+            text, at = texts[n][1], max(0, at)
+            before, after = text.rfind(" ", 0, at) + 1, text.find(" ", at) + 1
+            start = after if after and after - at < at - before else before  # the next word's start: edits shift it by a few characters
+            windows.add((int(self.lengths[index]), n, start))
+        out, ordered = set(), sorted(windows)
+        for at in range(0, len(ordered), EMBEDDED):  # of similar length
+            part = ordered[at : at + EMBEDDED]
+            strings = [texts[n][1][start : start + length].encode()[:length] for length, n, start in part]
+            out.update((part[window][1], index) for window, index in self._candidates(strings, np.array([w[0] for w in part])))
+        return out
 
     def _buckets(self, strings: list[bytes], lengths: np.ndarray) -> np.ndarray:
         """Per string and repetition the bucket, which also says the length and the repetition."""
