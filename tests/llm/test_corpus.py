@@ -7,14 +7,15 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 import corpus_pipeline
 from tests.llm.fixtures import PROSE, ROWS, documents, empty, odd
-from trajmill.llm import components, decontaminate, linededup, simhash, suffix_lm
-from trajmill.llm.queries import ORACLES, QUERIES
+from trajmill.llm import arrow, components, decontaminate, linededup, packing, simhash, suffix_lm
+from trajmill.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 
 @pytest.mark.parametrize("name", sorted(n for n in ORACLES if n != "op12_source_divergence"))  # that one is in test_divergence
@@ -324,6 +325,31 @@ def test_every_item_within_the_limit_is_found_without_shared_words():
         assert decontaminate.edit_distance_within(items[item][1], decontaminate.normalise(texts[number])[:end])[0] == distance
 
 
+def test_workers_give_back_what_a_task_has_freed(spark, monkeypatch):
+    """The next stages share an executor with the workers of the one before."""
+
+    class Frame:
+        schema = T.StructType.fromDDL("doc_id long, text string")
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a few words", None]})
+    for module, run in (
+        (arrow, arrow.map_rows(Frame(), lambda: lambda row: iter([row]), Frame.schema)),
+        (packing, packing.pack(Frame(), tokenizer_path())),
+    ):
+        called = []
+        monkeypatch.setattr(module, "give_back", lambda called=called: called.append(1))
+        made = run(iter([batch]))
+        rows = sum(b.num_rows for b in made)
+        assert rows >= 2 and called == [1]
+    assert list(arrow.values(pa.array(["a", None] * 700).slice(1))) == [None, "a"] * 699 + [None]
+
+
 def test_decontamination_of_odd_rows(spark):
     items = documents(spark, {1: PROSE, 2: None, 3: "", 4: "too short"}).select(F.col("doc_id").alias("item_id"), "text")
     found = decontaminate.find_leaks(odd(spark), items).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +16,15 @@ OUT_BYTES = 8 << 20
 IN_ROWS = 512
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system; its worker lives on beside the next stages, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim:
+        trim(0)
+
+
 class Out:
     """Collects rows and hands them on as Arrow batches."""
 
@@ -41,6 +52,12 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, IN_ROWS)
 
 
+def values(column: pa.Array) -> Iterator[object]:
+    """The values one by one; only so many of them are Python objects at once as ``parts`` has rows."""
+    for at in range(0, len(column), IN_ROWS):
+        yield from column.slice(at, IN_ROWS).to_pylist()
+
+
 def text_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[object, str]]]:
     """Rows ``(id, text)`` in lists of about ``size`` characters; a null text is empty."""
     rows, held = [], 0
@@ -81,5 +98,7 @@ def map_rows(df: DataFrame, start: Callable[[], Callable[[tuple], Iterator[tuple
             if out.full():
                 yield out.batch()
         yield out.batch()
+        del each, out
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from trajmill.llm.arrow import Out, text_runs
+from trajmill.llm.arrow import Out, give_back, text_runs
 
 CAPACITY = 1024
 END_ID = 0
@@ -241,5 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             if out.full():
                 yield out.batch()
         yield out.batch()
+        del encode, worker, out
+        give_back()
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, schema)

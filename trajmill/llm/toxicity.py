@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trajmill import scratch
-from trajmill.llm.arrow import map_rows
+from trajmill.llm.arrow import map_rows, values
 
 #: At most so many labelled rows are read for the fit, those with the smallest hashes.
 FIT_ROWS = 20_000
@@ -179,7 +179,7 @@ def _feature_column(lexicon: Lexicon):
     @F.arrow_udf(kind)
     def features(texts: pa.Array) -> pa.Array:
         found = lexicon.matcher().features
-        pairs = [found(t) for t in texts.to_pylist()]
+        pairs = [found(t) for t in values(texts)]
         return pa.StructArray.from_arrays([pa.array([a for a, _ in pairs], pa.float64()), pa.array([b for _, b in pairs], pa.int64())], ["total", "words"])
 
     return features
@@ -191,7 +191,7 @@ def toxicity(lexicon: Lexicon):
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
         found = lexicon.matcher().features
-        pairs = np.array([found(t) for t in texts.to_pylist()], dtype=float).reshape(-1, 2)
+        pairs = np.array([found(t) for t in values(texts)], dtype=float).reshape(-1, 2)
         return pa.array(_curve(lexicon.curve, pairs[:, 0], pairs[:, 1]), pa.float64())
 
     return score
