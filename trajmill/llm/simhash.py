@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from trajmill import scratch
-from trajmill.llm.arrow import map_rows
+from trajmill.llm.arrow import map_rows, values
 from trajmill.llm.components import components
 from trajmill.operators.spread import broadcast_if_small
 
@@ -213,7 +213,7 @@ def _jaccard(words: int):
     @F.arrow_udf(T.DoubleType())
     def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
         out, last, seen = [], None, None
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        for x, y in zip(values(a), values(b), strict=True):
             if x != last:
                 last, seen = x, np.unique(shingle_hashes(x, words))
             other = np.unique(shingle_hashes(y, words))
