@@ -92,6 +92,25 @@ def test_encoder_forgets(monkeypatch):
     assert len(encode.new) < 20 and not any(len(w) > bestfit.LONGEST_HELD for w in encode.new)
 
 
+def test_encoder_looks_a_word_up_once_for_all_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, word):
+            Counted.asked += 1
+            return super().get(word)
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    encode = bestfit.WordEncoder(WORDS)
+    encode.new = Counted()
+    texts = ["the same words and the others "] * 50
+    assert encode(texts) == encode_plainly(WORDS, texts)
+    assert Counted.asked <= 12
+
+
 def check_packing(rows, want, capacity):
     """``want`` counts the documents' ids."""
     documents, sequences = defaultdict(list), defaultdict(list)

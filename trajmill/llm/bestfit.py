@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,7 +43,9 @@ _ID_BYTES = 4
 
 # Words of these characters are normalised and cut here as the tokenizer does it; all others are left to it.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
+#: Stands between the tokens of two words; no id is that large.
+_CUT = b"\xff\xff\xff\xff"
 #: The tokenizer's own definition; one with another definition encodes whole texts.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMAL = ["NFC", "Replace", "Lowercase"]
@@ -79,58 +82,77 @@ def _tokenizers(path: str):
 class WordEncoder:
     """Token ids as little-endian 32-bit bytes.
 
-    No token reaches over white space, so each word is encoded once while it is remembered.  Words
-    are held in two generations, and what they are made of in a table of its own; all go with
-    the task.  Very long words are not remembered.
+    No token reaches over white space, so each word is encoded once while it is remembered, and
+    looked up once for the texts that are encoded together.  Words are held in two generations, and
+    what they are made of in a table of its own; all go with the task.  Very long words are not
+    remembered.
     """
 
     def __init__(self, path: str) -> None:
         self.whole, self.bare, self.ends, self.mark = _tokenizers(path)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-        self.long: list[str] = []
+        self.tokens: dict[str, bytes] = {"\n": _CUT}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Encode texts together; the more of them, the fewer calls of the tokenizer."""
         if self.bare is None:
             return [self._ids(self.whole, text).tobytes() for text in texts]
-        words = [self._words(text) for text in texts]
-        if len(self.new) > WORDS_HELD:
-            self.old, self.new = self.new, {}
-        if len(self.tokens) > WORDS_HELD:
-            self.tokens.clear()
-        self._fill([word for word in set().union(*words) if word not in self.new])
-        done = [b"".join(map(self.new.__getitem__, w)) for w in words]
-        for word in self.long:
-            del self.new[word]
-        return done
+        words, ends = self._words(texts)
+        words = words.dictionary_encode()
+        known = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        of, sizes = words.indices.to_numpy(), np.fromiter(map(len, known), np.int64, len(known)) // _ID_BYTES
+        ids, firsts, lengths = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes, sizes[of]
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        data = ids[np.repeat(firsts[of] - before[:-1], lengths) + np.arange(before[-1])].tobytes()
+        cuts = (before[ends] * _ID_BYTES).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     @staticmethod
-    def _words(text: str) -> list[str]:
-        if any(map(text.__contains__, "\x1c\x1d\x1e\x1f")):  # white space to Python only
-            return [word for word in re.split(f"[{SPACE}]+", text) if word]
-        return text.split()
+    def _words(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The words of all texts, some of them empty, and where each text ends."""
+        if any(c in text for text in texts for c in "\x1c\x1d\x1e\x1f"):  # white space to Python and Arrow only
+            split = pa.array([re.split(f"[{SPACE}]+", text) for text in texts], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        return split.values, split.offsets.to_numpy()[1:]
 
     @staticmethod
     def _ids(tokenizer, text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _fill(self, missing: list[str]) -> None:
-        plain, others = {}, []
-        for word in missing:
-            ids = self.old.get(word)
-            if ids is not None:
-                self.new[word] = ids
-            elif PLAIN.fullmatch(word):
-                plain[word] = TOKENS.findall(word.lower())
-            else:
-                others.append(word)
-        self._learn(list({token for tokens in plain.values() for token in tokens if token not in self.tokens}))
-        for word, tokens in plain.items():
-            self.new[word] = b"".join(map(self.tokens.__getitem__, tokens))
-        self.new.update(self._others(others))
-        self.long = [word for word in missing if len(word) > LONGEST_HELD]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self.new) > WORDS_HELD:
+            self.old, self.new = self.new, {}
+        if len(self.tokens) > WORDS_HELD:
+            self.tokens = {"\n": _CUT}
+        found = list(map(self.new.get, words))
+        gaps = [at for at, ids in enumerate(found) if ids is None]
+        if self.old:
+            for at in gaps:
+                found[at] = self.old.get(words[at])
+            self.new.update((words[at], found[at]) for at in gaps if found[at] is not None)
+            gaps = [at for at in gaps if found[at] is None]
+        plain = [at for at in gaps if PLAIN.fullmatch(words[at])]
+        for at, ids in zip(plain, self._plain([words[at] for at in plain]), strict=True):
+            found[at] = ids
+        others = [at for at in gaps if found[at] is None] if len(plain) < len(gaps) else []
+        made = self._others([words[at] for at in others])
+        for at in others:
+            found[at] = made[words[at]]
+        self.new.update((words[at], found[at]) for at in gaps if len(words[at]) <= LONGEST_HELD)
+        return found
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Encode words of plain characters by their tokens."""
+        if not words:
+            return []
+        tokens = TOKENS.findall("\n".join([*words, ""]).lower())
+        self._learn(list(set(tokens).difference(self.tokens)))
+        data = b"".join(map(self.tokens.__getitem__, tokens))
+        cuts = np.flatnonzero(np.frombuffer(data, "<u4") == np.frombuffer(_CUT, "<u4")) * _ID_BYTES
+        return [data[a:b] for a, b in zip([0, *(cuts[:-1] + _ID_BYTES).tolist()], cuts.tolist(), strict=True)]
 
     def _learn(self, tokens: list[str]) -> None:
         """Encode parts of plain words together; each ends with the only id that ends a word."""
