@@ -200,6 +200,28 @@ def test_texts_stay_with_a_group_while_a_link_may_be_unknown(spark):
     assert sorted(r.key for r in rest.collect()) == [2, 5, 6]
 
 
+def test_crowded_groups_are_not_paired_up(spark, monkeypatch):
+    """Texts that leave out parts of one text, most of them too far from each other to be linked, and edited copies of some."""
+    monkeypatch.setattr(simhash, "PAIRED", 8)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng, asked = random.Random(5), []
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(130)]
+    texts = {}
+    for i in range(120):
+        gone = set(rng.sample(range(13), 3))
+        words = [w for k, w in enumerate(base) if k // 10 not in gone]
+        texts[2 * i] = " ".join(words)
+        if i % 3 == 0:
+            texts[2 * i + 1] = " ".join([*words[:40], f"x{i}", *words[41:]])
+    verified = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *a: asked.append(pairs.distinct().count()) or verified(pairs, *a))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    links = [(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = {r.doc_id for r in simhash.without_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert kept == set(_roots(sorted(texts), links).values())
+    assert sum(asked) < len(texts) * (len(texts) - 1) / 4
+
+
 def test_repeats_do_not_part_near_copies(spark):
     rng, texts = random.Random(6), {}
     for i in range(30):

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trajmill import scratch
 from trajmill.llm.arrow import map_rows, values
@@ -41,8 +42,8 @@ FREE_BLOCKS = 3
 PIVOTS = 24
 #: Groups up to this size are paired up; larger ones take the linear way.
 PAIRED = 32
-#: In a group that stays larger, so many times more texts are compared with all others each round.
-MORE_LEADERS = 4
+#: Texts of a group that stays larger, which are held against as many others at once.
+BLOCK = 256
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -50,6 +51,8 @@ SIMILARITY = 0.8
 CLASSES = 128
 #: Equal samples that a pair at the threshold has on average; it has none about once in e to this power.
 EQUAL_SAMPLES = 12
+#: Counts by class beyond this are taken as this, which sets no pair further apart.
+MOST_COUNTED = 32767
 #: Texts of up to so many shingles are found by pairs of their least hashes, which misses none.
 SMALL = 40
 
@@ -206,7 +209,18 @@ class _Sketcher:
             sums = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
             sums ^= sample[order][starts] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(count)
             keys += sums.view(np.int64).tolist()
-        yield key, fp, len(distinct), counts.tolist(), keys
+        yield key, fp, len(distinct), np.minimum(counts, MOST_COUNTED).tolist(), keys
+
+
+class _Shingler:
+    """The hashes of the distinct shingles of a text."""
+
+    def __init__(self, words: int) -> None:
+        self.words = words
+
+    def __call__(self, row: tuple) -> Iterator[tuple]:
+        key, text = row
+        yield key, np.unique(shingle_hashes(text, self.words)).view(np.int64).tolist()
 
 
 def _jaccard(words: int):
@@ -228,64 +242,134 @@ def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """Links ``a, b`` between keys of ``docs`` (``key, text``; a text may occur in many rows) that are similar enough.
 
     Texts of fewer words than a shingle are compared as one sequence, texts without words are
-    all alike.  Texts that share a sketch with up to ``PAIRED`` others are all compared.  Larger
-    groups are resolved in rounds: all are compared with the text nearest to the bitwise majority
-    of the group and with as many others as the round asks for, ``MORE_LEADERS`` times as many
-    each time.  A text leaves a group when it was a leader, or when a leader shows that all texts
-    which are not yet connected to it are out of its reach: one less the similarity is a metric.
-    A group ends when all that are left in it are connected.  So the links connect what the
-    links of all pairs connect.
+    all alike.  All texts with a sketch are compared with the one of them that has the least key,
+    which connects most groups.  In the others, texts that are not connected yet are compared: all
+    of them where up to ``PAIRED`` texts share the sketch.  The texts of larger groups are grouped
+    anew by their rarest shingles, of which every pair at the threshold shares one, and these
+    groups are treated in the same way.  What is crowded still is compared with the text nearest to
+    the bitwise majority of the group, the leader.  A text leaves a group when it was the leader, or
+    when the leader shows that all texts which are not yet connected to it are out of its reach: one
+    less the similarity is a metric.  Those that are left are held against each other in blocks by
+    their counts of shingles.  So the links connect what the links of all pairs connect.
     """
     schema = T.StructType(
         [
             T.StructField("key", T.LongType()),
             T.StructField("fp", T.LongType()),
             T.StructField("n", T.IntegerType()),
-            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("counts", T.ArrayType(T.ShortType())),
             T.StructField("sketches", T.ArrayType(T.LongType())),
         ]
     )
     sketched = scratch.materialize(map_rows(docs.select("key", "text"), lambda: _Sketcher(words, threshold), schema), "sketches")
     facts = scratch.materialize(sketched.select("key", "fp", "n", "counts").dropDuplicates(["key"]), "sizes")
-    rows = sketched.select("key", F.explode("sketches").alias("sketch")).distinct()
-    shared = rows.groupBy("sketch").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).filter("size > 1")
-    shared = scratch.materialize(shared, "shared-sketches")
-    pairs = shared.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    members = scratch.materialize(rows.join(shared.filter("size > 2").select("sketch", "size"), "sketch"), "sketch-members")
-    links = _verified(pairs.unionByName(_within(members)).distinct(), facts, docs, words, threshold).filter(F.col("similarity") >= threshold).select("a", "b")
-    crowded, others = members.filter(F.col("size") > PAIRED).select("sketch", "key"), 1
-    roots = None
-    while not crowded.isEmpty():
+    links, roots, crowded = _resolved(_members(sketched), None, facts, docs, words, threshold)
+    if not crowded.isEmpty():
+        again = scratch.materialize(crowded.select("key").distinct(), "crowded-keys")
+        texts = docs.select("key", "text").join(broadcast_if_small(again), "key", "left_semi")
+        links, roots, crowded = _resolved(_members(scratch.materialize(_rarest(texts, words, threshold), "rarest-shingles")), links, facts, docs, words, threshold)
+    if not crowded.isEmpty():
         held = crowded.join(facts.select("key", "fp"), "key")
         held = scratch.materialize(_rooted(held, roots), "crowded")
-        leaders = scratch.materialize(_leaders(held, others), "leaders")
+        leaders = scratch.materialize(_leaders(held, 1), "leaders")
         led = held.select("sketch", "key").join(leaders.select("sketch", "leader"), "sketch").filter(F.col("key") != F.col("leader"))
         asked = led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
         # Two texts similar to each other, of which one is similar to a leader, have at least this similarity to it.
         met = _verified(asked, facts, docs, words, 2 * threshold - 1)
         links = scratch.materialize(links.unionByName(met.filter(F.col("similarity") >= threshold).select("a", "b")), "links-so-far")
         roots = scratch.materialize(components(links), "roots-so-far")
-        rest = _unsettled(held.select("sketch", "key"), leaders.select("sketch", "leader"), met, roots, threshold)
-        rest = scratch.materialize(_rooted(rest, roots), "unsettled")
-        sizes = rest.groupBy("sketch").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-        sizes = scratch.materialize(sizes.filter("low < high").select("sketch", "size"), "unsettled-sizes")
-        rest = scratch.materialize(rest.join(sizes, "sketch"), "unsettled-members")
-        fresh = _verified(_within(rest).distinct(), facts, docs, words, threshold)
-        links = links.unionByName(fresh.filter(F.col("similarity") >= threshold).select("a", "b"))
-        crowded, others = rest.filter(F.col("size") > PAIRED).select("sketch", "key"), others * MORE_LEADERS
+        rest = _unconnected(_unsettled(held.select("sketch", "key"), leaders.select("sketch", "leader"), met, roots, threshold), roots)
+        asked = _within(rest).unionByName(_near_in_blocks(rest.filter(F.col("size") > PAIRED), facts, threshold))
+        links = links.unionByName(_verified(asked.distinct(), facts, docs, words, threshold).select("a", "b"))
     return links
 
 
+def _rarest(texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """``key, sketches``: the shingles that occur in the fewest of the texts.
+
+    There are so many of them that those left over are fewer than two sets at the threshold share.
+    All sets take their shingles in one order, so such sets share one of those that are given.
+    """
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    hashed = scratch.materialize(map_rows(texts, lambda: _Shingler(words), schema).dropDuplicates(["key"]), "shingles")
+    rows = hashed.select("key", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    spread = rows.groupBy("hash").agg(F.count("*").alias("spread"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("spread", "hash"))
+    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    return rows.join(spread, "hash").withColumn("place", place).filter(F.col("place") <= most).select("key", F.array("hash").alias("sketches"))
+
+
+def _members(sketched: DataFrame) -> DataFrame:
+    """``sketch, key`` for the sketches that several texts have, with the least key of the sketch as ``low``."""
+    rows = sketched.select("key", F.explode("sketches").alias("sketch"))
+    shared = rows.groupBy("sketch").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("sketch", "low")
+    return scratch.materialize(rows.join(scratch.materialize(shared, "shared-sketches"), "sketch").distinct(), "sketch-members")
+
+
+def _resolved(members: DataFrame, links: DataFrame | None, facts: DataFrame, docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links so far, roots, and the ``sketch, key`` of groups of more than ``PAIRED`` texts that are not all connected."""
+    asked = members.filter("low < key").select(F.col("low").alias("a"), F.col("key").alias("b")).distinct()
+    if links is not None:
+        asked = asked.join(links, ["a", "b"], "left_anti")
+    met = _verified(asked, facts, docs, words, threshold).select("a", "b")
+    links = met if links is None else links.unionByName(met)
+    roots = scratch.materialize(components(links), "roots-of-low")
+    rest = _unconnected(members.select("sketch", "key"), roots)
+    links = links.unionByName(_verified(_within(rest).distinct(), facts, docs, words, threshold).select("a", "b"))
+    return links, roots, rest.filter(F.col("size") > PAIRED).select("sketch", "key")
+
+
+def _unconnected(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with roots and sizes, of groups that are not all connected."""
+    rest = scratch.materialize(_rooted(held, roots), "unsettled")
+    sizes = rest.groupBy("sketch").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = scratch.materialize(sizes.filter("low < high").select("sketch", "size"), "unsettled-sizes")
+    return scratch.materialize(rest.join(sizes, "sketch"), "unsettled-members")
+
+
 def _within(members: DataFrame) -> DataFrame:
-    """All pairs of the groups of up to ``PAIRED``; where roots are known, only those that are not connected."""
+    """All pairs of the groups of up to ``PAIRED`` that are not connected."""
     small = members.filter(F.col("size") <= PAIRED)
-    known = "root" in members.columns
-    root = F.col("root") if known else F.col("key")
-    left = small.select("sketch", F.col("key").alias("a"), root.alias("root_a"))
-    right = small.select("sketch", F.col("key").alias("b"), root.alias("root_b"))
+    left = small.select("sketch", F.col("key").alias("a"), F.col("root").alias("root_a"))
+    right = small.select("sketch", F.col("key").alias("b"), F.col("root").alias("root_b"))
     return left.join(right, "sketch").filter("a < b AND root_a <> root_b").select("a", "b")
 
 
+def _near_in_blocks(crowded: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: the pairs of each group that are not connected and that their counts do not rule out.
+
+    Groups are cut into blocks of about ``BLOCK`` texts, and two blocks at a time are compared; a
+    row holds two blocks, and no row is made for a pair that is ruled out.
+    """
+    held = crowded.join(facts.select("key", "n", "counts"), "key")
+    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK))
+    text = F.struct("key", "root", "n", "counts")
+    blocks = scratch.materialize(held.groupBy("sketch", block.alias("block")).agg(F.collect_list(text).alias("texts")), "blocks")
+    other = blocks.select("sketch", F.col("block").alias("other_block"), F.col("texts").alias("others"))
+    both = blocks.join(other, "sketch").filter("block <= other_block").select("texts", "others")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (keys, roots, n, counts), (keys_b, roots_b, n_b, counts_b) = (_columns(column[at].values) for column in batch.columns)
+                for i in range(len(keys)):
+                    apart = np.abs(counts_b - counts[i]).sum(axis=1)
+                    fits = (np.minimum(n_b, n[i]) >= (threshold - 1e-9) * np.maximum(n_b, n[i])) & (roots_b != roots[i])
+                    found = keys_b[fits & (apart <= ((1 - threshold) / (1 + threshold) + 1e-9) * (n_b + n[i]))]
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, keys[i])), pa.array(np.maximum(found, keys[i]))], schema=arrow)
+
+    return both.mapInArrow(near, schema).distinct()
+
+
+def _columns(texts: pa.StructArray) -> list[np.ndarray]:
+    """Keys, roots, numbers of shingles, and their counts by class as one row a text."""
+    key, root, n, counts = texts.flatten()
+    return [key.to_numpy(), root.to_numpy(), n.to_numpy(), counts.flatten().to_numpy().astype(np.int32).reshape(-1, CLASSES)]
+
+
 def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Adds the root of each key, which is the key itself where it has no link."""
     if roots is None:
@@ -324,7 +408,7 @@ def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, t
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(F.least("n_a", "n_b") >= F.lit(threshold - 1e-9) * F.greatest("n_a", "n_b"))
-    apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+    apart = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda total, x: total + x)
     both = both.filter(apart <= F.lit((1 - threshold) / (1 + threshold) + 1e-9) * (F.col("n_a") + F.col("n_b")))
     near = scratch.materialize(both.select("a", "b"), "near-pairs")
     ends = scratch.materialize(near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
