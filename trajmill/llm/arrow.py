@@ -7,13 +7,24 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 OUT_ROWS = 4096
 OUT_BYTES = 8 << 20
 IN_ROWS = 512
+#: Bytes of rows that a worker is sent at once.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send workers about ``BATCH_BYTES`` at once; Spark's own limits are 10,000 rows and 64 MB.
+
+    What is sent lies outside the executor's heap, and in the worker again.  A query is planned when its rows are
+    asked for, so the setting stays.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def give_back() -> None:

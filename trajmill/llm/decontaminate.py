@@ -55,6 +55,8 @@ _BIT = np.uint8(1) << np.arange(8, dtype=np.uint8)
 #: Characters of texts that are searched together, and windows that are embedded together.
 TOGETHER = 1 << 18
 EMBEDDED = 1024
+#: Hashes that are put into a table together.
+KEYS = 1 << 16
 #: Groups that are aligned together.
 ALIGNED = 1 << 14
 #: Fewer alignments than this are done one by one.
@@ -248,13 +250,28 @@ class Seeds:
         self.levels = [_Level(parts, points, self.classes, self.width, np.uint32), _Level(groups, points, self.classes, self.width, np.uint64)]
         coded = [self.classes[p].astype(np.uint64) + np.uint64(1) for p in points]
         self.powers, self.inverses = self._powers(PIECE + 2)
-        found: dict[int, list[np.ndarray]] = defaultdict(list)  # by the length of the strings
+        texts = {}
         for length in np.unique(self.pieces.lengths).tolist():
             numbers = np.flatnonzero(self.pieces.lengths == length)
-            text = np.stack([coded[pieces[i][0]][pieces[i][1] : pieces[i][1] + length] for i in numbers.tolist()])
-            for change, hashes in self._near(text):
-                found[length + change].append(((hashes & ~self._LOW) | numbers.astype(np.uint64)[:, None]).ravel())
-        self.tables = {size: _Table(np.concatenate(found.pop(size)), self._LOW) for size in sorted(found)}
+            texts[length] = numbers, np.stack([coded[pieces[i][0]][pieces[i][1] : pieces[i][1] + length] for i in numbers.tolist()])
+        self.tables = {}
+        for size in range(int(self.pieces.lengths.min()) - 1, int(self.pieces.lengths.max()) + 2):
+            keys = self._keys(size, texts)
+            if len(keys):
+                self.tables[size] = _Table(keys, self._LOW)
+
+    def _keys(self, size: int, texts: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Hashes with numbers of pieces of all strings of that length; written into one array, as there are hundreds a character of the items."""
+        sources = [(*texts[size - change], change) for change in (1, 0, -1) if size - change in texts]
+        rows = {-1: lambda n: n, 0: lambda n: n * self.width, 1: lambda n: (n - 1) * self.width}
+        keys, at = np.empty(sum(len(text) * rows[change](text.shape[1]) for _, text, change in sources), dtype=np.uint64), 0
+        for numbers, text, change in sources:
+            for hashes in self._near(text, change):
+                part = keys[at : at + hashes.size].reshape(hashes.shape)
+                np.bitwise_and(hashes, ~self._LOW, out=part)
+                part |= numbers.astype(np.uint64)[:, None]
+                at += hashes.size
+        return keys
 
     def _powers(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         """Powers of the base and of its inverse, modulo 2^64."""
@@ -262,19 +279,22 @@ class Seeds:
         powers[0] = inverses[0] = 1
         return np.cumprod(powers, dtype=np.uint64), np.cumprod(inverses, dtype=np.uint64)
 
-    def _near(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Change of length and hashes of all strings within one edit of each row; a letter before the first or after the last is left away."""
+    def _near(self, text: np.ndarray, change: int) -> Iterator[np.ndarray]:
+        """Hashes of all strings within one edit of each row, with that change of length; a letter before the first or after the last is left away."""
         n, length = text.shape
         base, back, power = np.uint64(self._BASE), self.inverses[1], self.powers
         before = np.zeros((n, length + 1), dtype=np.uint64)
         np.cumsum(text * power[:length], axis=1, out=before[:, 1:])
         whole = before[:, -1:]
-        yield -1, before[:, :-1] + (whole - before[:, 1:]) * back  # a letter less
-        for at in range(length):
+        if change < 0:
+            yield before[:, :-1] + (whole - before[:, 1:]) * back  # a letter less
+            return
+        for at in range(change, length):
             letters = np.arange(1, self.width + 1, dtype=np.uint64) * power[at]
-            yield 0, (whole - text[:, at : at + 1] * power[at]) + letters  # another letter
-            if at:
-                yield 1, before[:, at : at + 1] + (whole - before[:, at : at + 1]) * base + letters  # a letter more
+            if change:
+                yield before[:, at : at + 1] + (whole - before[:, at : at + 1]) * base + letters  # a letter more
+            else:
+                yield (whole - text[:, at : at + 1] * power[at]) + letters  # another letter
 
     def __call__(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, about where it would begin (at most ``DIAGONALS`` later) and about a place inside, of each seed."""
@@ -303,21 +323,39 @@ class Seeds:
         return level.items[number], begin, begin + level.begins[number] + level.lengths[number] // 2
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct values of a sorted array, moved to its beginning."""
+    end, last = 0, None
+    for at in range(0, len(keys), KEYS):
+        part = keys[at : at + KEYS]
+        new = part[np.append(last is None or part[0] != last, part[1:] != part[:-1])]
+        last = part[-1].copy()
+        keys[end : end + len(new)] = new
+        end += len(new)
+    return keys[:end]
+
+
 class _Table:
     """Hashes and, in their low bits, the numbers of the pieces that they are made of."""
 
     def __init__(self, keys: np.ndarray, low: np.uint64) -> None:
+        """``keys`` is sorted in its place, and all else is made a part at a time: many workers build the table at once."""
         keys.sort()
-        self.low, self.keys = low, keys[np.append(True, keys[1:] != keys[:-1])]
+        self.low, self.keys = low, _distinct(keys)
         self.shift = np.uint64(64 - max(16, (16 * len(self.keys)).bit_length()))
-        place = self.keys >> self.shift
-        byte, bit = place >> np.uint64(3), _BIT[place & np.uint64(7)]
-        first = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
-        self.sieve = np.zeros(1 << (61 - int(self.shift)), dtype=np.uint8)
-        self.sieve[byte[first]] = np.bitwise_or.reduceat(bit, first)
         self.coarse = self.shift + np.uint64(4)  # about one key in each range of hashes
-        counts = np.bincount((self.keys >> self.coarse).astype(np.int64), minlength=1 << (64 - int(self.coarse)))
-        self.firsts = np.append(0, np.cumsum(counts)).astype(np.int32)
+        self.sieve = np.zeros(1 << (61 - int(self.shift)), dtype=np.uint8)
+        self.firsts = np.zeros((1 << (64 - int(self.coarse))) + 1, dtype=np.int32)
+        for at in range(0, len(self.keys), KEYS):
+            part = self.keys[at : at + KEYS]
+            place = part >> self.shift
+            byte, bit = place >> np.uint64(3), _BIT[place & np.uint64(7)]
+            first = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+            self.sieve[byte[first]] |= np.bitwise_or.reduceat(bit, first)
+            slot = (part >> self.coarse).astype(np.int64)
+            counts = np.bincount(slot - slot[0])
+            self.firsts[slot[0] + 1 : slot[0] + 1 + len(counts)] += counts.astype(np.int32)
+        np.cumsum(self.firsts, dtype=np.int32, out=self.firsts)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``hashes`` and the pieces with that hash."""
@@ -524,7 +562,8 @@ def find_leaks(
         ]
     )
     spark = docs.sparkSession
-    found = spark.createDataFrame([], schema)
+    # Of null columns: an empty list would be turned into rows by Python workers of another kind, which stay beside the others.
+    found = spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
     for block in item_blocks(benchmark, item_id, item_text):
         sent = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS characters
 

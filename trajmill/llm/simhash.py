@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from trajmill import scratch
-from trajmill.llm.arrow import map_rows, values
+from trajmill.llm.arrow import map_rows
 from trajmill.llm.components import components
 from trajmill.operators.spread import broadcast_if_small
 
@@ -223,19 +223,22 @@ class _Shingler:
         yield key, np.unique(shingle_hashes(text, self.words)).view(np.int64).tolist()
 
 
-def _jaccard(words: int):
-    @F.arrow_udf(T.DoubleType())
-    def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, last, seen = [], None, None
-        for x, y in zip(values(a), values(b), strict=True):
-            if x != last:
-                last, seen = x, np.unique(shingle_hashes(x, words))
-            other = np.unique(shingle_hashes(y, words))
-            both = len(np.intersect1d(seen, other, assume_unique=True))
-            out.append(both / (len(seen) + len(other) - both) if len(seen) + len(other) else 1.0)
-        return pa.array(out, pa.float64())
+class _Similar:
+    """The keys and the similarity of a pair of texts whose shingle sets reach the threshold."""
 
-    return similarity
+    def __init__(self, words: int, threshold: float) -> None:
+        self.words, self.threshold, self.last, self.seen = words, threshold, None, None
+
+    def __call__(self, row: tuple) -> Iterator[tuple]:
+        a, b, one, other = row
+        if self.seen is None or one != self.last:
+            self.last, self.seen = one, np.unique(shingle_hashes(one, self.words))
+        hashes = np.unique(shingle_hashes(other, self.words))
+        both = len(np.intersect1d(self.seen, hashes, assume_unique=True))
+        either = len(self.seen) + len(hashes) - both
+        similarity = both / either if either else 1.0
+        if similarity >= self.threshold:
+            yield a, b, similarity
 
 
 def similar_links(docs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -416,7 +419,9 @@ def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, t
     needed = scratch.materialize(needed.select("key", "text"), "near-texts")
     wide = near.join(needed.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     wide = wide.join(needed.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    same = wide.select("a", "b", _jaccard(words)("text_a", "text_b").alias("similarity")).filter(F.col("similarity") >= threshold)
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    # Not a column and a filter: Spark evaluates such a column twice, in workers of both.
+    same = map_rows(wide.select("a", "b", "text_a", "text_b"), lambda: _Similar(words, threshold), schema)
     return scratch.materialize(same.distinct(), "similar")
 
 
