@@ -4,9 +4,10 @@ import json
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from trajmill.plans.catalog import QUERIES
-from trajmill.sources import readers
+from trajmill.sources import listing, readers
 from trajmill.streaming import ingest
 
 
@@ -97,3 +98,79 @@ def test_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
     with pytest.raises(Stop):
         QUERIES["stream_merged_preds"](spark, str(tmp_path))
     assert 720 / asked["files_per_batch"] <= 9  # 240 blocks and three attempts
+
+
+def test_the_driver_holds_no_state_per_file(spark, tmp_path):
+    for i in range(40):
+        write(tmp_path / "in", f"{i % 3}/{i}.traj.json", document(i) if i % 4 else "")
+    landed = ingest.ingest_trajectories(spark, str(tmp_path / "in"), str(tmp_path / "out"), files_per_batch=10)
+    assert (landed.documents.count(), landed.quarantine.count()) == (30, 10)
+    log = tmp_path / "out-checkpoint" / "sources" / "0"
+    entries = [line for f in log.iterdir() if not f.name.startswith(".") for line in f.read_text().splitlines() if line.startswith("{")]
+    assert len(entries) == 4  # one for each batch
+
+
+def test_spark_lists_no_source_folder(spark, tmp_path, monkeypatch):
+    """Spark's stream of a folder lists it in the driver when it is made."""
+    write(tmp_path / "in", "0.traj.json", document(0))
+    monkeypatch.setattr(ingest, "document_files", lambda *_: pytest.fail("a state per file"))
+    assert ingest.ingest_trajectories(spark, str(tmp_path / "in"), str(tmp_path / "out")).documents.count() == 1
+    monkeypatch.undo()
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        ingest.ingest_trajectories(spark, str(tmp_path / "nothing"), str(tmp_path / "out"))
+
+
+def test_files_are_listed_as_spark_lists_them(spark, tmp_path):
+    for name in ("a.json", "b/c d%20+é.json", "b/{x}[1].json", "b/_hidden.json", "b/_k=1.json", "b/.dot.json", "b/x.json._COPYING_", "_no/a.json", "k=1/_metadata.json", "_metadata/in.json", "b/other.txt", "b/deep/er/line\nbreak.json"):
+        write(tmp_path / "in", name, "{}")
+    (tmp_path / "in" / "gone.json").symlink_to(tmp_path / "nothing")
+    (tmp_path / "in" / "linked").symlink_to(tmp_path / "in" / "b" / "deep")
+    (tmp_path / "in" / "empty").mkdir()
+    for root, pattern in (("in", "*.json"), ("in", "{a,c*}.json"), ("in/b", "?[^h]*"), ("in/{b,k=*}", "*"), ("in/a.json", "*.json")):
+        read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(str(tmp_path / root))
+        want = {(r.path, r.modificationTime) for r in read.select("path", "modificationTime").collect()}
+        found = [(r.path, r.mtime) for r in listing.list_files(spark, str(tmp_path / root), pattern).collect()]
+        assert want and len(found) == len(want) and set(found) == want
+
+
+def test_batches_hold_no_more_names_than_asked_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "NAMES", 10)
+    monkeypatch.setattr(listing, "TASK_NAMES", 30)
+    files = spark.range(95).selectExpr("concat('file:/x/', id) AS path", "timestamp_seconds(id) AS mtime")
+    listing.append_names(files, str(tmp_path / "names"), 25)
+    names = spark.read.parquet(str(tmp_path / "names"))
+    held = [r["count"] for r in names.groupBy("_metadata.file_path").count().collect()]
+    assert sum(held) == 95 and max(held) * listing.files_per_batch(25) <= 25
+
+
+def test_a_file_system_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    for i in range(5):
+        write(tmp_path / "in", f"{i}.traj.json", document(i))
+    write(tmp_path / "in", "empty.traj.json", "")
+    assert listing.readable(spark, str(tmp_path))
+    with monkeypatch.context() as patched:
+        patched.setattr(listing, "_split", lambda path: ("viewfs://cluster", path))
+        assert not listing.readable(spark, str(tmp_path))
+    landed = {}
+    for own in (True, False):
+        monkeypatch.setattr(listing, "readable", lambda *_, own=own: own)
+        landed[own] = ingest.ingest_trajectories(spark, str(tmp_path / "in"), str(tmp_path / f"out-{own}"), files_per_batch=4)
+    one, other = (sorted(map(str, landed[own].documents.collect())) for own in (True, False))
+    assert one == other and len(one) == 5
+    one, other = ([(os.path.basename(r.path), r.mtime, bytes(r.content)) for r in landed[own].quarantine.collect()] for own in (True, False))
+    assert one == other and len(one) == 1
+
+
+def test_an_archive_is_no_source(spark, tmp_path):
+    write(tmp_path / "in", "0.traj.json", document(0))
+    with pytest.raises(ValueError, match="listed again"):
+        ingest.ingest_trajectories(spark, str(tmp_path / "in"), str(tmp_path / "out"), archive=str(tmp_path / "in" / "done"))
+
+
+def test_nothing_new_and_nothing_at_all(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    assert ingest.ingest_trajectories(spark, str(tmp_path / "in"), str(tmp_path / "out")).documents.count() == 0
+    write(tmp_path / "in", "0.traj.json", document(0))
+    for _ in range(2):
+        landed = ingest.ingest_trajectories(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+        assert (landed.documents.count(), landed.quarantine.count()) == (1, 0)

@@ -1,10 +1,15 @@
 """Documents as they land: whole JSON files, a bounded number per batch, damaged ones set aside.
 
 A file is one row with its path and bytes, whatever is in it.  So one that is no UTF-8 and one that
-stops in the middle of a document reach the quarantine, with their path.  Empty files make no row
-in a scan; they are the files that the stream has taken and that are not in the table.  Files
-are appended by an exactly-once file sink, in two partitions of one table; files of finished
-batches can be moved away.
+stops in the middle of a document reach the quarantine, with their path.  Tasks list the folders
+and append the names of new files to a table; this table is the stream, and tasks read the files
+that a batch of it names.  So the driver holds a few bytes per thousands of files.  Documents
+are appended by an exactly-once file sink, in two partitions of one table; finished files can be
+moved away.
+
+In a file system that only Spark's readers open, Spark's own source takes the files and keeps a
+state for each in the driver.  Empty files make no row in its scans; they are the files that the
+stream has taken and that are not in the table.
 """
 
 from __future__ import annotations
@@ -15,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trajmill import schemas, scratch
-from trajmill.sources.readers import listing_tasks
+from trajmill.sources import listing
+from trajmill.sources.readers import listing_tasks, path_exists
 from trajmill.streaming.keyed_table import KeyedTable, upsert_stream
 from trajmill.streaming.streams import append_to_table
 
@@ -33,7 +39,7 @@ class Landed:
 
 
 def document_files(spark: SparkSession, root: str, pattern: str, files_per_batch: int = FILES_PER_BATCH, archive: str | None = None) -> DataFrame:
-    """A stream of files below ``root`` with their bytes.  With ``archive``, files of finished batches move there."""
+    """Spark's stream of files below ``root`` with their bytes.  With ``archive``, files of finished batches move there."""
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if archive:
@@ -64,13 +70,51 @@ def ingest(files: DataFrame, parse: Callable[[Column], Column], name: str, path:
     """Land what is there.  With a ``path`` a later call goes on where the last one stopped."""
     spark = files.sparkSession
     path = path or scratch.new_path(spark, name)
-    doc = parse(F.col("content"))
-    rows = files.select("path", "mtime", doc.alias("doc"), F.when(doc.isNull(), F.col("content")).alias("content"), doc.isNull().alias("damaged"))
     with listing_tasks(spark):  # every batch lists the folders again
-        table = append_to_table(rows, name, path, partition_by=["damaged"])
+        table = append_to_table(_parsed(files, parse), name, path, partition_by=["damaged"])
+    landed = _landed(table, path)
     taken = taken_files(spark, f"{path}-checkpoint")
     empty = taken.join(table.select(_plain("path").alias("_file")), "_file", "left_anti").select("path", "mtime", F.lit(b"").alias("content"))
-    bad = table.where("damaged").select("path", "mtime", "content").unionByName(empty)
+    return Landed(landed.documents, landed.quarantine.unionByName(empty), path)
+
+
+def ingest_folder(
+    spark: SparkSession,
+    root: str,
+    pattern: str,
+    parse: Callable[[Column], Column],
+    name: str,
+    path: str | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
+    archive: str | None = None,
+) -> Landed:
+    """Land the files below ``root`` whose names match; see ``ingest``.  With ``archive``, finished files move there."""
+    if not listing.readable(spark, root) or not listing.roots(spark, root):  # without a root this fails
+        return ingest(document_files(spark, root, pattern, files_per_batch, archive), parse, name, path)
+    archive = archive and listing.check_archive(spark, root, archive)
+    path = path or scratch.new_path(spark, name)
+    names = f"{path}-files"
+    found = new = listing.list_files(spark, root, pattern)
+    known = path_exists(spark, names)
+    if known:
+        new = scratch.materialize(found.join(spark.read.schema(listing.NAMED).parquet(names).select("path"), "path", "left_anti"), "new-files")
+    if not known or not new.isEmpty():
+        listing.append_names(new, names, files_per_batch)
+    files = listing.with_content(listing.stream_names(spark, names, files_per_batch), files_per_batch)
+    table = append_to_table(_parsed(files, parse), name, path, partition_by=["damaged"])
+    if archive:
+        listing.move_files(found, archive)
+    return _landed(table, path)
+
+
+def _parsed(files: DataFrame, parse: Callable[[Column], Column]) -> DataFrame:
+    """Documents, and the bytes of what is none."""
+    doc = parse(F.col("content"))
+    return files.select("path", "mtime", doc.alias("doc"), F.when(doc.isNull(), F.col("content")).alias("content"), doc.isNull().alias("damaged"))
+
+
+def _landed(table: DataFrame, path: str) -> Landed:
+    bad = table.where("damaged").select("path", "mtime", "content")
     return Landed(table.where(~F.col("damaged")).select("path", "mtime", "doc"), bad, path)
 
 
@@ -95,7 +139,7 @@ def landed_stream(landed: Landed) -> DataFrame:
 
 def ingest_trajectories(spark: SparkSession, root: str, path: str | None = None, **files: object) -> Landed:
     """Trajectory documents; see ``trajectory_rows`` for their columns."""
-    return ingest(document_files(spark, root, "*.traj.json", **files), lambda c: parse_document(c, schemas.TRAJECTORY_FILE), "trajectories", path)
+    return ingest_folder(spark, root, "*.traj.json", lambda c: parse_document(c, schemas.TRAJECTORY_FILE), "trajectories", path, **files)
 
 
 def trajectory_rows(documents: DataFrame) -> DataFrame:
@@ -117,7 +161,7 @@ def trajectory_rows(documents: DataFrame) -> DataFrame:
 
 def ingest_predictions(spark: SparkSession, root: str, path: str | None = None, **files: object) -> Landed:
     """Prediction documents, ``doc`` a map from the instance."""
-    return ingest(document_files(spark, root, "preds.json", **files), lambda c: parse_map(c, schemas.PREDICTIONS), "prediction-files", path)
+    return ingest_folder(spark, root, "preds.json", lambda c: parse_map(c, schemas.PREDICTIONS), "prediction-files", path, **files)
 
 
 def prediction_rows(documents: DataFrame) -> DataFrame:
