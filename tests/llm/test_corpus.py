@@ -171,6 +171,59 @@ def test_planted_pairs_share_a_sketch(size, similarity, monkeypatch):
     assert all(found)
 
 
+@pytest.mark.parametrize("size", [45, 60, 300, 1000, 5000])
+def test_pairs_whose_differences_meet_every_sample_share_a_sketch(size, monkeypatch):
+    rng, sketch = random.Random(size), simhash._Sketcher(5)
+    monkeypatch.setattr(simhash, "shingle_hashes", lambda hashes, _: hashes)
+    for other in (size, math.ceil(0.8 * size) + 1):
+        shared = math.ceil((size + other) * 0.8 / 1.8)
+        for bits in range(2, 14):
+            drawn = {rng.getrandbits(64) for _ in range(shared)}
+            # One difference after the other lies in the next of two to this power samples.
+            apart = [(rng.getrandbits(64) & ~(((1 << bits) - 1) << 7)) | (i % (1 << bits) << 7) for i in range(size + other - 2 * shared)]
+            a, b = (np.array(sorted(drawn | set(own)), dtype=np.uint64) for own in (apart[: size - shared], apart[size - shared :]))
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+            assert set(next(sketch((0, a)))[-1]) & set(next(sketch((1, b)))[-1])
+
+
+def test_texts_with_too_few_filled_samples_share_a_sketch(monkeypatch):
+    """All hashes lie in three of the samples, until very many are dealt."""
+    rng, sketch = random.Random(4), simhash._Sketcher(5)
+    monkeypatch.setattr(simhash, "shingle_hashes", lambda hashes, _: hashes)
+    for drawn in range(40, 400, 9):
+        hashes = [(rng.getrandbits(64) & ~(((1 << 12) - 1) << 7)) | (rng.randrange(3) << 7) for _ in range(drawn)]
+        gone = int(0.2 * drawn)
+        a, b = (np.array(sorted(own), dtype=np.uint64) for own in (hashes, rng.sample(hashes, drawn - gone)))
+        assert set(next(sketch((0, a)))[-1]) & set(next(sketch((1, b)))[-1])
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.7, 0.95, 1.0])
+def test_pairs_at_other_thresholds_share_a_sketch(threshold, monkeypatch):
+    rng, sketch = random.Random(7), simhash._Sketcher(5, threshold)
+    monkeypatch.setattr(simhash, "shingle_hashes", lambda hashes, _: hashes)
+    for size in (3, 39, 41, 80, 130, 900):
+        for _ in range(20):
+            a, b = _planted(size, threshold, rng)
+            assert set(next(sketch((0, a)))[-1]) & set(next(sketch((1, b)))[-1])
+
+
+@pytest.mark.parametrize("common", [0, 3, 1 << 14])
+def test_rarest_shingles_lose_no_pair(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "PAIRED", 2)
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rng, texts = random.Random(9), {}
+    for i in range(60):
+        words = [f"w{k}" for k in range(60)] if i < 40 else [f"v{k}" for k in range(30)]
+        for at in rng.sample(range(0, len(words), 5), 2):
+            words[at] = f"x{i}-{at}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([*texts.items(), (0, texts[0])], "key long, text string")
+    got = {r.key: r.sketches for r in simhash._rarest(docs, 5, 0.6).collect()}
+    assert set(got) == set(texts)
+    near = [(a, b) for a in texts for b in texts if a < b and _similar(texts[a], texts[b]) >= 0.6]
+    assert near and all(set(got[a]) & set(got[b]) for a, b in near)
+
+
 def test_sizes_apart_by_the_threshold_have_a_number_of_samples_in_common():
     assert all(set(simhash.samples(n)) & set(simhash.samples(math.ceil(0.8 * n))) for n in range(50, 30_000, 7))
 

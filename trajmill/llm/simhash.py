@@ -12,9 +12,9 @@ that copies collapse before anything is compared:
   and are linked to the smallest of them.  This loses no link of a component and is linear.
 * ``near_duplicates``: documents whose shingle sets have a Jaccard similarity of 0.8 or more.
   Pairs this similar differ in up to a fifth of the fingerprint's bits, which no block leaves
-  alone.  Candidates therefore share the sketch of a sample: shingles are dealt by hash into so
-  many samples that a pair at the threshold has ``EQUAL_SAMPLES`` equal ones on average, at every
-  length; short texts share two of their least hashes.  Pairs that sizes and counts of shingles by
+  alone.  Candidates therefore share the sketch of a sample: shingles are dealt by hash into more
+  samples than a pair at the threshold has differences, so some are equal, whatever the texts;
+  short texts share two of their least hashes.  Pairs that sizes and counts of shingles by
   class rule out are discarded, which loses no pair at the threshold, and the shingle sets decide.
 """
 
@@ -49,8 +49,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Classes of hashes by which the shingles of a text are counted.
 CLASSES = 128
-#: Equal samples that a pair at the threshold has on average; it has none about once in e to this power.
-EQUAL_SAMPLES = 12
+#: Samples that hold a shingle, by the differences of a pair at the threshold, that a text has on average; more are dealt where it has too few.
+SPARE = 1.2
+#: Samples beyond which no more are dealt; by then a shingle is nearly always alone in its sample.
+MOST_SAMPLES = 1 << 40
+#: Shingles whose number of texts is known where the rarest of a text are looked for.
+COMMON = 1 << 14
 #: Counts by class beyond this are taken as this, which sets no pair further apart.
 MOST_COUNTED = 32767
 #: Texts of up to so many shingles are found by pairs of their least hashes, which misses none.
@@ -157,10 +161,15 @@ def fingerprint_components(docs: DataFrame, words: int, doc_id: str = "doc_id",
     return rows.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def _differences(count: float, threshold: float) -> float:
+    """In how many shingles a set of so many differs from another one at the threshold, at most."""
+    return count * (1 - threshold) / threshold
+
+
 def _step(count: float, threshold: float) -> int:
-    """The least power of two of samples of which two sets of about so many shingles share ``EQUAL_SAMPLES`` at the threshold, on average."""
-    apart, either, step = 2 * count * (1 - threshold) / (1 + threshold), 2 * count / (1 + threshold), 1
-    while step * (np.exp(-apart / step) - np.exp(-either / step)) < EQUAL_SAMPLES:  # equal and not empty
+    """The least power of two of samples of which about so many shingles fill ``SPARE`` times as many as there are differences."""
+    step = 1
+    while -step * np.expm1(-count / step) < SPARE * _differences(count, threshold):
         step *= 2
     return step
 
@@ -174,6 +183,35 @@ def samples(count: int, threshold: float = SIMILARITY) -> list[int]:
     return sorted({_step(count / reach, threshold), _step(count * reach, threshold)})
 
 
+def sample_keys(distinct: np.ndarray, count: int, threshold: float) -> np.ndarray:
+    """Keys of which two sets of shingles at the threshold or over it share one, if both are dealt into ``count`` samples.
+
+    A difference changes one sample.  So of the samples that hold something all but as many are equal as there
+    are differences, and one more than that, in an order that sets have in common, holds an equal one; the fullest
+    come first, as few other sets have them.  A set with too few samples for that gives all of them, and is
+    dealt again into twice as many.
+    """
+    most, keys = int(_differences(len(distinct), threshold) + 1e-9), []
+    mixed = distinct * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    while True:
+        sample = (distinct >> np.uint64(7)) & np.uint64(count - 1)
+        order = np.argsort(sample, kind="stable")
+        starts = np.flatnonzero(np.diff(sample[order], prepend=-1.0))
+        sums = np.add.reduceat(mixed[order], starts)
+        sums ^= sample[order][starts] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(count)
+        held = np.diff(starts, append=len(distinct))
+        keys.append(sums[np.lexsort((sums, -held))[: most + 1]])
+        if len(starts) > most or count >= MOST_SAMPLES:
+            return np.concatenate(keys)
+        count *= 2
+
+
+def least_keys(distinct: np.ndarray, threshold: float) -> np.ndarray:
+    """So many of the least hashes that those left over are fewer than two sets at the threshold share."""
+    return distinct[: len(distinct) - int(np.ceil(threshold * len(distinct) - 1e-9)) + 1]
+
+
 def small_keys(distinct: np.ndarray, threshold: float) -> np.ndarray:
     """Keys of which two sets of shingles at the threshold or over it share one, without exception.
 
@@ -201,14 +239,11 @@ class _Sketcher:
             keys.append(0)
         elif len(distinct) <= SMALL / self.threshold:
             keys += small_keys(distinct, self.threshold).view(np.int64).tolist()
-        for count in samples(len(distinct), self.threshold) if len(distinct) >= SMALL else ():
-            sample = (distinct >> np.uint64(7)) & np.uint64(count - 1)
-            order = np.argsort(sample, kind="stable")
-            starts = np.flatnonzero(np.diff(sample[order], prepend=-1.0))
-            mixed = distinct[order] * np.uint64(0x9E3779B97F4A7C15)
-            sums = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
-            sums ^= sample[order][starts] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(count)
-            keys += sums.view(np.int64).tolist()
+        if len(distinct) >= SMALL and SPARE * _differences(1, self.threshold) >= 0.9:  # a low threshold; no samples would do
+            keys += least_keys(distinct, self.threshold).view(np.int64).tolist()
+        elif len(distinct) >= SMALL:
+            for count in samples(len(distinct), self.threshold):
+                keys += sample_keys(distinct, count, self.threshold).view(np.int64).tolist()
         yield key, fp, len(distinct), np.minimum(counts, MOST_COUNTED).tolist(), keys
 
 
@@ -223,6 +258,22 @@ class _Shingler:
         yield key, np.unique(shingle_hashes(text, self.words)).view(np.int64).tolist()
 
 
+class _Rarest:
+    """The least shingles of a text by their number of texts, where it is known, and then by hash."""
+
+    def __init__(self, common: np.ndarray, spread: np.ndarray, threshold: float) -> None:
+        self.common, self.spread, self.threshold = common, spread, threshold
+
+    def __call__(self, row: tuple) -> Iterator[tuple]:
+        key, hashes = row
+        own = np.array(hashes, dtype=np.int64)
+        spread = np.zeros(len(own), dtype=np.int64)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, own), len(self.common) - 1)
+            spread = np.where(self.common[at] == own, self.spread[at], 0)
+        yield key, least_keys(own[np.lexsort((own, spread))], self.threshold).tolist()
+
+
 class _Similar:
     """The keys and the similarity of a pair of texts whose shingle sets reach the threshold."""
 
@@ -291,15 +342,18 @@ def _rarest(texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """``key, sketches``: the shingles that occur in the fewest of the texts.
 
     There are so many of them that those left over are fewer than two sets at the threshold share.
-    All sets take their shingles in one order, so such sets share one of those that are given.
+    All sets take their shingles in one order, so such sets share one of those that are given.  In
+    this order the ``COMMON`` most frequent ones come last, which are sent to the workers; any
+    order would do.
     """
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
     hashed = scratch.materialize(map_rows(texts, lambda: _Shingler(words), schema).dropDuplicates(["key"]), "shingles")
-    rows = hashed.select("key", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
-    spread = rows.groupBy("hash").agg(F.count("*").alias("spread"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("spread", "hash"))
-    most = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    return rows.join(spread, "hash").withColumn("place", place).filter(F.col("place") <= most).select("key", F.array("hash").alias("sketches"))
+    spread = hashed.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("spread"))
+    found = spread.filter(F.col("spread") > PAIRED).orderBy(F.desc("spread"), "hash").limit(COMMON).collect()
+    common = np.array(sorted((r.hash, r.spread) for r in found), dtype=np.int64).reshape(-1, 2)
+    hashes, spreads = common[:, 0].copy(), common[:, 1].copy()
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
+    return map_rows(hashed, lambda: _Rarest(hashes, spreads, threshold), schema)
 
 
 def _members(sketched: DataFrame) -> DataFrame:
